@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash_dedup, substring_dedup, token_counts, warc
+from . import decontaminate, lm_scoring, packing, quality_crf, simhash_dedup, substring_dedup, token_counts, topk_mtree, toxicity, warc
 from .common import table
 
 
@@ -26,10 +26,32 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op1_topk_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def finite(x):
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+    v = F.col("embedding").cast("array<double>")
+    sound = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).where(F.col("v").isNotNull() & F.forall("v", finite))
+    scaled = sound.select("vec_id", F.transform("v", lambda x: F.floor(x * 64)).alias("vector"))
+    return topk_mtree.top_k(scaled, scaled.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, held=0, threshold=0.5)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "removed_chars", "spans", "text")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), modulus=7, held=2)
+
+
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, held=2, threshold=0.7)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -44,9 +66,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_mtree": op1_topk_mtree,
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_quality_crf": op7_quality_crf,
     "op8_warc": op8_warc,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_decontaminate": op10_decontaminate,
@@ -70,4 +96,19 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8_SQL}
+_OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_topk_mtree": _OP1_SQL, "op8_warc": _OP8_SQL}
