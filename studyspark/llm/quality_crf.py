@@ -172,6 +172,23 @@ def sample_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
     return [np.frombuffer(r.x, np.float32).reshape(r.n, -1) for r in rows], np.array([min(max(r.y, 0), 1) for r in rows], float)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, held: int = 2, max_labelled: int = 4000, max_lines: int = 2000) -> LineCrf:
+    x, y = sample_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, held=held, max_labelled=max_labelled, max_lines=max_lines)
+    return LineCrf(float((y.sum() + 1) / (len(y) + 2))).fit(x, y)
+
+
+def kept(docs: DataFrame, model: LineCrf, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = [b"" if t is None else t for t in b.column(place).cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(model.scores(texts) >= threshold))
+
+    return in_arrow(docs, run, docs.schema)
+
+
 def quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -186,8 +203,7 @@ def quality(
     max_lines: int = 2000,
 ) -> DataFrame:
     """(id, held_out, score, predicted) of every text."""
-    x, y = sample_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, held=held, max_labelled=max_labelled, max_lines=max_lines)
-    model = LineCrf(float((y.sum() + 1) / (len(y) + 2))).fit(x, y)
+    model = fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, held=held, max_labelled=max_labelled, max_lines=max_lines)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):

@@ -211,3 +211,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # written, so that both sides of the last join are plain shuffles and a fingerprint with many copies can be split
     own = written(least.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
     return marked.join(own, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, of the smallest id of each class; one row of each id.
+
+    Rows with a null id stay only where no row of their class has an id."""
+    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits)
+    stay = written(classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_stay")).count(), "stay")
+    out = docs.join(stay.select("_stay"), docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
+    if stay.where("count > 1").limit(1).count():  # repeated rows of one id
+        out = out.dropDuplicates([id_col])
+    return out

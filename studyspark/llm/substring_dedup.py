@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, written
@@ -78,14 +78,32 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return later.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
+def without(text: Column, spans: Column) -> Column:
+    """The text without the (start, end) spans: what stands between the ends of one and the start of the next."""
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), spans)
+    parts = F.transform(edges, lambda x, i: F.substring(text, x["end"] + 1, F.coalesce(F.get(spans, i)["start"], F.length(text)) - x["end"]))
+    return F.when(spans.isNull(), text).otherwise(F.array_join(parts, ""))
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
     """(id, text without repeated units, spans: removed (start, end) of the original, n_removed, removed_chars), one row per row."""
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
     joined = keyed.join(spans, "k", "left")
-    # what stands between the ends of one span and the start of the next
-    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("spans"))
-    parts = F.transform(edges, lambda x, i: F.substring(F.col("text"), x["end"] + 1, F.coalesce(F.get(F.col("spans"), i)["start"], F.length("text")) - x["end"]))
-    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
+    kept = without(F.col("text"), F.col("spans"))
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("bigint"))
     return joined.select(F.col("id").alias(id_col), kept.alias(text_col), "spans", F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"), removed.alias("removed_chars"))
+
+
+def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", min_words: int = 8) -> DataFrame:
+    """The rows and columns of ``docs`` with repeated units removed from the text; ``count_col``, if there, is its new length.
+
+    Texts of which nothing is left are dropped, unless they were empty before."""
+    spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words).withColumnsRenamed({"k": "_k", "spans": "_spans"})
+    joined = docs.withColumn("_own", F.xxhash64(id_col, text_col)).join(spans, F.col("_own") == F.col("_k"), "left")
+    text = without(F.col(text_col), F.col("_spans"))
+    out = joined.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), F.col("_spans").isNotNull().alias("_cut"))
+    out = out.where(~F.col("_cut") | (F.length(F.trim(text_col)) > 0)).drop("_cut")
+    if count_col in docs.columns:
+        out = out.withColumn(count_col, F.length(text_col).cast(dict(docs.dtypes)[count_col]))
+    return out.select(*docs.columns)
