@@ -50,7 +50,7 @@ def _matrix(rows: list[list[int]]) -> np.ndarray:
 class MTree:
     """Pages over lifted vectors; built top-down, so that a page's objects share its pivot's neighbourhood."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 256, fanout: int = 24, seed: int = 3):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 768, fanout: int = 24, seed: int = 3):
         self.ids, self.vectors = ids, vectors
         norms = (vectors * vectors).sum(axis=1)
         self.top = max(norms, default=0)
@@ -59,7 +59,16 @@ class MTree:
         self.pages: list[tuple] = []
         self._rng = np.random.default_rng(seed)
         self.page, self.fanout = page, fanout
+        self._laid: list[np.ndarray] = []
         self.root = self._build(np.arange(len(ids)), 0) if len(ids) else None
+        if len(ids):  # objects in the order of the leaves: a whole page is a slice
+            order = np.concatenate(self._laid)
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            self.first = int(place[0])  # the root's pivot
+            self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+            self.pages = [p if p[0] == "leaf" else ("inner", place[p[1]], *p[2:]) for p in self.pages]
+        del self._laid, self.flat, self.lift
 
     def between(self, i: int, rows: np.ndarray) -> np.ndarray:
         """Distances of lifted object i to lifted objects."""
@@ -69,9 +78,12 @@ class MTree:
     def _build(self, rows: np.ndarray, pivot: int) -> int:
         """The number of the page that holds ``rows``, with distances to ``pivot``."""
         if len(rows) <= self.page:
-            self.pages.append(("leaf", rows, self.between(pivot, rows)))
+            start = sum(map(len, self._laid))
+            self._laid.append(rows)
+            self.pages.append(("leaf", slice(start, start + len(rows)), self.between(pivot, rows)))
             return len(self.pages) - 1
-        pivots = self._rng.choice(rows, min(self.fanout, len(rows) // 2), replace=False)
+        few = -(-2 * len(rows) // self.page)  # as many as half-full pages need
+        pivots = self._rng.choice(rows, min(self.fanout, few), replace=False)
         near = np.stack([self.between(p, rows) for p in pivots])
         owner = near.argmin(axis=0)
         full = np.bincount(owner, minlength=len(pivots))
@@ -99,7 +111,7 @@ class MTree:
 
         best_s, best_i = np.empty(0, query.dtype), np.empty(0, np.int64)
         limit = np.inf
-        at_root = far((self.vectors[0] * query).sum())
+        at_root = far((self.vectors[self.first] * query).sum())
         queue = [(0.0, self.root, at_root)]
         while queue:
             low, number, to_pivot = heapq.heappop(queue)
@@ -109,12 +121,16 @@ class MTree:
             rows, to_parent = page[1], page[2]
             reach = np.abs(to_pivot - to_parent)  # triangle inequality, without computing a distance
             if page[0] == "leaf":
-                rows = rows[reach <= limit + slack]
-                if not len(rows):
-                    continue
-                scores, ids = self.vectors[rows] @ query, self.ids[rows]
+                near = reach <= limit + slack
+                if near.all():
+                    scores, ids = self.vectors[rows] @ query, self.ids[rows]
+                else:
+                    chosen = rows.start + np.flatnonzero(near)
+                    scores, ids = self.vectors[chosen] @ query, self.ids[chosen]
                 if len(best_s) == k:
-                    better = scores >= best_s[-1]
+                    better = np.flatnonzero(scores >= best_s[-1])
+                    if not len(better):
+                        continue
                     scores, ids = scores[better], ids[better]
                 other = ids != own_id
                 scores, ids = np.concatenate([best_s, scores[other]]), np.concatenate([best_i, ids[other]])
@@ -124,11 +140,12 @@ class MTree:
                     limit = far(best_s[-1])
             else:
                 radius, child = page[3], page[4]
-                for j in np.flatnonzero(reach - radius <= limit + slack):
-                    d = far((self.vectors[rows[j]] * query).sum())
-                    bound = max(low, d - float(radius[j]), 0.0)
+                near = np.flatnonzero(reach - radius <= limit + slack)
+                d = np.sqrt(np.maximum(base - 2 * (self.vectors[rows[near]] @ query), 0).astype(np.float64))
+                bounds = np.maximum(d - radius[near], low)
+                for bound, c, e in zip(bounds.tolist(), child[near].tolist(), d.tolist(), strict=True):
                     if bound <= limit + slack:
-                        heapq.heappush(queue, (bound, int(child[j]), d))
+                        heapq.heappush(queue, (max(bound, 0.0), c, e))
         return [(int(s), int(i)) for s, i in zip(best_s, best_i, strict=True)]
 
 
@@ -175,12 +192,9 @@ def top_k(
         for b in batches:
             for tree, block in zip(b.column(0), b.column(1), strict=True):
                 tree, (ids, qs) = pickle.loads(tree.as_py()), pickle.loads(block.as_py())
-                if qs.dtype != tree.vectors.dtype:
-                    tree.vectors, qs = tree.vectors.astype(object), qs.astype(object)
-                    if tree.flat.dtype != object:
-                        tree.vectors = np.array([[int(x) for x in r] for r in tree.vectors], object)
-                    qs = np.array([[int(x) for x in r] for r in qs], object)
-                    tree.top = int(tree.top)
+                if qs.dtype != tree.vectors.dtype:  # one side needs Python integers, so both take them
+                    whole = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
+                    tree.vectors, qs, tree.top = whole(tree.vectors), whole(qs), int(tree.top)
                 found = [tree.search(q, i, k) for i, q in zip(ids.tolist(), qs, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array([[i for _, i in f] for f in found], pa.list_(pa.int64())), pa.array([[s for s, _ in f] for f in found], pa.list_(pa.int64()))],
