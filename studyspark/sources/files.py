@@ -53,8 +53,9 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Other stored state: what cannot be read counts as absent."""
-    return spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad is null").drop("_bad")
+    """Other stored state, one JSON object a line: what cannot be read counts as absent."""
+    parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).select(parsed.alias("s")).where("s._bad is null").select("s.*").drop("_bad")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
