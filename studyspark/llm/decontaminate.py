@@ -9,8 +9,9 @@ neighbouring words (the whole item, if it is shorter) agree in at least ``share`
 their places, so substituted words are tolerated.
 
 The two default masks are chosen so that every 13 words with at most two
-substitutions hold a hit: no verified overlap is missed (tests prove it by
-enumeration).  Inserted or lost words split an overlap into alignments that are
+substitutions hold a hit.  Shorter items tolerate only as many substitutions as their
+length still promises a hit for (found by enumeration), so no overlap that would be
+verified is missed.  Inserted or lost words split an overlap into alignments that are
 verified each on their own.
 
 The benchmark's hashes are broadcast when their counted number is under
@@ -25,6 +26,8 @@ either side gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,15 @@ from .common import written
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 
 
+def tolerated(masks, length: int, share: float) -> int:
+    """How many of ``length`` words may differ: 1 - share of them, if any such choice leaves some mask free."""
+    places = [frozenset(s + i for i in m) for m in masks for s in range(length - max(m))]
+    most = int(length * (1 - share) + 1e-9)
+    while most > 0 and not all(any(p.isdisjoint(bad) for p in places) for bad in combinations(range(length), most)):
+        most -= 1
+    return most
+
+
 def words(text: Column | str) -> Column:
     """Lower-cased runs of letters, marks and digits."""
     c = F.col(text) if isinstance(text, str) else text
@@ -80,10 +92,12 @@ def overlaps(
     seeds = written(_hashed(bench, ["item"], masks).withColumnRenamed("at", "item_at"), "seeds")
     found = _hashed(texts, ["k"], masks).join(_small(seeds, broadcast_rows), "seed")
     hits = written(found.select("k", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
-    asked = hits.join(F.broadcast(bench) if bench.limit(10_001).count() <= 10_000 else bench, hits.item.eqNullSafe(bench.item)).select("k", hits.item, "shift", words(bench.text).alias("iw"))
-    pairs = texts.join(_small(asked, 100_000), "k")
+    # alignments alone are broadcast, if few; the items' words join what they have found
+    aligned = texts.join(_small(hits, 100_000), "k").withColumnRenamed("text", "doc_text")
+    own = bench.select(F.col("item").alias("own"), words("text").alias("iw"))
+    pairs = aligned.join(_small(own, 10_000), F.col("item").eqNullSafe(F.col("own")))
     # the item's words beside the document's at that alignment, as arguments that are evaluated once
-    beside = F.concat(F.array_repeat(F.lit(""), F.greatest(-F.col("shift"), F.lit(0))), F.slice(words(texts.text), F.greatest("shift", F.lit(0)) + 1, F.greatest(F.size("iw") + F.least("shift", F.lit(0)), F.lit(0))))
+    beside = F.concat(F.array_repeat(F.lit(""), F.greatest(-F.col("shift"), F.lit(0))), F.slice(words("doc_text"), F.greatest("shift", F.lit(0)) + 1, F.greatest(F.size("iw") + F.least("shift", F.lit(0)), F.lit(0))))
     agree = F.zip_with("iw", beside, lambda a, b: F.when(a == b, 1).otherwise(0))
     # written, else the windows below would evaluate the comparison anew for each start
     same = written(pairs.select("id", "item", "shift", agree.alias("same")), "alignments")
@@ -91,7 +105,8 @@ def overlaps(
     added = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - length + 1), lambda s: added(F.slice("same", s, length))))
     scored = same.select("id", "item", "shift", F.size("same").alias("item_words"), added("same").alias("n_matched"), best.alias("best_window"), length.alias("length"))
-    kept = scored.where(F.col("best_window") >= F.ceil(F.lit(share) * F.col("length") - 1e-9))
+    needed = F.array(*(F.lit(n - tolerated(masks, n, share)) for n in range(1, window + 1)))
+    kept = scored.where(F.col("best_window") >= F.element_at(needed, F.col("length")))
     top = kept.groupBy("id", "item").agg(F.max(F.struct("n_matched", "best_window", (-F.col("shift")).alias("back"), "item_words")).alias("t"))
     return top.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), (-F.col("t.back")).cast("bigint").alias("doc_start"), F.col("t.n_matched"), F.col("t.item_words"), F.col("t.best_window"))
 
