@@ -305,7 +305,8 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows with a null id stay only where no row of their class has an id."""
     found = similar_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    rows = written(found.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n"), F.bool_and(~F.col("_id").eqNullSafe(F.col("component_id"))).alias("goes")), "stay")
+    marked = found.select(F.col(id_col).alias("_id"), (~F.col(id_col).eqNullSafe(F.col("component_id"))).alias("goes"))
+    rows = written(marked.groupBy("_id").agg(F.count("*").alias("n"), F.bool_and("goes").alias("goes")), "stay")
     gone = rows.where("goes").select("_id")
     if gone.limit(broadcast_rows + 1).count() <= broadcast_rows:  # proven small, else a shuffle join
         gone = F.broadcast(gone)
