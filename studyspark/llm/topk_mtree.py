@@ -19,8 +19,8 @@ k of that tree, and a window whose limit Spark applies before the shuffle merges
 
 Edge cases: vectors null or with null or non-finite components, and rows with a null
 id, take no part; vectors of another length than the query's are no candidates; a
-query with fewer candidates than k returns them all; ties go to smaller ids; repeated
-rows of one id are each a candidate of other ids' queries, and an id's own query is
+query with fewer candidates than k returns them all; ties go to smaller ids; scores beyond 64 bits
+saturate (their order stays exact); repeated rows of one id are each a candidate of other ids' queries, and an id's own query is
 its smallest vector; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -146,7 +146,8 @@ class MTree:
                 for bound, c, e in zip(bounds.tolist(), child[near].tolist(), d.tolist(), strict=True):
                     if bound <= limit + slack:
                         heapq.heappush(queue, (max(bound, 0.0), c, e))
-        return [(int(s), int(i)) for s, i in zip(best_s, best_i, strict=True)]
+        top = (1 << 63) - 1  # products beyond 64 bits saturate
+        return [(max(-top - 1, min(top, int(s))), int(i)) for s, i in zip(best_s, best_i, strict=True)]
 
 
 def top_k(
