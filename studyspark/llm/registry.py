@@ -111,4 +111,30 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_mtree": _OP1_SQL, "op8_warc": _OP8_SQL}
+_NEEDED = [n - decontaminate.tolerated(decontaminate.MASKS, n, 0.8) for n in range(1, 14)]
+_CHOSEN = " UNION ALL ".join(
+    f"SELECT id, pos, {n} AS mask, {' || chr(1) || '.join(f'w[pos + {o + 1}]' for o in m)} AS seed FROM {{0}}" for n, m in enumerate(decontaminate.MASKS)
+)
+_OP10_SQL = f"""
+WITH dw AS (
+  SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents
+), iw AS (
+  SELECT DISTINCT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark
+), dp AS (SELECT id, w, unnest(range(len(w) - 7)) AS pos FROM dw), ip AS (SELECT id, w, unnest(range(len(w) - 7)) AS pos FROM iw),
+ds AS ({_CHOSEN.format("dp")}), si AS ({_CHOSEN.format("ip")}), hits AS (
+  SELECT DISTINCT ds.id AS doc_id, si.id AS item_id, ds.pos - si.pos AS shift FROM ds JOIN si USING (mask, seed)
+), same AS (
+  SELECT doc_id, item_id, shift, len(iw.w) AS n,
+    list_transform(range(len(iw.w)), lambda k: CASE WHEN shift + k >= 0 AND dw.w[shift + k + 1] = iw.w[k + 1] THEN 1 ELSE 0 END) AS s
+  FROM hits JOIN dw ON dw.id = doc_id JOIN iw ON iw.id = item_id
+), scored AS (
+  SELECT doc_id, item_id, shift, n, list_sum(s)::INT AS n_matched, least(13, n) AS l,
+    list_max(list_transform(range(n - least(13, n) + 1), lambda b: list_sum(s[b + 1 : b + least(13, n)])))::INT AS best_window
+  FROM same
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, best_window DESC, shift) AS k FROM scored WHERE best_window >= {_NEEDED}[l]
+)
+SELECT doc_id, item_id, shift::BIGINT AS doc_start, n_matched, n::INT AS item_words, best_window FROM best WHERE k = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10_SQL, "op1_topk_mtree": _OP1_SQL, "op8_warc": _OP8_SQL}
