@@ -2,14 +2,19 @@
 
 A text is cut into units: lines, and within lines at white space after punctuation
 that ends a sentence or a table cell, so that a passage is found wherever it stands
-in a line.  A unit is normalised (lower case, white space collapsed, punctuation at
-its ends dropped) and, when it has at least ``min_words`` words, its 128-bit digest
-is grouped globally.  The earliest occurrence (smallest id, then position) stays;
-all others are removed.  Offsets are code points of the original text.
+in a line; units of more than ``LONG`` words are cut after their commas too.  What is compared is a unit with at least ``min_words`` words, or a shorter
+one together with those after it until there are enough; so passages of short
+sentences are found as well, whatever stands before them.  It is normalised (lower
+case, white space collapsed, punctuation at its ends dropped) and its 128-bit digest
+grouped globally.  The earliest occurrence (smallest id, then position) stays; all
+others are removed, overlapping ones as one span.  Every removed unit stands in an
+earlier place that is kept.  Offsets are code points of the original text.
 
 Units travel as digests and offsets.  The group keeps one minimum, combined before
 the shuffle; flagged units are found by a join that Spark may split where a digest
-is hot.  No group is ever collected: only one document's own spans are.
+is hot.  Overlapping spans of
+a document are merged by a window over its own spans.  No group is ever collected:
+only one document's own spans are.
 
 Edge cases: a null text stays null and has no units; repeated rows (same id, same
 text) are one document: the same spans are removed from each; a null id ranks after
@@ -20,28 +25,43 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_arrow, written
 
 #: White space with a line feed, or after any character that is no letter, digit, comma, quote, hyphen, colon or bracket.
 _CUT = re.compile(r"\s*\n\s*|(?<=[^\w\s,;:'\"’“”()\-–])[ \t]+")
+_COMMA = re.compile(r",\s+")
+LONG = 24
 _EDGE = ".,;:!?…|*#%&$\"'’“”()[]<>=+~-–"
 
 
 def units(text: str, min_words: int = 8) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of every unit with enough words; end includes the white space that follows."""
-    out, start = [], 0
-    cuts = [m.end() for m in _CUT.finditer(text)]
-    cuts.append(len(text))
-    for end in cuts:
-        words = text[start:end].lower().split()
-        if len(words) >= min_words:
-            out.append((start, end, " ".join(words).strip(_EDGE)))
+    """(start, end, normalised) of what is compared, one for each unit that has enough words by itself
+    or with those after it; end includes the white space that follows."""
+    spans, words, start = [], [], 0
+    for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+        part = text[start:end]
+        own = part.lower().split()
+        cuts = [m.end() for m in _COMMA.finditer(part)] if len(own) > LONG else []
+        for x, y in pairwise([0, *cuts, len(part)]):
+            piece = own if not cuts else part[x:y].lower().split()
+            if piece:
+                spans.append((start + x, start + y))
+                words.append(piece)
         start = end
+    out = []
+    for i, (begin, _) in enumerate(spans):
+        joined, j = words[i], i
+        while len(joined) < min_words and j + 1 < len(spans):
+            j += 1
+            joined = joined + words[j]
+        if len(joined) >= min_words:
+            out.append((begin, spans[j][1], " ".join(joined).strip(_EDGE)))
     return out
 
 
@@ -75,7 +95,11 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("hi", "lo", "first")
     first = written(first, "repeated")  # so that the join is one of plain shuffles, which can be split where a digest is hot
     later = found.withColumn("own", rank).join(first, ["hi", "lo"]).where("own <> first")
-    return later.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    own = Window.partitionBy("k").orderBy("start", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    joined = later.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("n", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = joined.groupBy("k", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -86,7 +110,7 @@ def without(text: Column, spans: Column) -> Column:
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """(id, text without repeated units, spans: removed (start, end) of the original, n_removed, removed_chars), one row per row."""
+    """(id, text without repeated units, spans: removed (start, end) of the original, n_removed: spans, removed_chars), one row per row."""
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
     joined = keyed.join(spans, "k", "left")
