@@ -10,9 +10,10 @@ grouped globally.  The earliest occurrence (smallest id, then position) stays; a
 others are removed, overlapping ones as one span.  Every removed unit stands in an
 earlier place that is kept.  Offsets are code points of the original text.
 
-Units travel as digests and offsets.  The group keeps one minimum, combined before
-the shuffle; flagged units are found by a join that Spark may split where a digest
-is hot.  Overlapping spans of
+Units travel as digests and offsets.  A unit that stands earlier in its own document
+is marked where it is made; the group of a digest keeps the smallest rank of a
+document, combined before the shuffle; flagged units are found by a hash join on the
+repeated digests (unique) that Spark may split where a digest is hot.  Overlapping spans of
 a document are merged by a window over its own spans.  No group is ever collected:
 only one document's own spans are.
 
@@ -25,6 +26,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from itertools import pairwise
 
 import pyarrow as pa
@@ -65,6 +67,11 @@ def units(text: str, min_words: int = 8) -> list[tuple[int, int, str]]:
     return out
 
 
+def document_rank(doc_id: int | None, key: int) -> Decimal:
+    """One number that orders documents by id (null last), then by 62 bits of the hash of id and text."""
+    return Decimal(((1 << 63 if doc_id is None else doc_id) << 62) + (key & ((1 << 62) - 1)))
+
+
 def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
     """(k, spans): for each document key (hash of id and text) with removed units, their sorted (start, end)."""
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).where("text is not null")
@@ -75,26 +82,30 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         mask = (1 << 64) - 1
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            hi, lo, row, start, end = [], [], [], [], []
+            hi, lo, again, row, start, end = [], [], [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
+                seen = set()
                 for s, e, u in units(text, min_words):
                     h = xxh3_128_intdigest(u.encode("utf-8", "surrogatepass"))
                     hi.append(signed(h >> 64))
                     lo.append(signed(h & mask))
+                    again.append(h in seen)
+                    seen.add(h)
                     row.append(i)
                     start.append(s)
                     end.append(e)
             row = pa.array(row, pa.int32())
+            rank = pa.array([document_rank(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.decimal128(38))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                names=["hi", "lo", "id", "k", "start", "end"],
+                [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), rank.take(row), pa.array(again, pa.bool_()), b.column(1).take(row), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
+                names=["hi", "lo", "rank", "again", "k", "start", "end"],
             )
 
-    found = written(in_arrow(picked, run, "hi bigint, lo bigint, id bigint, k bigint, start int, end int"), "units")
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "k", "start")
-    first = found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("hi", "lo", "first")
+    found = written(in_arrow(picked, run, "hi bigint, lo bigint, rank decimal(38,0), again boolean, k bigint, start int, end int"), "units")
+    # fixed-width buffers: a hash aggregation, no sort
+    first = found.groupBy("hi", "lo").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("again").alias("within")).where("first < last or within").select("hi", "lo", "first")
     first = written(first, "repeated")  # so that the join is one of plain shuffles, which can be split where a digest is hot
-    later = found.withColumn("own", rank).join(first, ["hi", "lo"]).where("own <> first")
+    later = found.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("rank > first or again").select("k", "start", "end")
     own = Window.partitionBy("k").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     joined = later.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("n", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -113,7 +124,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mi
     """(id, text without repeated units, spans: removed (start, end) of the original, n_removed: spans, removed_chars), one row per row."""
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
-    joined = keyed.join(spans, "k", "left")
+    joined = keyed.join(spans.hint("shuffle_hash"), "k", "left")
     kept = without(F.col("text"), F.col("spans"))
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("bigint"))
     return joined.select(F.col("id").alias(id_col), kept.alias(text_col), "spans", F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"), removed.alias("removed_chars"))
@@ -124,7 +135,7 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Texts of which nothing is left are dropped, unless they were empty before."""
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words).withColumnsRenamed({"k": "_k", "spans": "_spans"})
-    joined = docs.withColumn("_own", F.xxhash64(id_col, text_col)).join(spans, F.col("_own") == F.col("_k"), "left")
+    joined = docs.withColumn("_own", F.xxhash64(id_col, text_col)).join(spans.hint("shuffle_hash"), F.col("_own") == F.col("_k"), "left")
     text = without(F.col(text_col), F.col("_spans"))
     out = joined.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), F.col("_spans").isNotNull().alias("_cut"))
     out = out.where(~F.col("_cut") | (F.length(F.trim(text_col)) > 0)).drop("_cut")
