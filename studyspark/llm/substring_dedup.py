@@ -102,10 +102,10 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             )
 
     found = written(in_arrow(picked, run, "hi bigint, lo bigint, rank decimal(38,0), again boolean, k bigint, start int, end int"), "units")
-    # fixed-width buffers: a hash aggregation, no sort
-    first = found.groupBy("hi", "lo").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("again").alias("within")).where("first < last or within").select("hi", "lo", "first")
+    # fixed-width buffers: a hash aggregation, no sort; the join carries the document's key alone, not its rank
+    first = found.groupBy("hi", "lo").agg(F.min_by("k", "rank").alias("first"), F.min("k").alias("least"), F.max("k").alias("most"), F.max("again").alias("within")).where("least < most or within").select("hi", "lo", "first")
     first = written(first, "repeated")  # so that the join is one of plain shuffles, which can be split where a digest is hot
-    later = found.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("rank > first or again").select("k", "start", "end")
+    later = found.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("k <> first or again").select("k", "start", "end")
     own = Window.partitionBy("k").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     joined = later.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("n", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
