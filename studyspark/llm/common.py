@@ -34,10 +34,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/studyspark/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
+def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again; ``codec``: of the files."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

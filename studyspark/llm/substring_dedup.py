@@ -101,7 +101,7 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 names=["hi", "lo", "rank", "again", "k", "start", "end"],
             )
 
-    found = written(in_arrow(picked, run, "hi bigint, lo bigint, rank decimal(38,0), again boolean, k bigint, start int, end int"), "units")
+    found = written(in_arrow(picked, run, "hi bigint, lo bigint, rank decimal(38,0), again boolean, k bigint, start int, end int"), "units", codec="zstd")
     # fixed-width buffers: a hash aggregation, no sort; the join carries the document's key alone, not its rank
     first = found.groupBy("hi", "lo").agg(F.min_by("k", "rank").alias("first"), F.min("k").alias("least"), F.max("k").alias("most"), F.max("again").alias("within")).where("least < most or within").select("hi", "lo", "first")
     first = written(first, "repeated")  # so that the join is one of plain shuffles, which can be split where a digest is hot
