@@ -201,3 +201,46 @@ def test_edges_of_substring_dedup(nasty, no_docs):
 def test_fingerprint_array_shapes():
     assert simhash_dedup.fingerprints([]).shape == (0,) and simhash_dedup.wide_fingerprints([b"", b"a b"]).shape == (2, 4)
     assert not np.any(simhash_dedup.wide_fingerprints([b""]))
+
+
+def jaccard_pair(rng, n, k):
+    """Two texts of n + 4 words that differ in a run of k at the end, or in single words, far apart."""
+    a = [f"v{rng.randrange(10**6)}" for _ in range(n + 4)]
+    b = list(a)
+    for _ in range(k):
+        b[rng.randrange(n + 4)] = f"u{rng.randrange(10**6)}"
+    return " ".join(a), " ".join(b)
+
+
+def test_links_are_exactly_those_of_brute_force(spark):
+    """Pairs right above 0.8 link and pairs under it never do, among 0.8-0.85 and 0.7-0.8."""
+    rng = random.Random(31)
+    rows, want, inside, under = [], {}, 0, 0
+    while inside < 120 or under < 120:
+        a, b = jaccard_pair(rng, rng.randint(60, 300), rng.randint(1, 12))
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        j = len(x & y) / len(x | y)
+        if not 0.7 <= j <= 0.85 or (inside >= 120 if j >= 0.8 else under >= 120):
+            continue
+        inside, under = inside + (j >= 0.8), under + (j < 0.8)
+        i = len(rows)
+        rows += [(i, a), (i + 1, b)]
+        want |= {i: i, i + 1: i if j >= 0.8 else i + 1}
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_chains_link_beside_a_node_that_does_not(spark):
+    """In a bucket whose smallest node is too far from the others, these are compared with each other."""
+    rng = random.Random(8)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(150)] = f"u{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
+    near = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == union(near, list(sets)) and len(near) > 20
