@@ -377,16 +377,20 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest id of each class; one row of each id.
-
-    Rows with a null id stay only where no row of their class has an id."""
-    found = similar_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    marked = found.select(F.col(id_col).alias("_id"), (~F.col(id_col).eqNullSafe(F.col("component_id"))).alias("goes"))
-    rows = written(marked.groupBy("_id").agg(F.count("*").alias("n"), F.bool_and("goes").alias("goes")), "stay")
-    gone = rows.where("goes").select("_id")
-    if gone.limit(broadcast_rows + 1).count() <= broadcast_rows:  # proven small, else a shuffle join
-        gone = F.broadcast(gone)
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    if rows.where("n > 1").limit(1).count():  # repeated rows of one id
-        out = out.dropDuplicates([id_col])
+    """The rows of ``docs``, all columns, of one document of each class: that of the smallest id, then of the smallest hash.
+
+    A document is an id and a text: rows equal in both are one, other rows of an id are decided each by
+    their own class.  A null id is larger than any other."""
+    found = _similar(docs, id_col, text_col, shingle, similarity)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("first")).select("root", F.col("first.k").alias("first"))
+    rows = written(found.join(first, "root").groupBy("k").agg(F.count("*").alias("n"), F.first(F.col("k") != F.col("first")).alias("goes")), "stay")
+    small = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df  # noqa: E731  proven small, else a shuffle join
+    gone = small(rows.where("goes").select(F.col("k").alias("_gone")))
+    own = F.xxhash64(docs[id_col], docs[text_col])
+    out = docs.join(gone, own == F.col("_gone"), "left_anti")
+    again = rows.where("n > 1 and not goes").select(F.col("k").alias("_again"))
+    if again.limit(1).count():  # repeated rows of one document
+        again = small(again)
+        once = out.join(again, own == F.col("_again")).dropDuplicates(["_again"]).select(*docs.columns)
+        out = out.join(again, own == F.col("_again"), "left_anti").unionByName(once)
     return out

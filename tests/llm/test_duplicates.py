@@ -244,3 +244,15 @@ def test_chains_link_beside_a_node_that_does_not(spark):
     near = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == union(near, list(sets)) and len(near) > 20
+
+
+def test_one_of_each_decides_by_id_and_text(spark):
+    """Null and repeated ids with different texts: only copies go, and rows equal in both are one."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (1, text("c")), (2, text("c")), (2, text("d")), (2, text("e")), (3, text("e")), (3, text("f")), (3, text("f")), (4, text("g") + " x"), (4, text("g") + " y"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for limit in (500_000, 0):
+        got = sorted(((r.doc_id or 0, r.text) for r in simhash_dedup.one_of_each(df, broadcast_rows=limit).collect()))
+        assert [(i, t[0]) for i, t in got] == [(0, "a"), (0, "b"), (1, "c"), (2, "d"), (2, "e"), (3, "f"), (4, "g")]
