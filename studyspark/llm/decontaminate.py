@@ -70,7 +70,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def overlaps(
+def _verified(
     docs: DataFrame,
     items: DataFrame,
     *,
@@ -83,10 +83,7 @@ def overlaps(
     share: float = 0.8,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
-    """Verified overlaps, one row per document and item: (id, item id, doc_start, n_matched, item_words, best_window).
-
-    ``doc_start``: the word of the document where the item's first word would stand;
-    ``n_matched``: agreeing words of that alignment; ``best_window``: of the best window."""
+    """Verified alignments: (k: hash of a document's id and text, id, item, shift, item_words, n_matched, best_window, length)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text"))
     bench = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     seeds = written(_hashed(bench, ["item"], masks).withColumnRenamed("at", "item_at"), "seeds")
@@ -100,18 +97,28 @@ def overlaps(
     beside = F.concat(F.array_repeat(F.lit(""), F.greatest(-F.col("shift"), F.lit(0))), F.slice(words("doc_text"), F.greatest("shift", F.lit(0)) + 1, F.greatest(F.size("iw") + F.least("shift", F.lit(0)), F.lit(0))))
     agree = F.zip_with("iw", beside, lambda a, b: F.when(a == b, 1).otherwise(0))
     # written, else the windows below would evaluate the comparison anew for each start
-    same = written(pairs.select("id", "item", "shift", agree.alias("same")), "alignments")
+    same = written(pairs.select("k", "id", "item", "shift", agree.alias("same")), "alignments")
     length = F.least(F.lit(window), F.size("same"))
     added = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - length + 1), lambda s: added(F.slice("same", s, length))))
-    scored = same.select("id", "item", "shift", F.size("same").alias("item_words"), added("same").alias("n_matched"), best.alias("best_window"), length.alias("length"))
+    scored = same.select("k", "id", "item", "shift", F.size("same").alias("item_words"), added("same").alias("n_matched"), best.alias("best_window"), length.alias("length"))
     needed = F.array(*(F.lit(n - tolerated(masks, n, share)) for n in range(1, window + 1)))
-    kept = scored.where(F.col("best_window") >= F.element_at(needed, F.col("length")))
+    return scored.where(F.col("best_window") >= F.element_at(needed, F.col("length")))
+
+
+def overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_id_col: str = "item_id", **options) -> DataFrame:
+    """Verified overlaps, one row per id and item: (id, item id, doc_start, n_matched, item_words, best_window).
+
+    ``doc_start``: the word of the document where the item's first word would stand;
+    ``n_matched``: agreeing words of that alignment; ``best_window``: of the best window."""
+    kept = _verified(docs, items, id_col=id_col, item_id_col=item_id_col, **options)
     top = kept.groupBy("id", "item").agg(F.max(F.struct("n_matched", "best_window", (-F.col("shift")).alias("back"), "item_words")).alias("t"))
     return top.select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), (-F.col("t.back")).cast("bigint").alias("doc_start"), F.col("t.n_matched"), F.col("t.item_words"), F.col("t.best_window"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without documents that overlap an item."""
-    bad = overlaps(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs``, all columns, without documents that overlap an item.
+
+    A document is an id and a text: other texts of its id, or other texts without an id, stay."""
+    bad = _verified(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("k").alias("_bad")).distinct()
+    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad"), "left_anti")

@@ -79,3 +79,12 @@ def test_no_python_on_the_main_path(spark, documents):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     plan = decontaminate.clean(documents, items)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_clean_removes_texts_and_not_ids(spark):
+    """Other texts under a contaminated text's id, or beside it without an id, stay."""
+    item = "what does the old ferryman carry across the river in the first hard winter"
+    rows = [(None, f"So {item} then?"), (None, "A clean text without an id."), (None, None), (4, f"And {item}."), (4, "A clean text of the same id."), (5, "Another clean text.")]
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, (r for r in rows if item not in (r[1] or ""))))
