@@ -1,10 +1,11 @@
 """Language-model scoring with a log-bilinear neural model.
 
 The vocabulary is open: a token's probability is that of its class after the two
-classes before it, times that of the token within its class.  The most frequent
-``top`` words (and the end of a text) are classes of their own; all other words fall
-into ``tails`` classes by their last two bytes, and within a class a word has the
-add-one probability of its corpus count.  Class sequences are modelled by a
+classes before it, times that of the token within its class.  The most frequent words
+(and the end of a text) are classes of their own: ``top``, or one for each ``spread``
+words of the vocabulary if these are more, up to ``most`` (the normaliser below is a
+table of pairs).  All other words fall into ``tails`` classes by their last two bytes,
+and within a class a word has the add-one probability of its corpus count.  Class sequences are modelled by a
 log-bilinear network: the two context classes have vectors, one matrix for each
 position maps them to a predicted vector, and its inner products with the classes'
 output vectors, plus a bias, are the logits.
@@ -12,9 +13,8 @@ output vectors, plus a bias, are the logits.
 Training is noise-contrastive estimation in numpy: each batch shares ``noise``
 samples from the class frequencies, so data and noise scores are matrix products.
 Every task trains on the windows of its own partition from a common start, and Spark
-averages the parameters, weighted by windows, for ``rounds`` rounds.  One window in
-``every`` of each training text (starting at a place that its own length decides)
-is taken, so what is gathered grows with the corpus.
+averages the parameters, weighted by windows, for ``rounds`` rounds.  Every window of
+every training text is learned from; a task reads its windows in blocks of bounded size.
 
 Scoring: logits are sums of one table for each position, so the normaliser of every
 pair of contexts is one batched matrix product, exp(A) @ exp(B).T, made once.  Token
@@ -104,10 +104,16 @@ class LogBilinear:
             setattr(self, k, flat[at : at + old.size].reshape(old.shape).copy())
             at += old.size
 
-    def train(self, windows: np.ndarray, *, batch: int = 1024, noise: int = 96, rate: float = 0.12, seed: int = 5) -> None:
-        """One pass of noise-contrastive estimation over windows (context 1, context 2, class), with Adagrad."""
+    def fresh_sums(self) -> dict[str, np.ndarray]:
+        """Adagrad's sums before the first step."""
+        return {k: np.full(getattr(self, k).shape, 0.1) for k in self.NAMES}
+
+    def train(self, windows: np.ndarray, *, batch: int = 1024, noise: int = 96, rate: float = 0.12, seed: int = 5, sums: dict[str, np.ndarray] | None = None) -> None:
+        """One pass of noise-contrastive estimation over windows (context 1, context 2, class), with Adagrad.
+
+        With ``sums`` of an earlier block the pass goes on from there."""
         rng = np.random.default_rng(seed)
-        sums = {k: np.full(getattr(self, k).shape, 0.1) for k in self.NAMES}
+        sums = self.fresh_sums() if sums is None else sums
         log_noise = np.log(self.noise * noise)
         drawn = np.searchsorted(np.cumsum(self.noise), rng.random((len(windows) // batch + 1) * noise)).clip(0, len(self.noise) - 1)
         windows = windows[rng.permutation(len(windows))]
@@ -124,14 +130,17 @@ class LogBilinear:
             up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
             down = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
             d_context = up[:, None] * qw + down @ qv
-            d = {"q": np.zeros_like(self.q), "r": np.zeros_like(self.r), "b": np.bincount(w, up, n) + np.bincount(v, down.sum(axis=0), n)}
-            _add(d["q"], np.concatenate([w, v]), np.concatenate([up[:, None] * context, down.T @ context]))
-            _add(d["r"], np.concatenate([h1, h2]), np.concatenate([d_context @ self.m1.T, d_context @ self.m2.T]))
-            d["m1"], d["m2"] = r1.T @ d_context, r2.T @ d_context
-            for k, g in d.items():
+            found = {
+                "q": _added(np.concatenate([w, v]), np.concatenate([up[:, None] * context, down.T @ context])),
+                "r": _added(np.concatenate([h1, h2]), np.concatenate([d_context @ self.m1.T, d_context @ self.m2.T])),
+                "b": (slice(None), np.bincount(w, up, n) + np.bincount(v, down.sum(axis=0), n)),
+                "m1": (slice(None), r1.T @ d_context),
+                "m2": (slice(None), r2.T @ d_context),
+            }
+            for k, (rows, g) in found.items():  # rows without a gradient would not change
                 g /= len(w)
-                sums[k] += g * g * batch
-                setattr(self, k, getattr(self, k) + rate * np.sqrt(batch) * g / np.sqrt(sums[k]))
+                sums[k][rows] += g * g * batch
+                getattr(self, k)[rows] += rate * np.sqrt(batch) * g / np.sqrt(sums[k][rows])
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log tables a[h1, w], b[h2, w] and the normaliser z[h1, h2]: log p(w | h1, h2) = a + b - z.
@@ -145,12 +154,12 @@ class LogBilinear:
         return a.astype(np.float32), b.astype(np.float32), z.astype(np.float32)
 
 
-def _add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """to[rows] += values, with repeated rows."""
+def _added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sums of the values of each."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    to[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -176,23 +185,36 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return in_arrow(docs.select(text_col), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def training_windows(docs: DataFrame, classes, every: int) -> DataFrame:
-    """Rows of packed (context 1, context 2, class) triples, one in ``every`` places of each text."""
+def training_windows(docs: DataFrame, classes, length: int = 16_384) -> DataFrame:
+    """Rows of classes of running text, each text behind two starts: every place from the third on is
+    the end of one window, unless it is a start.  Rows overlap in two places and hold ``length`` windows at most."""
 
     def run(batches):
         own = classes.value
+        starts = np.array([own.start, own.start], np.int32)
         for b in batches:
-            out = []
-            for text in as_bytes(b.column(0)):
-                c = own.of(tokens(text))
-                h1, h2 = own.contexts(c)
-                at = slice(len(text) % every, None, every)
-                out.append(np.column_stack([h1[at], h2[at], c[at]]).astype("<u2"))
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(out).tobytes()], pa.binary())], names=["w"])
+            stream = np.concatenate([x for text in as_bytes(b.column(0)) for x in (starts, own.of(tokens(text)))] or [starts]).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([stream[k : k + length + 2].tobytes() for k in range(0, len(stream) - 2, length)], pa.binary())], names=["w"])
 
     return in_arrow(docs.select("text"), run, "w binary")
 
 
+def blocks(batches, start: int, rows: int = 1 << 18):
+    """Windows (context 1, context 2, class) of the rows of ``training_windows``, about ``rows`` at a time."""
+    held, n = [], 0
+    for b in batches:
+        for x in b.column(0):
+            c = np.frombuffer(x.as_buffer(), "<u2")
+            at = 2 + np.flatnonzero(c[2:] != start)
+            held.append(np.column_stack([c[at - 1], c[at - 2], c[at]]))
+            n += len(at)
+            if n >= rows:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def train(windows: DataFrame, model: LogBilinear, rounds: int) -> LogBilinear:
     """Parameter averaging: each round every task trains from the common parameters on its windows."""
     spark = windows.sparkSession
@@ -200,15 +222,17 @@ def train(windows: DataFrame, model: LogBilinear, rounds: int) -> LogBilinear:
         common = spark.sparkContext.broadcast(model)
 
         def run(batches, common=common, k=k):
-            blobs = [x for b in batches for x in b.column(0).to_pylist()]
-            own = np.frombuffer(b"".join(blobs), "<u2").reshape(-1, 3)
-            if not len(own):
-                return
             mine = LogBilinear.__new__(LogBilinear)
             mine.__dict__.update(common.value.__dict__)
-            mine.train(own, seed=TaskContext.get().partitionId() * 7 + k)
+            mine.load(mine.flat())  # arrays of its own: a step changes them in place
+            sums, n = mine.fresh_sums(), 0
+            for own in blocks(batches, len(mine.noise) - 1):
+                mine.train(own, seed=(TaskContext.get().partitionId() * 7 + k) + (n << 20), sums=sums)
+                n += len(own)
+            if not n:
+                return
             flat = mine.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * len(own)), pa.array(np.full(len(flat), len(own), np.int64))], names=["i", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], names=["i", "v", "n"])
 
         mean = windows.mapInArrow(run, "i int, v double, n bigint").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
         if mean.num_rows:  # as many rows as the model has parameters
@@ -227,9 +251,10 @@ def score(
     modulus: int = 7,
     held: int = 2,
     top: int = 511,
+    spread: int = 32,
+    most: int = 2047,
     tails: int = 256,
     hot: int = 200_000,
-    every: int = 8,
     rounds: int = 2,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); log10 throughout."""
@@ -242,7 +267,7 @@ def score(
     known = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()  # a dictionary of at most ``hot`` words
     words = known.column("word").cast(pa.binary()).to_pylist()
     times = known.column("c").to_pylist()
-    own = [w for w in words[:top]]
+    own = words[: max(top, min(counts.count() // spread, most))]
     tail_class = (F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % tails).cast("int")
     in_tail = ~F.col("word").isin([w.decode() for w in own]) if own else F.lit(True)
     sums = counts.groupBy(F.when(in_tail, tail_class).otherwise(-1).alias("t")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # tails + 1 rows
@@ -256,7 +281,7 @@ def score(
     classes = Classes(own, tails)
     frequency = np.concatenate([np.array(times[: len(own)], float), tail_c, [0.0]])
     shared = spark.sparkContext.broadcast(classes)
-    windows = written(training_windows(training, shared, every), "windows")
+    windows = written(training_windows(training.select("text"), shared), "windows")
     model = train(windows, LogBilinear(frequency), rounds)
     removed(windows)
     tables = spark.sparkContext.broadcast(model.tables())

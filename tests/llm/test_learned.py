@@ -181,3 +181,28 @@ def test_language_model_edges(nasty, no_docs):
     assert lm_scoring.score(no_docs).count() == 0
     nobody = nasty.where("doc_id is null")
     assert {(r.train_tokens, r.n_known, r.base_score) for r in lm_scoring.score(nobody).collect()} == {(0, 0, 0.0)}
+
+
+def test_every_window_is_learned_from(spark):
+    """Short texts and long ones, of all lengths: each token is the class of one window."""
+    texts = ["short", "a bb ccc " * 3, None, "", "one two three four five six seven " * 40, "short", *("x" * n for n in range(1, 9))]
+    classes = lm_scoring.Classes([b"short", b"one", b"\n"], 8)
+    want = Counter()
+    for t in texts:
+        c = classes.of(lm_scoring.tokens((t or "").encode())).tolist()
+        pad = [classes.start, classes.start, *c]
+        want.update(zip(pad[1:-1], pad[:-2], c, strict=True))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for length in (16_384, 50, 1):
+        rows = lm_scoring.training_windows(docs, spark.sparkContext.broadcast(classes), length).toArrow().to_batches()
+        for size in (1 << 18, 10):
+            assert Counter(tuple(w) for b in lm_scoring.blocks(rows, classes.start, size) for w in b.tolist()) == want
+
+
+def test_own_classes_grow_with_the_vocabulary(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(lm_scoring, "train", lambda windows, model, rounds: made.append(len(model.noise) - 9) or model)
+    for n in (100, 2000):
+        docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(n // 20))) for i in range(20)], "doc_id bigint, text string")
+        lm_scoring.score(docs, top=5, tails=8, spread=10, rounds=1).count()
+    assert 5 <= made[0] < 20 and 100 < made[1] < 201
