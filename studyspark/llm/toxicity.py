@@ -4,7 +4,7 @@ Writers hide words by look-alike characters ("1d10t"), by spacing ("i d i o t",
 "i.d.i.o.t") and by repetition ("idiooot").  The channel model turns a suspicious
 token into a lattice: each position may stand for itself, for the letters that it
 resembles, for nothing (a separator between letters), and a run of one letter for one
-or two of it.  A Viterbi search finds the restored word that is likeliest under a
+or two of it; between spaced characters there is a border of words or none.  A Viterbi search finds the restored word that is likeliest under a
 character trigram model of the corpus, less the costs of the channel.  A token
 without anything suspicious has one path, itself, and is not searched.
 
@@ -47,12 +47,13 @@ SEPARATORS = ".-_*~'`^,/\\:;=#"
 OPENINGS = (4, 5, 6)
 #: Natural-log costs of the channel: reading a character as a letter it resembles, dropping a separator, shortening a run.
 COST_LOOKALIKE, COST_DROP, COST_RUN = 0.7, 0.2, 0.3
-#: A longer token is no word.
+#: A longer token is no word: it stays, and what it stands for is added to the text's words.
 LONGEST = 64
 
 _EDGE = re.compile(r"^[^\w$@!|+(]+|[^\w$@+]+$|^(?:([$@!|+(])\1+)+|(?:([$@+])\2+)$")
 _RUN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]+\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[^\s.\-_*](?:[\s.\-_*]+[^\s.\-_*]){2,}[.\-_*]*(?!\S)")
+_GAP = re.compile(r"[\s.\-_*]+")
 
 #: The character model's alphabet: 0 the border of a word, 1-26 letters, 27 any other byte of a letter.
 _K = 28
@@ -87,22 +88,28 @@ class Restorer:
         word = _EDGE.sub("", token)
         if word.isalpha():
             return word if not _RUN.search(word) or len(word) > LONGEST else self.viterbi(word)
-        if len(word) > LONGEST or not any(c.isalpha() for c in word):
-            return word
-        if any(c in LOOKALIKES or c in SEPARATORS for c in word) or _RUN.search(word):
+        return word if len(word) > LONGEST else self.decoded(word)
+
+    def decoded(self, word: str) -> str:
+        """The best path of a word with anything suspicious, else the word, whatever its length."""
+        if word.isalpha():
+            return self.viterbi(word) if _RUN.search(word) else word
+        if any(c.isalpha() for c in word) and (any(c in LOOKALIKES or c in SEPARATORS for c in word) or _RUN.search(word)):
             return self.viterbi(word)
         return word
 
-    def viterbi(self, word: str) -> str:
-        """Best path of the lattice: states are the last two letters emitted."""
+    def viterbi(self, word: str, borders: bool = False) -> str:
+        """Best path of the lattice: states are the last two letters emitted.
+
+        With ``borders`` a word may end, as a space, before any character but the first.  Paths are
+        linked backwards, so the time is linear in the length."""
         runs: list[tuple[str, int]] = []
-        for c in word:
-            if runs and runs[-1][0] == c and c.isalpha():
-                runs[-1] = (c, runs[-1][1] + 1)
-            else:
-                runs.append((c, 1))
-        states = {(0, 0): (0.0, "")}
-        for c, n in runs:
+        for c, same in groupby(word):
+            n = sum(1 for _ in same)
+            runs += [(c, n)] if c.isalpha() and (n > 2 or not borders) else [(c, 1)] * n
+        log = self.log
+        states: dict = {(0, 0): (0.0, None)}
+        for i, (c, n) in enumerate(runs):
             options: list[tuple[str, float]] = []
             if c.isalpha():
                 options.append((c * min(n, 2), 0.0 if n <= 2 else COST_RUN))
@@ -112,29 +119,40 @@ class Restorer:
                 options += [(x, COST_LOOKALIKE) for x in LOOKALIKES.get(c, "")]
                 if c in SEPARATORS or not options:
                     options.append(("", COST_DROP))
+            if borders and i:
+                options += [(" " + x, cost) for x, cost in options if x]
+            steps = [(out, _codes(out), cost) for out, cost in options]
             after: dict = {}
-            for (a, b), (score, text) in states.items():
-                for out, cost in options:
+            for (a, b), (score, path) in states.items():
+                for out, codes, cost in steps:
                     x, y, s = a, b, score - cost
-                    for z in _codes(out):
-                        s += self.log[x][y][z]
+                    for z in codes:
+                        s += log[x][y][z]
                         x, y = y, z
                     best = after.get((x, y))
-                    if best is None or s > best[0] or (s == best[0] and text + out < best[1]):
-                        after[x, y] = (s, text + out)
+                    if best is None or s > best[0]:
+                        after[x, y] = (s, (path, out))
             states = after
-        ended = ((s + self.log[a][b][0], text) for (a, b), (s, text) in states.items())
-        return max(ended, key=lambda e: (e[0], e[1]))[1]
+        path = max(((s + log[a][b][0], path) for (a, b), (s, path) in states.items()), key=lambda e: e[0])[1]
+        text = []
+        while path is not None:
+            path, out = path
+            text.append(out)
+        return "".join(reversed(text))
 
     def words(self, text: str) -> list[str]:
-        """Restored words of a whole text, with one more for each run of spaced single characters."""
-        tokens = text.lower().split()
+        """Restored words of a whole text, with those of each run of spaced single characters and of overlong tokens."""
+        text = text.lower()
+        tokens = text.split()
         out = list(map(self.token.__getitem__, tokens))
-        if sum(map((1).__eq__, map(len, tokens))) > 3:
-            for m in _SPACED.finditer(text.lower()):
-                joined = re.sub(r"\s+", "", m[0])
-                if len(joined) <= LONGEST:
-                    out.append(self.restored(joined))
+        for t in tokens:
+            if len(t) > LONGEST:
+                word = _EDGE.sub("", t)
+                if len(word) > LONGEST and (found := self.decoded(word)) != word:
+                    out.append(found)
+        for m in _SPACED.finditer(text):
+            if any(map(str.isspace, m[0])):  # else it is one token, restored above
+                out += self.viterbi(_GAP.sub("", m[0]), borders=True).split()
         return out
 
 

@@ -206,3 +206,14 @@ def test_own_classes_grow_with_the_vocabulary(spark, monkeypatch):
         docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(n // 20))) for i in range(20)], "doc_id bigint, text string")
         lm_scoring.score(docs, top=5, tails=8, spread=10, rounds=1).count()
     assert 5 <= made[0] < 20 and 100 < made[1] < 201
+
+
+def test_spacing_is_in_the_lattice(restorer):
+    """Borders between spaced characters are found, in runs of three to thousands of characters."""
+    for raw, want in [("a n i d i o t", "an idiot"), ("i t  i s w o r t h l e s s", "it is worthless"), ("t h e\n1 d 1 0 t a n d t h e m o r o n", "the idiot and the moron"), ("m. o. r. o. n.", "moron")]:
+        model = toxicity.Restorer(toxicity.trigram_counts([b"the idiot and the stupid moron said that it is worthless and pathetic to call an idiot " * 50]))
+        assert " ".join(model.words(raw)[-len(want.split()) :]) == want
+    assert restorer.words("t h e")[-1] == "the"
+    long = restorer.words(" ".join("the stupid moron said that it is worthless ".replace(" ", "") * 300))
+    assert long.count("stupid") > 250 and long.count("worthless") > 250
+    assert "stupid" in restorer.words("st" + "u" * 200 + "pid") and "idiot" in restorer.words("i" + "." * 80 + "d.1.o.t")
