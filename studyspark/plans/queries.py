@@ -307,6 +307,15 @@ def q47_tail_sections(spark, d):
     return flat.select("doc_id", F.array_join(html.without_tail(body), "\n\n").alias("text"))
 
 
+@query
+def q62_whole_tail_sections(spark, d):
+    """The whole of each document in three sections, split at thirds of its length; the second are references."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    body = F.concat(F.lit("## Intro\n\n"), F.substring("text", F.lit(1), third), F.lit("\n\n## References\n\n"), F.substring("text", third + 1, third), F.lit("\n\n## Methods\n\nlost\n\n## Appendix A\n\n"), F.substring("text", 2 * third + 1, F.length("text")))
+    flat = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return flat.select("doc_id", F.array_join(html.without_tail(body), "\n\n").alias("text"))
+
+
 # --- questions ---------------------------------------------------------------
 
 
@@ -318,23 +327,33 @@ def q27_qa_pairs(spark, d):
     return rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-def _asked(spark, d):
-    """Question sets of conversations: one per turn, with level, answer and evidence."""
+def _asked(spark, d, whole=False):
+    """Question sets of conversations: one per turn, with level, answer (an opening, or the whole turn) and evidence."""
     level = F.element_at(F.array(*map(F.lit, (*qs.LEVELS, ""))), (F.col("turn") % 5 + 1).cast("int"))
     line = F.trim(F.regexp_replace("text", r"\s+", " "))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", level.alias("type"), F.concat(F.lit("Why "), F.col("turn").cast("string")).alias("question"), F.concat(F.lit("Since "), F.substring(line, 1, 40)).alias("answer"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("e"), F.col("turn").cast("string"))).otherwise("").alias("evidence"), F.when(F.col("turn") % 4 == 0, F.col("turn").cast("int") + 1).alias("page"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", level.alias("type"), F.concat(F.lit("Why "), F.col("turn").cast("string")).alias("question"), F.concat(F.lit("Since "), line if whole else F.substring(line, 1, 40)).alias("answer"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("e"), F.col("turn").cast("string"))).otherwise("").alias("evidence"), F.when(F.col("turn") % 4 == 0, F.col("turn").cast("int") + 1).alias("page"))
     return rows.withColumn("answer", F.trim("answer"))
 
 
-@query
-def q48_question_files(spark, d):
-    """Sets are rendered as files and parsed again: every field comes back."""
+def _files(asked):
     q = F.struct("type", "question", "answer", "evidence", "page")
-    sets = _asked(spark, d).groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", q.alias("q")))), lambda x: x["q"]).alias("q"))
+    sets = asked.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", q.alias("q")))), lambda x: x["q"]).alias("q"))
     files = sets.select("conv_id", qs.write_notes(qs.render_questions(F.col("conv_id").cast("string"), "q", F.lit("made")), F.lit("## Q9 (overview)\nmy note")).alias("md"))
     return files.select("conv_id", F.posexplode(qs.parse_questions("md")).alias("pos", "q")).select("conv_id", "pos", "q.*")
 
 
+@query
+def q48_question_files(spark, d):
+    """Sets are rendered as files and parsed again: every field comes back."""
+    return _files(_asked(spark, d))
+
+
+@query
+def q63_whole_question_files(spark, d):
+    """The same with whole turns as answers."""
+    return _files(_asked(spark, d, whole=True))
+
+
 @query
 def q49_notes_and_titles(spark, d):
     md = F.concat(F.lit("# Study Questions: "), F.col("source"), F.lit("\n\n## Q1\nA?\n\n**Answer:** b\n"))
@@ -406,6 +425,13 @@ def q52_distinct_evidence(spark, d):
     return verification.keep_distinct(rows, 3).select("doc_id", "place")
 
 
+@query
+def q64_whole_distinct_evidence(spark, d):
+    """The same with whole turns as evidence."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), (F.col("role") != "system").alias("passed"), F.col("text").alias("evidence"))
+    return verification.keep_distinct(rows, 3).select("doc_id", "place")
+
+
 # --- layout -----------------------------------------------------------------
 
 
@@ -445,12 +471,26 @@ def q54_page_assembly(spark, d):
     return layout.assemble(pages).select(F.col("doc_id").alias("source"), "text")
 
 
+@query
+def q65_whole_page_assembly(spark, d):
+    """The same with whole texts of all languages."""
+    pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), "text")
+    return layout.assemble(pages).select(F.col("doc_id").alias("source"), "text")
+
+
 @query
 def q55_page_counters(spark, d):
     pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), (F.col("lang") == "de").alias("fallback"), t.needs_ocr("text").alias("ocr"), F.substring("text", 1, 10).alias("text"))
     return layout.page_counters(pages).withColumnRenamed("doc_id", "source")
 
 
+@query
+def q66_whole_page_counters(spark, d):
+    """The same with whole texts: a page is skipped only if nothing stands on it."""
+    pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), (F.col("lang") == "de").alias("fallback"), t.needs_ocr("text").alias("ocr"), "text")
+    return layout.page_counters(pages).withColumnRenamed("doc_id", "source")
+
+
 @query
 def q56_words_from_chars(spark, d):
     """Orders as rows of characters; every seventh part stands upright no more."""
