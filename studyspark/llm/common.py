@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space; bytes.split() and bytes.lower() of
@@ -20,34 +20,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="studyspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) behind a name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/studyspark/{tag}-{uuid.uuid4().hex}"
+    """A fresh name under the application's own folder, which goes when the application ends."""
+    own = f"{shared_dir(spark)}/studyspark-{spark.sparkContext.applicationId}"
+    fs, path = _folder(spark, own)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again; ``codec``: of the files."""
+    """Cut the lineage: write to the shared folder and read again; ``codec``: of the files.
+
+    Whoever knows that nothing reads the table any more calls ``removed``; what a result
+    still reads stays until the application ends."""
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+def removed(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            fs, path = _folder(df.sparkSession, f)
+            fs.delete(path, True)
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str, rows: int, weight: Column, most: int, by_label: bool) -> DataFrame:
+    """(y, text) of at most ``rows`` labelled documents, of each label or of both, whose weights add up to ``most`` at most.
+
+    ``known``: (id, y); ``weight``: an expression over ``text``.  Documents are taken in the order of a hash of
+    their ids; one that no longer fits is passed over.  Only keys and weights reach the driver, ``rows`` at most of
+    each group, never texts; rows equal in id and text are one."""
+    marked = known.withColumn("g", F.col("y") if by_label else F.lit(0)).withColumn("h", F.xxhash64("id"))
+    first = lambda df, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("_n") <= rows).drop("_n")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = picked.join(F.broadcast(first(marked, "h", "id")), "id").withColumn("k", F.xxhash64("id", "text"))
+    sizes = first(keyed.select("g", "h", "id", "k", weight.cast("bigint").alias("n")).distinct(), "h", "id", "k")
+    left, taken = {}, []
+    for r in sorted(sizes.collect(), key=lambda r: (r.h, r.id, r.k)):
+        if r.n <= left.setdefault(r.g, most):
+            left[r.g] -= r.n
+            taken.append((r.k,))
+    chosen = docs.sparkSession.createDataFrame(taken, "k bigint").distinct()
+    return keyed.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("y", "text")
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

@@ -20,13 +20,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # written, so that both sides of the join are plain shuffles: a hub's neighbours can be split
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    found = written(out.where("a <> b").distinct(), "edges")
+    removed(least)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(row) == mark or row[0] == 0:
             break
         mark = tuple(row)
-        after = written(_star(_star(now, True), False), "edges")
+        between = _star(now, True)
         removed(now)
-        now = after
+        now = _star(between, False)
+        removed(between)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

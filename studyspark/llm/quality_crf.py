@@ -7,9 +7,10 @@ good, and a document's score is their average weighted by the lines' lengths.
 
 Training: the lines of a labelled document carry its label.  The model is fitted by
 gradient ascent (Adam) on the penalised log-likelihood, on a bounded sample of the
-labelled rows: at most ``max_labelled`` documents, those with the smallest hashes of
-their ids, and of them those with at most ``max_lines`` lines.  Only the sample's
-features reach the driver.  Scoring covers every line of every text.
+labelled rows: at most ``max_labelled`` documents with at most ``max_lines`` lines
+altogether, in the order of the hashes of their ids.  Only the sample's features reach
+the driver.  Scoring covers every line of every text; chains are padded in blocks of
+bounded size, so that a text of a million lines takes a block of its own.
 
 Edge cases: a null or blank text has no lines and scores the share of label 1 in the
 sample; without labels of both kinds every score is the smoothed share of label 1; a
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_arrow
+from .common import as_bytes, fold, in_arrow, labelled_sample
 
 FEATURES = ("upper", "digit", "symbol", "bar", "high", "words", "word_length", "distinct", "stop", "tail_symbols", "length", "repeat")
 
@@ -79,13 +80,12 @@ def _logsum(a: np.ndarray) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=-1, keepdims=True)))[..., 0]
 
 
-def forward_backward(evidence: list[np.ndarray], joint: np.ndarray):
-    """P(good) of each line, pair marginals summed, and log partition, of many chains at once.
+def _block(evidence: list[np.ndarray], joint: np.ndarray):
+    """``forward_backward`` of a few chains, padded to the longest.
 
-    ``evidence``: the log weight of good against bad, one array for each chain.
     Chains are sorted by length, so that every step works on those still running."""
     order = np.argsort([-len(e) for e in evidence], kind="stable")
-    longest = len(evidence[order[0]]) if len(order) else 0
+    longest = len(evidence[order[0]])
     lengths = np.array([len(evidence[i]) for i in order])
     score = np.zeros((len(order), longest, 2))
     for r, i in enumerate(order):
@@ -98,16 +98,40 @@ def forward_backward(evidence: list[np.ndarray], joint: np.ndarray):
     for t in range(longest - 2, -1, -1):
         k = alive[t + 1]
         beta[:k, t] = _logsum(joint[None] + (score[:k, t + 1] + beta[:k, t + 1])[:, None, :])
-    total = _logsum(alpha[np.arange(len(order)), np.maximum(lengths, 1) - 1]) if longest else np.zeros(len(order))
+    total = _logsum(alpha[np.arange(len(order)), lengths - 1])
     good = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total[:, None])
     pairs = np.zeros((2, 2))
     for t in range(1, longest):
         k = alive[t]
         pairs += np.exp(alpha[:k, t - 1, :, None] + joint[None] + (score[:k, t] + beta[:k, t])[:, None, :] - total[:k, None, None]).sum(axis=0)
-    out: list = [None] * len(evidence)
-    for r, i in enumerate(order):
-        out[i] = good[r, : lengths[r]]
-    return out, pairs, total
+    back = np.argsort(order)
+    return [good[r, : lengths[r]] for r in back], pairs, total[back]
+
+
+def padded_blocks(lengths: list[int], cells: int = 1 << 18, most: int = 1024) -> list[list[int]]:
+    """Places of the chains that are not empty, like lengths together: no block has more than ``cells``
+    padded lines unless it is one chain."""
+    out: list[list[int]] = []
+    for i in sorted((i for i, n in enumerate(lengths) if n), key=lengths.__getitem__):
+        if not out or len(out[-1]) == most or (len(out[-1]) + 1) * lengths[i] > cells:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+def forward_backward(evidence: list[np.ndarray], joint: np.ndarray):
+    """P(good) of each line, pair marginals summed, and log partition of each of many chains.
+
+    ``evidence``: the log weight of good against bad, one array for each chain; an empty chain has
+    no line and log partition 0."""
+    good: list = [np.zeros(0)] * len(evidence)
+    pairs, total = np.zeros((2, 2)), np.zeros(len(evidence))
+    for part in padded_blocks([len(e) for e in evidence]):
+        found, joined, total[part] = _block([evidence[i] for i in part], joint)
+        pairs += joined
+        for i, g in zip(part, found, strict=True):
+            good[i] = g
+    return good, pairs, total
 
 
 class LineCrf:
@@ -132,8 +156,8 @@ class LineCrf:
             seen[label, label] = sum(len(d) - 1 for d, k in zip(docs, labels, strict=True) if k == label)
         for step in range(1, rounds + 1):
             w, joint = theta[:-4], theta[-4:].reshape(2, 2)
-            good, pairs, _ = forward_backward(np.split(x @ w, cuts), joint)
-            gradient = np.concatenate([x.T @ (y - np.concatenate(good)), (seen - pairs).ravel()]) / len(docs) - penalty * theta
+            good, pairs, _ = forward_backward(np.split(x @ w.astype(np.float32), cuts), joint)
+            gradient = np.concatenate([x.T @ (y - np.concatenate(good)).astype(np.float32), (seen - pairs).ravel()]) / len(docs) - penalty * theta
             m = 0.9 * m + 0.1 * gradient
             v = 0.99 * v + 0.01 * gradient**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -145,34 +169,39 @@ class LineCrf:
         if self.weights is None:
             return out
         found = [line_features(t) for t in texts]
-        # chains of like length together: padding stays small however long one text is
-        rows = sorted((i for i, (x, _) in enumerate(found) if len(x)), key=lambda i: len(found[i][0]))
-        for k in range(0, len(rows), 128):
-            part = rows[k : k + 128]
-            good, _, _ = forward_backward([with_neighbours((found[i][0] - self.mean) / self.scale) @ self.weights for i in part], self.joint)
-            for i, g in zip(part, good, strict=True):
-                out[i] = np.clip(np.average(g, weights=found[i][1]), 0, 1)
+        good, _, _ = forward_backward([self.evidence(x) for x, _ in found], self.joint)
+        for i, (g, (_, size)) in enumerate(zip(good, found, strict=True)):
+            if len(g):
+                out[i] = np.clip(np.average(g, weights=size), 0, 1)
+        return out
+
+    def evidence(self, x: np.ndarray) -> np.ndarray:
+        """Log weight of good against bad of each line: ``with_neighbours`` times the weights, part by part."""
+        own, before, after = np.split(self.weights[:-1], 3)
+        x = (x - self.mean) / self.scale
+        out = x @ own + self.weights[-1]
+        out[1:] += (x @ before)[:-1]
+        out[:-1] += (x @ after)[1:]
         return out
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, modulus: int, held: int, max_labelled: int, max_lines: int):
     """The bounded training sample: features of each document's lines, and labels."""
     known = labels.where(F.col(label_col).isNotNull() & (fold(id_col, modulus) != held)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"))) + 1
+    picked = labelled_sample(docs, known, id_col=id_col, text_col=text_col, rows=max_labelled, weight=lines, most=max_lines, by_label=False)
 
     def run(batches):
         for b in batches:
-            texts = [b"" if t is None else t for t in b.column(1).cast(pa.binary()).to_pylist()]
-            x = [line_features(t)[0] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in x], pa.int32()), pa.array([f.tobytes() if len(f) <= max_lines else None for f in x], pa.binary())], names=["y", "n", "x"])
+            x = [line_features(t)[0] for t in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in x], pa.int32()), pa.array([f.tobytes() for f in x], pa.binary())], names=["y", "n", "x"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
-    rows = in_arrow(picked, run, "y int, n int, x binary").where("x is not null and n > 0").collect()
+    rows = in_arrow(picked, run, "y int, n int, x binary").where("n > 0").collect()
     rows.sort(key=lambda r: (r.y, r.n, bytes(r.x)))  # the order of rows does not change the fit
     return [np.frombuffer(r.x, np.float32).reshape(r.n, -1) for r in rows], np.array([min(max(r.y, 0), 1) for r in rows], float)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, held: int = 2, max_labelled: int = 4000, max_lines: int = 2000) -> LineCrf:
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, held: int = 2, max_labelled: int = 4000, max_lines: int = 400_000) -> LineCrf:
     x, y = sample_features(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, held=held, max_labelled=max_labelled, max_lines=max_lines)
     return LineCrf(float((y.sum() + 1) / (len(y) + 2))).fit(x, y)
 
@@ -183,8 +212,7 @@ def kept(docs: DataFrame, model: LineCrf, *, text_col: str = "text", threshold:
 
     def run(batches):
         for b in batches:
-            texts = [b"" if t is None else t for t in b.column(place).cast(pa.binary()).to_pylist()]
-            yield b.filter(pa.array(model.scores(texts) >= threshold))
+            yield b.filter(pa.array(model.scores(as_bytes(b.column(place))) >= threshold))
 
     return in_arrow(docs, run, docs.schema)
 
@@ -200,7 +228,7 @@ def quality(
     held: int = 2,
     threshold: float = 0.7,
     max_labelled: int = 4000,
-    max_lines: int = 2000,
+    max_lines: int = 400_000,
 ) -> DataFrame:
     """(id, held_out, score, predicted) of every text."""
     model = fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, modulus=modulus, held=held, max_labelled=max_labelled, max_lines=max_lines)
@@ -208,8 +236,7 @@ def quality(
 
     def run(batches):
         for b in batches:
-            texts = [b"" if t is None else t for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(texts), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(as_bytes(b.column(1))), pa.float64())], names=["id", "score"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = in_arrow(picked, run, f"id {kind}, score double")

@@ -15,7 +15,12 @@ terms and telling words a text holds gives the score.
 
 The character model counts the trigrams of all texts (its size is the cube of a small
 alphabet).  The terms are fitted on a bounded sample of labelled rows: at most
-``max_labelled`` of each label, those with the smallest hashes of their ids.
+``max_labelled`` of each label, with at most ``max_chars`` characters of each, in the
+order of the hashes of their ids.  Their terms are counted by Spark; the driver gets the
+telling ones and a few numbers of each text.
+
+Spacing is found in runs of three or more single characters.  A word that is only split
+in two ("id iot") is not restored.
 
 Edge cases: a null or empty text restores to nothing and scores as a text without
 terms; without labels of both kinds all scores are the smoothed share of label 1; a
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, fold, in_arrow
+from .common import Memo, as_bytes, fold, in_arrow, labelled_sample, removed, written
 
 # Which letters a character may stand for.
 LOOKALIKES = {
@@ -168,41 +173,27 @@ def _family(words: list[str]) -> int:
     return min((xxh3_64_intdigest(w) for w in words if len(w) > 7), default=0) >> 1 or min(map(xxh3_64_intdigest, words), default=0) >> 1
 
 
-def telling_terms(docs, precision: float = 0.95, limit: int = 2000) -> list[str]:
+def telling_terms(sample: DataFrame, precision: float = 0.95) -> list[str]:
     """Terms whose documents are nearly all toxic, more often than chance lets any candidate be.
 
-    ``docs``: (label, family, words), toxic ones first and families together; one family's
-    words are held at a time.  A term counts once for each family of near copies.  It is
-    kept when the likelihood ratio against an equal share in both samples exceeds what the
-    best of all candidates reaches by chance."""
-    inside: Counter = Counter()
-    outside: Counter = Counter()
-    sizes = [0, 0]
-    for (y, _), family in groupby(docs, key=lambda d: d[:2]):
-        found: set[str] = set()
-        for _, _, words in family:
-            found.update(t for w in words for t in terms_of(w))
-        if not y and not sizes[0]:  # all toxic ones are counted: rare terms cannot pass the test
-            inside = Counter({t: n for t, n in inside.items() if n > 2})
-        if y:
-            inside.update(found)
-        else:
-            outside.update(t for t in found if t in inside)
-        sizes[y] += 1
-    n_clean, n_toxic = sizes
+    ``sample``: (y, family, terms: the different terms of a text).  A term counts once for each
+    family of near copies.  Candidates are the terms of more than two toxic families; one is kept
+    when the likelihood ratio against an equal share in both samples exceeds what the best of all
+    candidates reaches by chance.  What is kept is as large as the sample allows, no more."""
+    sizes = {r.y: r.n for r in sample.select("y", "family").distinct().groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
         return []
+    counted = sample.select("y", "family", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count_if(F.col("y") == 1).alias("n"), F.count_if(F.col("y") == 0).alias("m")).where("n > 2")
+    candidates = written(counted, "terms")
+    least = 2 * math.log(candidates.count() + 1) + 2
     share = n_toxic / (n_clean + n_toxic)
-    least = 2 * math.log(len(inside) + 1) + 2
-    kept = []
-    for term, n in inside.items():
-        m = outside[term]
-        if n / n_toxic < precision * (n / n_toxic + m / n_clean):
-            continue
-        ratio = 2 * (n * math.log(n / ((n + m) * share)) + (m * math.log(m / ((n + m) * (1 - share))) if m else 0))
-        if ratio > least:
-            kept.append((-ratio, term))
-    return [t for _, t in sorted(kept)[:limit]]
+    n, m = F.col("n"), F.col("m")
+    often = n / n_toxic >= precision * (n / n_toxic + m / n_clean)
+    ratio = 2 * (n * F.log(n / ((n + m) * share)) + F.when(m > 0, m * F.log(m / ((n + m) * (1 - share)))).otherwise(0))
+    kept = sorted(r.term for r in candidates.where(often & (ratio > least)).select("term").collect())
+    removed(candidates)
+    return kept
 
 
 class ToxicTerms:
@@ -290,14 +281,14 @@ def toxicity(
     held: int = 0,
     threshold: float = 0.5,
     max_labelled: int = 2500,
+    max_chars: int = 40_000_000,
 ) -> DataFrame:
     """(id, held_out, score, predicted, terms) of every text."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels.where(F.col(label_col).isNotNull() & (fold(id_col, modulus) != held)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("y"))
-    by_hash = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    chosen = by_hash(0).unionByName(by_hash(1))
-    share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    label = F.max(F.when(F.col(label_col) > 0, 1).otherwise(0))
+    known = labels.where(F.col(label_col).isNotNull() & (fold(id_col, modulus) != held)).groupBy(F.col(id_col).alias("id")).agg(label.alias("y"))
+    share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     counts = spark.sparkContext.broadcast(character_model(picked))
 
     def sampled(batches):
@@ -305,21 +296,27 @@ def toxicity(
         for b in batches:
             found = [words(t or "") for t in b.column(1).to_pylist()]
             each = [sorted(set(w)) for w in found]
+            terms = [sorted({t for w in ws for t in terms_of(w)}) for ws in each]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(_family, each), pa.int64()), pa.array([len(w) for w in found], pa.int64()), pa.array(each, pa.list_(pa.string()))],
-                names=["y", "family", "n", "words"],
+                [b.column(0), pa.array(map(_family, each), pa.int64()), pa.array([len(w) for w in found], pa.int64()), pa.array(each, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))],
+                names=["y", "family", "n", "words", "terms"],
             )
 
-    texts = picked.join(F.broadcast(chosen), "id").select("y", "text")
-    # stays in Arrow: Python sees one text's words at a time
-    rows = in_arrow(texts, sampled, "y int, family bigint, n bigint, words array<string>").toArrow().sort_by([("y", "descending"), ("family", "ascending"), ("n", "ascending")])
-    y, families, n = (rows.column(c).to_pylist() for c in ("y", "family", "n"))
-    words = rows.column("words")
-    each = lambda: (words[i].as_py() for i in range(len(y)))
-    model = ToxicTerms(telling_terms(zip(y, families, each(), strict=True)), (share.get(1, 0) + 1) / (sum(share.values()) + 2))
+    texts = labelled_sample(docs, known, id_col=id_col, text_col=text_col, rows=max_labelled, weight=F.length(F.coalesce("text", F.lit(""))), most=max_chars, by_label=True)
+    sample = written(in_arrow(texts, sampled, "y int, family bigint, n bigint, words array<string>, terms array<string>"), "sample")
+    model = ToxicTerms(telling_terms(sample), (share.get(1, 0) + 1) / (sum(share.values()) + 2))
+
+    def measured(batches):
+        for b in batches:
+            x = [model.features(model.found(set(w)), n) for w, n in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    # five numbers of each text of the sample
+    rows = sorted((r.y, tuple(r.x)) for r in in_arrow(sample.select("y", "n", "words"), measured, "y int, x array<double>").collect())
+    removed(sample)
+    y = np.array([k for k, _ in rows], float)
     if 0 in y and 1 in y:
-        model.fit(np.array([model.features(model.found(set(w)), k) for w, k in zip(each(), n, strict=True)]), np.array(y, float))
-    del rows, words
+        model.fit(np.array([x for _, x in rows]), y)
     kind = dict(docs.dtypes)[id_col]
     held_model = spark.sparkContext.broadcast(model)
 
