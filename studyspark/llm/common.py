@@ -66,6 +66,22 @@ def removed(*tables: DataFrame) -> None:
             fs.delete(path, True)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files behind a table made by ``written``."""
+    total = 0
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        fs, path = _folder(df.sparkSession, f)
+        total += fs.getContentSummary(path).getLength()
+    return total
+
+
+def build_side(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A written table of unique keys as the build side of a shuffled hash join, if the share of a partition is
+    ``most`` bytes at most; else Spark is free to sort, which spills."""
+    share = stored_bytes(df) // max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return df.hint("shuffle_hash") if share <= most else df
+
+
 def labelled_sample(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str, rows: int, weight: Column, most: int, by_label: bool) -> DataFrame:
     """(y, text) of at most ``rows`` labelled documents, of each label or of both, whose weights add up to ``most`` at most.
 

@@ -1,14 +1,23 @@
 """Substring deduplication by hashing units of lines.
 
-A text is cut into units: lines, and within lines at white space after punctuation
-that ends a sentence or a table cell, so that a passage is found wherever it stands
-in a line; units of more than ``LONG`` words are cut after their commas too.  What is compared is a unit with at least ``min_words`` words, or a shorter
-one together with those after it until there are enough; so passages of short
-sentences are found as well, whatever stands before them.  It is normalised (lower
-case, white space collapsed, punctuation at its ends dropped) and its 128-bit digest
-grouped globally.  The earliest occurrence (smallest id, then position) stays; all
-others are removed, overlapping ones as one span.  Every removed unit stands in an
-earlier place that is kept.  Offsets are code points of the original text.
+A text is cut into pieces: lines, and within lines at white space after a comma or
+punctuation that ends a sentence or a table cell, so that a passage is found wherever it
+stands in a line.  A unit is a piece with at least ``min_words`` words, or a shorter one
+together with those after it until there are enough; so passages of short sentences are
+found as well, whatever stands before them.  A unit is normalised (lower case, white
+space collapsed, punctuation at its ends dropped) and its 128-bit digest grouped
+globally.  The earliest occurrence (smallest id, then position) is left alone; all others
+are removed, overlapping ones as one span.  Offsets are code points of the original text.
+
+What stays: units overlap, so a piece of an earliest occurrence may go as part of another
+unit, which then has an earlier occurrence still.  Following these places back ends at one
+that is not removed, so every removed piece stands, word for word, in an earlier place
+that is kept; neighbouring pieces may be kept in different documents.
+
+What is missed: a passage in a line without any such punctuation, glued to other words;
+its first or last words up to the next piece; repeated pieces under ``min_words`` words
+whose following text differs; text without spaces, where a run between two marks counts
+as one word.
 
 Units travel as digests and offsets.  A unit that stands earlier in its own document
 is marked where it is made; the group of a digest keeps the smallest rank of a
@@ -27,53 +36,46 @@ from __future__ import annotations
 
 import re
 from decimal import Decimal
-from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, written
+from .common import build_side, in_arrow, removed, written
 
-#: White space with a line feed, or after any character that is no letter, digit, comma, quote, hyphen, colon or bracket.
-_CUT = re.compile(r"\s*\n\s*|(?<=[^\w\s,;:'\"’“”()\-–])[ \t]+")
-_COMMA = re.compile(r",\s+")
-LONG = 24
+#: White space with a line feed, or after any character that is no letter, digit, quote, hyphen, colon, semicolon or opening bracket.
+_CUT = re.compile(r"\s*\n\s*|(?<=[^\w\s;:'\"’“”()\-–])[ \t]+")
 _EDGE = ".,;:!?…|*#%&$\"'’“”()[]<>=+~-–"
 
 
-def units(text: str, min_words: int = 8) -> list[tuple[int, int, str]]:
-    """(start, end, normalised) of what is compared, one for each unit that has enough words by itself
-    or with those after it; end includes the white space that follows."""
-    spans, words, start = [], [], 0
+def pieces(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, lower-cased words) of the pieces; end includes the white space that follows."""
+    out, start = [], 0
     for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
-        part = text[start:end]
-        own = part.lower().split()
-        cuts = [m.end() for m in _COMMA.finditer(part)] if len(own) > LONG else []
-        for x, y in pairwise([0, *cuts, len(part)]):
-            piece = own if not cuts else part[x:y].lower().split()
-            if piece:
-                spans.append((start + x, start + y))
-                words.append(piece)
+        if words := text[start:end].lower().split():
+            out.append((start, end, words))
         start = end
+    return out
+
+
+def units(text: str, min_words: int = 8) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of what is compared, one for each piece that has enough words by itself
+    or with those after it."""
+    own = pieces(text)
     out = []
-    for i, (begin, _) in enumerate(spans):
-        joined, j = words[i], i
-        while len(joined) < min_words and j + 1 < len(spans):
+    for i, (begin, end, joined) in enumerate(own):
+        j = i
+        while len(joined) < min_words and j + 1 < len(own):
             j += 1
-            joined = joined + words[j]
+            _, end, more = own[j]
+            joined = joined + more
         if len(joined) >= min_words:
-            out.append((begin, spans[j][1], " ".join(joined).strip(_EDGE)))
+            out.append((begin, end, " ".join(joined).strip(_EDGE)))
     return out
 
 
-def document_rank(doc_id: int | None, key: int) -> Decimal:
-    """One number that orders documents by id (null last), then by 62 bits of the hash of id and text."""
-    return Decimal(((1 << 63 if doc_id is None else doc_id) << 62) + (key & ((1 << 62) - 1)))
-
-
 def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """(k, spans): for each document key (hash of id and text) with removed units, their sorted (start, end)."""
+    """(id, k, spans): for each document (its id, and a hash of id and text) with removed units, their sorted (start, end)."""
     picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).where("text is not null")
 
     def run(batches):
@@ -82,7 +84,7 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         mask = (1 << 64) - 1
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            hi, lo, again, row, start, end = [], [], [], [], [], []
+            hi, lo, again, row, span = [], [], [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 seen = set()
                 for s, e, u in units(text, min_words):
@@ -92,25 +94,37 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     again.append(h in seen)
                     seen.add(h)
                     row.append(i)
-                    start.append(s)
-                    end.append(e)
+                    span.append(s << 32 | e)
             row = pa.array(row, pa.int32())
-            rank = pa.array([document_rank(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.decimal128(38))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), rank.take(row), pa.array(again, pa.bool_()), b.column(1).take(row), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                names=["hi", "lo", "rank", "again", "k", "start", "end"],
+                [pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(again, pa.bool_()), pa.array(span, pa.int64())],
+                names=["hi", "lo", "id", "k", "again", "span"],
             )
 
-    found = written(in_arrow(picked, run, "hi bigint, lo bigint, rank decimal(38,0), again boolean, k bigint, start int, end int"), "units", codec="zstd")
-    # fixed-width buffers: a hash aggregation, no sort; the join carries the document's key alone, not its rank
-    first = found.groupBy("hi", "lo").agg(F.min_by("k", "rank").alias("first"), F.min("k").alias("least"), F.max("k").alias("most"), F.max("again").alias("within")).where("least < most or within").select("hi", "lo", "first")
-    first = written(first, "repeated")  # so that the join is one of plain shuffles, which can be split where a digest is hot
-    later = found.join(first.hint("shuffle_hash"), ["hi", "lo"]).where("k <> first or again").select("k", "start", "end")
-    own = Window.partitionBy("k").orderBy("start", "end")
+    found = written(in_arrow(picked, run, "hi bigint, lo bigint, id bigint, k bigint, again boolean, span bigint"), "units", codec="zstd")
+    # one number that orders documents by id (null last), then by 62 bits of k; of fixed width: a hash aggregation, no sort
+    low = F.lit((1 << 62) - 1)
+    rank = (F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(Decimal(1 << 63))) * F.lit(Decimal(1 << 62)) + F.col("k").bitwiseAND(low).cast("decimal(20,0)")).cast("decimal(38,0)")
+    repeated = found.groupBy("hi", "lo").agg(F.min(rank).alias("rank"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join is one of plain shuffles, which can be split where a digest is hot;
+    # it needs only the low bits of the first document's rank to tell it from another
+    first = written(repeated.select("hi", "lo", F.pmod("rank", F.lit(Decimal(1 << 62))).cast("bigint").alias("first")), "repeated")
+    later = found.join(build_side(first), ["hi", "lo"]).where((F.col("k").bitwiseAND(low) != F.col("first")) | F.col("again"))
+    later = later.select("id", "k", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("end"))
+    own = Window.partitionBy("id", "k").orderBy("start", "end")
     before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     joined = later.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("n", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = joined.groupBy("k", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return merged.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    merged = joined.groupBy("id", "k", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = written(merged.groupBy("id", "k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    removed(found, first)
+    return spans
+
+
+def _beside(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the column ``_spans``: what goes from each text, or null."""
+    keys = spans.withColumnsRenamed({"id": "_id", "k": "_k", "spans": "_spans"})
+    same = (docs[id_col].cast("bigint").eqNullSafe(keys["_id"])) & (F.xxhash64(docs[id_col], docs[text_col]) == keys["_k"])
+    return docs.join(build_side(keys), same, "left").drop("_id", "_k")
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -123,19 +137,17 @@ def without(text: Column, spans: Column) -> Column:
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
     """(id, text without repeated units, spans: removed (start, end) of the original, n_removed: spans, removed_chars), one row per row."""
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words)
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("k"))
-    joined = keyed.join(spans.hint("shuffle_hash"), "k", "left")
-    kept = without(F.col("text"), F.col("spans"))
-    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("bigint"))
-    return joined.select(F.col("id").alias(id_col), kept.alias(text_col), "spans", F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"), removed.alias("removed_chars"))
+    joined = _beside(docs.select(id_col, text_col), spans, id_col, text_col).withColumnRenamed("_spans", "spans")
+    kept = without(F.col(text_col), F.col("spans"))
+    gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("bigint"))
+    return joined.select(id_col, kept.alias(text_col), "spans", F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"), gone.alias("removed_chars"))
 
 
 def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", min_words: int = 8) -> DataFrame:
     """The rows and columns of ``docs`` with repeated units removed from the text; ``count_col``, if there, is its new length.
 
     Texts of which nothing is left are dropped, unless they were empty before."""
-    spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words).withColumnsRenamed({"k": "_k", "spans": "_spans"})
-    joined = docs.withColumn("_own", F.xxhash64(id_col, text_col)).join(spans.hint("shuffle_hash"), F.col("_own") == F.col("_k"), "left")
+    joined = _beside(docs, duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words), id_col, text_col)
     text = without(F.col(text_col), F.col("_spans"))
     out = joined.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), F.col("_spans").isNotNull().alias("_cut"))
     out = out.where(~F.col("_cut") | (F.length(F.trim(text_col)) > 0)).drop("_cut")

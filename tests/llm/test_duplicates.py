@@ -141,20 +141,47 @@ def brute_units(rows, min_words=8):
     return merged
 
 
-def test_removed_text_stands_in_an_earlier_place(documents):
-    rows = sorted((r.doc_id, r.text) for r in documents.collect())
+def without(text, spans):
+    at, parts = 0, []
+    for s, e in spans:
+        parts.append(text[at:s])
+        at = e
+    return "".join([*parts, text[at:]])
+
+
+def kept_and_lost(rows):
+    """Texts without their spans, and the pieces (words, edges dropped) that no kept text holds any more."""
     spans = brute_units(rows)
-    kept = {}
-    for i, t in rows:
-        at, parts = 0, []
-        for s, e in spans.get(i, []):
-            parts.append(t[at:s])
-            at = e
-        kept[i] = "".join([*parts, t[at:]])
-    left = {u for t in kept.values() for _, _, u in substring_dedup.units(t)}
-    whole = {u for _, t in rows for _, _, u in substring_dedup.units(t)}
-    lost = [u for u in whole - left if sum(u in " ".join(t.lower().split()) for t in kept.values()) == 0]
-    assert len(lost) <= 0.02 * len(whole)  # only units that lie across the edge of a removed span
+    kept = {i: without(t, spans.get(i, [])) for i, t in rows}
+    bare = lambda words: " ".join(words).strip(substring_dedup._EDGE)
+    running = "\n".join(" ".join(t.lower().split()) for t in kept.values())
+    return kept, [p for _, t in rows for _, _, w in substring_dedup.pieces(t) if (p := bare(w)) not in running]
+
+
+def test_no_piece_is_lost(documents):
+    _, lost = kept_and_lost(sorted((r.doc_id, r.text) for r in documents.collect()))
+    assert not lost
+
+
+def test_overlapping_units_leave_every_piece_somewhere(spark):
+    s1, s2, s3 = ("The ferry lay still in the frozen river for weeks.", "Nobody crossed on foot until the ice would bear.", "Then the sledges came with salt from the coast.")
+    rows = [(0, f"{s1} {s2}"), (1, f"{s1} {s2} {s3}"), (2, f"{s2} {s3}"), (3, f"{s3} {s1}")]
+    kept, lost = kept_and_lost(rows)
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == kept and not lost and got[1] == s3 and got[2] == got[3] == ""
+    short = ("It froze, hard.", "Nobody crossed it.", "Salt grew dear then.", "Sledges came by night.")
+    rows = [(0, " ".join(short[:3])), (1, " ".join(short)), (2, " ".join(short[1:])), (3, " ".join(short[2:] + short[:2]))]
+    kept, lost = kept_and_lost(rows)
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == kept and not lost
+
+
+def test_a_sentence_glued_to_other_words(spark):
+    """Whatever the length of what stands around it, the rest of the sentence after its first comma goes."""
+    rest = "the ferrymen carried their salt across on sledges by night because the ice was firmer then."
+    rows = [(0, f"As the river froze, {rest}"), (1, f"five other words stand before As the river froze, {rest}"), (2, f"one As the river froze, {rest}")]
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: rows[0][1], 1: "five other words stand before As the river froze, ", 2: "one As the river froze, "}
 
 
 def test_passage_of_short_sentences(spark):
