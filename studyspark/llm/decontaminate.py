@@ -14,14 +14,21 @@ length still promises a hit for (found by enumeration), so no overlap that would
 verified is missed.  Inserted or lost words split an overlap into alignments that are
 verified each on their own.
 
+Items with fewer words than the masks span have no seed.  They are found whole and
+without substitutions, by the hash of all their words beside those of all runs of that
+many words, wherever they stand (``min_words``: the least number of words of an item that
+takes part).
+
 The benchmark's hashes are broadcast when their counted number is under
 ``broadcast_rows``, else joined by shuffle; the same holds for the proposed
-alignments when they meet the texts again.
+alignments when they meet the texts again, and for the items' words, whose bytes are
+counted as well.
 
 Edge cases: null and empty texts on either side have no words and match nothing;
-items with fewer words than the masks span take no part; repeated rows of a document
-or item are reported once; ids may be null (reported as null); an empty table on
-either side gives an empty result; other columns are ignored.
+repeated rows of a document or item are reported once; of equally good alignments of a
+document and an item the first counts; ids may be null (reported as null); very long
+texts are one row of words each, and only texts with a hit are read again; an empty
+table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,6 +72,15 @@ def _hashed(df: DataFrame, keep: list[str], masks) -> DataFrame:
     return rows.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
+def _runs(df: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
+    """(keep..., at, n, seed): the hash of every run of n words, for each n of ``lengths``."""
+    near = [F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(max(lengths))]
+    rows = df.select(*keep, words("text").alias("w")).select(*keep, F.posexplode(F.arrays_zip(*near)).alias("at", "z"))
+    word = lambda i: F.col("z")[f"w{i}"]  # noqa: E731  null behind the last word
+    runs = F.array(*(F.when(word(n - 1).isNotNull(), F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(-n), *map(word, range(n))).alias("seed"))) for n in lengths))
+    return rows.select(*keep, "at", F.explode(runs).alias("r")).where("r is not null").select(*keep, "at", "r.n", "r.seed")
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast only behind a count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -81,27 +97,40 @@ def _verified(
     masks=MASKS,
     window: int = 13,
     share: float = 0.8,
+    min_words: int = 1,
     broadcast_rows: int = 500_000,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """Verified alignments: (k: hash of a document's id and text, id, item, shift, item_words, n_matched, best_window, length)."""
+    """Verified alignments: (id, k: hash of a document's id and text, item, shift, item_words, n_matched, best_window, length)."""
+    span = max(max(m) for m in masks) + 1
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text"))
     bench = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     seeds = written(_hashed(bench, ["item"], masks).withColumnRenamed("at", "item_at"), "seeds")
-    found = _hashed(texts, ["k"], masks).join(_small(seeds, broadcast_rows), "seed")
-    hits = written(found.select("k", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
+    found = _hashed(texts, ["id", "k"], masks).join(_small(seeds, broadcast_rows), "seed")
+    hits = found.select("id", "k", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    sized = bench.withColumn("size", F.size(words("text"))).where((F.col("size") >= max(min_words, 1)) & (F.col("size") < span))
+    lengths = sorted(r.size for r in sized.select("size").distinct().collect())  # fewer than the span
+    if lengths:
+        whole = written(_runs(sized, ["item", "size"], lengths).where("at = 0 and n = size").select("item", "seed"), "short")
+        short = _runs(texts, ["id", "k"], lengths).join(_small(whole, broadcast_rows), "seed")
+        hits = hits.unionByName(short.groupBy("id", "k", "item").agg(F.min("at").alias("shift")))
+    hits = written(hits, "hits")
     # alignments alone are broadcast, if few; the items' words join what they have found
-    aligned = texts.join(_small(hits, 100_000), "k").withColumnRenamed("text", "doc_text")
+    found = _small(hits.withColumnsRenamed({"id": "hit_id", "k": "hit_k"}), 100_000)
+    aligned = texts.join(found, (F.col("k") == F.col("hit_k")) & F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id", "hit_k").withColumnRenamed("text", "doc_text")
     own = bench.select(F.col("item").alias("own"), words("text").alias("iw"))
-    pairs = aligned.join(_small(own, 10_000), F.col("item").eqNullSafe(F.col("own")))
+    if bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= broadcast_bytes:
+        own = _small(own, 10_000)
+    pairs = aligned.join(own, F.col("item").eqNullSafe(F.col("own")))
     # the item's words beside the document's at that alignment, as arguments that are evaluated once
     beside = F.concat(F.array_repeat(F.lit(""), F.greatest(-F.col("shift"), F.lit(0))), F.slice(words("doc_text"), F.greatest("shift", F.lit(0)) + 1, F.greatest(F.size("iw") + F.least("shift", F.lit(0)), F.lit(0))))
     agree = F.zip_with("iw", beside, lambda a, b: F.when(a == b, 1).otherwise(0))
     # written, else the windows below would evaluate the comparison anew for each start
-    same = written(pairs.select("k", "id", "item", "shift", agree.alias("same")), "alignments")
+    same = written(pairs.select("id", "k", "item", "shift", agree.alias("same")), "alignments")
     length = F.least(F.lit(window), F.size("same"))
     added = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - length + 1), lambda s: added(F.slice("same", s, length))))
-    scored = same.select("k", "id", "item", "shift", F.size("same").alias("item_words"), added("same").alias("n_matched"), best.alias("best_window"), length.alias("length"))
+    scored = same.select("id", "k", "item", "shift", F.size("same").alias("item_words"), added("same").alias("n_matched"), best.alias("best_window"), length.alias("length"))
     needed = F.array(*(F.lit(n - tolerated(masks, n, share)) for n in range(1, window + 1)))
     return scored.where(F.col("best_window") >= F.element_at(needed, F.col("length")))
 
@@ -120,5 +149,6 @@ def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     """The rows of ``docs``, all columns, without documents that overlap an item.
 
     A document is an id and a text: other texts of its id, or other texts without an id, stay."""
-    bad = _verified(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("k").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad"), "left_anti")
+    bad = _verified(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_bad_id"), F.col("k").alias("_bad")).distinct()
+    same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad")) & docs[id_col].eqNullSafe(F.col("_bad_id"))
+    return docs.join(bad, same, "left_anti")

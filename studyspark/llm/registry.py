@@ -123,6 +123,10 @@ WITH dw AS (
 ), dp AS (SELECT id, w, unnest(range(len(w) - 7)) AS pos FROM dw), ip AS (SELECT id, w, unnest(range(len(w) - 7)) AS pos FROM iw),
 ds AS ({_CHOSEN.format("dp")}), si AS ({_CHOSEN.format("ip")}), hits AS (
   SELECT DISTINCT ds.id AS doc_id, si.id AS item_id, ds.pos - si.pos AS shift FROM ds JOIN si USING (mask, seed)
+  UNION ALL
+  SELECT doc_id, item_id, min(pos) FROM (
+    SELECT dw.id AS doc_id, iw.id AS item_id, dw.w AS dws, iw.w AS iws, unnest(range(len(dw.w) - len(iw.w) + 1)) AS pos FROM iw JOIN dw ON len(iw.w) BETWEEN 1 AND 7 AND len(dw.w) >= len(iw.w)
+  ) WHERE dws[pos + 1 : pos + len(iws)] = iws GROUP BY ALL
 ), same AS (
   SELECT doc_id, item_id, shift, len(iw.w) AS n,
     list_transform(range(len(iw.w)), lambda k: CASE WHEN shift + k >= 0 AND dw.w[shift + k + 1] = iw.w[k + 1] THEN 1 ELSE 0 END) AS s

@@ -8,7 +8,7 @@ from studyspark.llm import decontaminate
 
 
 #: 13 words may differ in two; shorter items in as many as still leave a mask free.
-NEEDED = {n: n - decontaminate.tolerated(decontaminate.MASKS, n, 0.8) for n in range(8, 14)}
+NEEDED = {n: n - decontaminate.tolerated(decontaminate.MASKS, n, 0.8) for n in range(1, 14)}
 
 
 def test_masks_find_every_window_with_two_substitutions():
@@ -17,7 +17,7 @@ def test_masks_find_every_window_with_two_substitutions():
 
 
 def test_tolerance():
-    assert NEEDED[13] == 11 and NEEDED[8] == 8 and all(0 <= n - k <= n // 5 for n, k in NEEDED.items())
+    assert NEEDED[13] == 11 and all(NEEDED[n] == n for n in range(1, 9)) and all(0 <= n - k <= n // 5 for n, k in NEEDED.items())
 
 
 def words(text):
@@ -31,8 +31,6 @@ def brute(docs, items):
         dw = words(text)
         for i, passage in items:
             iw = words(passage)
-            if len(iw) < 8:
-                continue
             length = min(13, len(iw))
             for shift in range(-len(iw) + 1, len(dw)):
                 same = [0 <= shift + k < len(dw) and dw[shift + k] == w for k, w in enumerate(iw)]
@@ -44,7 +42,7 @@ def brute(docs, items):
 
 def planted(rng):
     vocabulary = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((7, 8, 13, 20, 40, 55))]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((7, 8, 13, 20, 40, 55, 5, 3, 2, 1))]
     docs = []
     for d in range(60):
         own = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
@@ -67,12 +65,13 @@ def test_against_all_alignments(spark):
 
 
 def test_items_without_hits_and_edges(spark, nasty, no_docs):
-    items = spark.createDataFrame([(1, "The first text holds a handful of plain words."), (1, "The first text holds a handful of plain words."), (2, None), (3, ""), (4, "too few words"), (None, "Another text under the same id quite different from it")], "item_id bigint, text string").withColumn("doc_id", F.lit("clash"))
+    items = spark.createDataFrame([(1, "The first text holds a handful of plain words."), (1, "The first text holds a handful of plain words."), (2, None), (3, ""), (4, "text without"), (None, "Another text under the same id quite different from it")], "item_id bigint, text string").withColumn("doc_id", F.lit("clash"))
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(nasty, items).collect()}
-    assert got == {(1, 1), (6, 1), (6, None)}
+    assert got == {(1, 1), (6, 1), (6, None), (None, 4)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(nasty, items, min_words=3).collect()} == got - {(None, 4)}
     assert decontaminate.overlaps(nasty, items.limit(0)).count() == 0 and decontaminate.overlaps(no_docs, items).count() == 0
     kept = decontaminate.clean(nasty, items)
-    assert kept.columns == nasty.columns and kept.count() == nasty.count() - 4
+    assert kept.columns == nasty.columns and kept.count() == nasty.count() - 5
 
 
 def test_no_python_on_the_main_path(spark, documents):
