@@ -38,6 +38,11 @@ def _folder(spark: SparkSession, path: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.mkdirs(folder)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh name under the application's own folder, which goes when the application ends."""
     own = f"{shared_dir(spark)}/studyspark-{spark.sparkContext.applicationId}"

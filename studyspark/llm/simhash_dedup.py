@@ -11,7 +11,9 @@ minimum fall out, and the rest are verified by their differing bits.
 
 The stage of the pipeline asks for similar sets of shingles instead of few differing
 bits, which no number of bits decides; ``similar_classes`` finds candidates by bands of
-smallest hashes and verifies each by the Jaccard similarity of its sets.
+smallest hashes and verifies each by the Jaccard similarity of its sets.  A bucket of a
+band is first compared with its smallest member; what is then still apart is compared in
+cells of two blocks, which emit spanning forests as below and no pairs.
 
 Only distinct fingerprints are indexed.  A posting never emits its pairs: it emits a
 spanning forest of its links, found by searches that compare one fingerprint with
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_arrow, written
+from .common import as_bytes, in_arrow, removed, written
 from .components import components
 
 
@@ -62,33 +64,6 @@ def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.nda
     return out
 
 
-def wide_fingerprints(texts: list[bytes], shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """256-bit SimHash of each text's set of shingles, as four 64-bit words: one hash of a shingle, mixed four ways."""
-    from xxhash import xxh64_intdigest as h64
-
-    out = np.zeros((len(texts), 4), np.uint64)
-    for i, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
-            continue
-        parts = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-        h = np.unique(np.fromiter((h64(p, seed) for p in parts), np.uint64, max(len(words) - shingle + 1, 1)))
-        for w in range(4):
-            ones = np.zeros(64, np.int64)
-            for k in range(0, len(h), 4096):
-                ones += np.unpackbits(_mixed(h[k : k + 4096], w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i, w] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def _mixed(h: np.ndarray, number: int) -> np.ndarray:
-    """The number-th independent 64-bit hash made from one: multiply and fold, twice."""
-    x = h + np.uint64((number * 0x9E3779B97F4A7C15) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def covering_triples(n: int = 8) -> list[tuple[int, int, int]]:
     """Triples of n positions such that any four positions hold one of them.
 
@@ -215,6 +190,16 @@ def _edges_of_runs(width: int, bits: int, shared: int):
     return run
 
 
+def dealt(rows: DataFrame, by) -> DataFrame:
+    """Adds cell and side: rows whose key has n > 1 blocks go to every cell of their block, by the hash ``by``.
+
+    A cell of two blocks has two sides; one block with itself is one run (cell < 0), like a whole key of one block."""
+    one = rows.where("n <= 1").withColumn("cell", F.lit(-1)).withColumn("side", F.lit(0))
+    many = rows.where("n > 1").withColumn("_b", F.pmod(by, F.col("n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cell = F.when(F.col("_b") == F.col("_o"), -2 - F.col("_b")).otherwise(F.least("_b", "_o") * F.col("n") + F.greatest("_b", "_o")).cast("int")
+    return one.unionByName(many.withColumn("cell", cell).withColumn("side", F.when(F.col("_b") <= F.col("_o"), 0).otherwise(1)).drop("_b", "_o")).drop("n")
+
+
 def linking_edges(fps: DataFrame, *, bits: int, positions: list[tuple[int, ...]], shared: int, block: int = 4096) -> DataFrame:
     """Edges (a, b) between nodes of ``fps`` that connect what links within postings connect.
 
@@ -234,13 +219,8 @@ def linking_edges(fps: DataFrame, *, bits: int, positions: list[tuple[int, ...]]
     hot = written(posted.groupBy("key").count().where(F.col("count") > block), "hot")
     cells = posted.withColumn("cell", F.lit(-1)).withColumn("side", F.lit(0))
     if hot.limit(1).count():
-        dealt = posted.join(hot, "key", "left").withColumn("n", F.coalesce(F.ceil(F.col("count") / block), F.lit(0)).cast("int"))
-        mine = F.pmod(F.xxhash64(*words), F.col("n")).cast("int")
-        pairs = dealt.where("n > 0").withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        # a block is compared with itself as one run (cell < 0), with another as two sides
-        cell = F.when(F.col("b") == F.col("o"), -2 - F.col("b")).otherwise(F.least("b", "o") * F.col("n") + F.greatest("b", "o")).cast("int")
-        cells = dealt.where("n = 0").select(*words, "key", F.lit(-1).alias("cell"), F.lit(0).alias("side"))
-        cells = cells.unionByName(pairs.select(*words, "key", cell.alias("cell"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side")))
+        counted = posted.join(hot, "key", "left").withColumn("n", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")).drop("count")
+        cells = dealt(counted, F.xxhash64(*words))
     ordered = cells.select("key", "cell", "side", *words).repartition("key", "cell").sortWithinPartitions("key", "cell", "side", *words)
     names = [f"{x}{i}" for x in "ab" for i in range(len(words))]
     found = ordered.mapInArrow(_edges_of_runs(len(words), bits, shared), ", ".join(f"{n} bigint" for n in names))
@@ -267,11 +247,13 @@ def classes(docs: DataFrame, *, id_col: str, text_col: str, prints, width: int,
     least = marked.groupBy(*words).agg(F.min("id").alias("least"))
     nodes = components(linking_edges(least.select(*words), bits=bits, positions=positions, shared=shared))
     own = least.select(node(*map(F.col, words)).alias("node"), *words, "least")
-    linked = nodes.join(own, "node").select(*words, "root", "least")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = written(nodes.join(own, "node").select(*words, "root", "least"), "linked")
+    # written, so that a class of very many fingerprints can be split in the join
+    roots = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     found = linked.join(roots, "root").select(*words, "component_id")
     # written, so that both sides of the last join are plain shuffles and a fingerprint with many copies can be split
     whole = written(least.join(found, words, "left").select(*words, F.coalesce("component_id", "least").alias("component_id")), "classes")
+    removed(linked, roots)
     return marked.join(whole, words).select("id", *words, "component_id")
 
 
@@ -330,12 +312,77 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return written(in_arrow(beside, run, "a bigint, b bigint"), "links")
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def similar_forest(sets: list[np.ndarray], roots: list[int], half: int | None, similarity: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """Links, as places, that connect the classes ``roots`` which pairs of similar sets connect; with ``half``
+    only pairs of a set before that place and one from it on count.
+
+    Shared shingles of all pairs are counted by products of membership matrices, some columns at a time."""
+    size = np.array([len(h) for h in sets], np.float64)
+    owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[place] > 1
+    owner, place = owner[several], (np.cumsum(times > 1) - 1)[place[several]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((len(sets), len(sets)))
+    for k in range(0, int((times > 1).sum()), columns):
+        here = slice(*np.searchsorted(place, [k, k + columns]))
+        x = np.zeros((len(sets), columns), np.float32)
+        x[owner[here], place[here] - k] = 1
+        both += x @ x.T
+    close = np.triu(both >= similarity * (size[:, None] + size[None] - both) - 1e-9, 1)
+    if half is not None:
+        close[half:] = False
+        close[:, :half] = False
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while r in parent:
+            r = parent[r]
+        return r
+
+    out = []
+    for a, b in zip(*(x.tolist() for x in np.nonzero(close)), strict=True):
+        p, q = top(roots[a]), top(roots[b])
+        if p != q:
+            parent[q] = p
+            out.append((a, b))
+    return out
+
+
+def _forests_of_cells(shingle: int, similarity: float):
+    """mapInArrow over rows (key, cell, side, node, root, text) sorted by key, cell, side: the forest of each cell."""
+
+    def run(batches):
+        held: list[tuple] = []
+        at = None
+
+        def edges():
+            sets = [shingle_set(r[3], shingle) for r in held]
+            half = None if at[1] < 0 else sum(r[0] == 0 for r in held)
+            found = similar_forest(sets, [r[2] for r in held], half, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([held[p[i]][1] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, cell, side, node, root, text in zip(*(batch.column(i).to_pylist() for i in range(5)), as_bytes(batch.column(5)), strict=True):
+                if (key, cell) != at:
+                    if len(held) > 1:
+                        yield edges()
+                    held, at = [], (key, cell)
+                held.append((side, node, root, text))
+        if len(held) > 1:
+            yield edges()
+
+    return run
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int = 128) -> DataFrame:
     """(k: hash of id and text, id, root: number of the class) of every row.
 
     Nodes are distinct sets of shingles.  In each band's bucket every node is first compared with the
-    smallest; then all pairs of a bucket that stand in different classes are.  So every pair of a bucket is
-    verified or connected already, and a family of near copies costs one comparison for each member."""
+    smallest, so a family of near copies costs one comparison for each member.  Buckets whose nodes then
+    stand in different classes are dealt to cells of two blocks of about ``block`` nodes, which compare all
+    their sets.  So every pair of a bucket is compared or connected already, and none is emitted but links."""
     kind = dict(docs.dtypes)[id_col]
     picked = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -350,20 +397,28 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     marked = written(in_arrow(picked, run, f"k bigint, id {kind}, node bigint, keys array<bigint>"), "sets")
     own = marked.groupBy("node").agg(F.min_by("keys", "k").alias("keys"), F.min("k").alias("k"))
     posted = written(own.select("node", F.explode("keys").alias("key")), "postings")
-    buckets = posted.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    met = written(posted.join(buckets, "key"), "buckets")
+    # written like all aggregates that meet their own rows again: a hot bucket or class can be split in the join
+    buckets = written(posted.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = written(posted.join(buckets, "key"), "met")
+    removed(posted, buckets)
     needed = met.select("node").distinct().join(marked.groupBy("node").agg(F.min("k").alias("k")), "node")
     texts = written(picked.select("k", "text").join(needed, "k").groupBy("node").agg(F.first("text").alias("text")), "texts", codec="zstd")
 
     stars = written(met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = verified(stars, texts, shingle, similarity)
-    classed = met.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    mixed = written(classed.join(apart, "key"), "mixed")
-    pairs = mixed.alias("p").join(mixed.alias("q"), "key").where("p.node < q.node and p.root <> q.root").select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-    links = links.unionByName(verified(written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"), texts, shingle, similarity))
-    linked = components(links)
-    return written(marked.select("k", "id", "node").join(linked, "node", "left").select("k", "id", F.coalesce("root", "node").alias("root")), "classes")
+    classed = written(met.join(components(links), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "classed")
+    removed(met, stars)
+    apart = written(classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "apart")
+    mixed = classed.join(apart, "key").withColumn("n", F.ceil(F.col("n") / block).cast("int"))
+    cells = dealt(mixed, F.xxhash64("node")).join(texts, "node").select("key", "cell", "side", "node", "root", "text")
+    ordered = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "node")
+    more = written(in_arrow(ordered, _forests_of_cells(shingle, similarity), "a bigint, b bigint"), "links")
+    removed(classed, apart, texts)
+    linked = components(links.unionByName(more))
+    removed(links, more)
+    found = written(marked.select("k", "id", "node").join(linked, "node", "left").select("k", "id", F.coalesce("root", "node").alias("root")), "classes")
+    removed(marked)
+    return found
 
 
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -372,7 +427,7 @@ def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Candidates share one of ``BANDS`` bands of ``DEEP`` smallest hashes: all but 4 in a million of pairs
     right at 0.8, fewer above.  Each link is verified by the sets themselves, so nothing under the threshold links."""
     found = _similar(docs, id_col, text_col, shingle, similarity)
-    least = found.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = written(found.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return found.join(least, "root").select(F.col("id").alias(id_col), "component_id")
 
 
@@ -382,15 +437,18 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A document is an id and a text: rows equal in both are one, other rows of an id are decided each by
     their own class.  A null id is larger than any other."""
     found = _similar(docs, id_col, text_col, shingle, similarity)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("first")).select("root", F.col("first.k").alias("first"))
-    rows = written(found.join(first, "root").groupBy("k").agg(F.count("*").alias("n"), F.first(F.col("k") != F.col("first")).alias("goes")), "stay")
+    first = written(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("first")).select("root", F.col("first.id").alias("first_id"), F.col("first.k").alias("first")), "first")
+    goes = ~(F.col("k").eqNullSafe(F.col("first")) & F.col("id").eqNullSafe(F.col("first_id")))
+    rows = written(found.join(first, "root").groupBy("id", "k").agg(F.count("*").alias("n"), F.first(goes).alias("goes")).where("goes or n > 1"), "stay")
+    removed(found, first)
     small = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df  # noqa: E731  proven small, else a shuffle join
-    gone = small(rows.where("goes").select(F.col("k").alias("_gone")))
     own = F.xxhash64(docs[id_col], docs[text_col])
-    out = docs.join(gone, own == F.col("_gone"), "left_anti")
-    again = rows.where("n > 1 and not goes").select(F.col("k").alias("_again"))
+    same = lambda keys: (own == keys["_k"]) & docs[id_col].eqNullSafe(keys["_id"])
+    gone = small(rows.where("goes").select(F.col("k").alias("_k"), F.col("id").alias("_id")))
+    out = docs.join(gone, same(gone), "left_anti")
+    again = rows.where("n > 1 and not goes").select(F.col("k").alias("_k"), F.col("id").alias("_id"))
     if again.limit(1).count():  # repeated rows of one document
         again = small(again)
-        once = out.join(again, own == F.col("_again")).dropDuplicates(["_again"]).select(*docs.columns)
-        out = out.join(again, own == F.col("_again"), "left_anti").unionByName(once)
+        once = out.join(again, same(again)).dropDuplicates(["_k", "_id"]).select(*docs.columns)
+        out = out.join(again, same(again), "left_anti").unionByName(once)
     return out

@@ -2,7 +2,10 @@
 
 Writing: a record is one string; the writer's line separator is the CRLF CRLF that
 ends a record, so archives come out of Spark's own commit protocol on any store.
-Files roll after ``records_per_file`` records, which bounds a file.  Equal payloads
+Files roll by number of records, which is the smaller the larger the records are: rows
+are written by classes of size, so that a file holds about ``file_bytes`` or one record,
+whichever is more (a record and its archive stay below the two gigabytes of one value).
+Equal payloads
 (by SHA-1 of the full payload) are written once, as the response with the smallest
 page id; the others become revisit records that refer to it.
 
@@ -11,7 +14,9 @@ headers and inside payloads alike, and emit for each candidate the offset of the
 successor that its header implies, with the fields of the record.  Pointer jumping
 from offset 0 of each file then doubles the reached part of the chain in every
 round; a candidate that no chain reaches is magic inside a payload and falls out.
-The payload itself never leaves the scanning task: digest and length travel.
+The payload itself never leaves the scanning task: digest and length travel.  Reading
+fails when an archive does not begin with a record, when a chain ends before its file
+does, or when a reached record's payload differs from its header's length or digest.
 
 Edge cases: a null html is an empty payload; payloads of at least ``min_payload``
 bytes take part in revisits, smaller ones are all responses; repeated rows (same
@@ -32,13 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_arrow, new_path, written
+from .common import as_bytes, in_arrow, make_folder, new_path, removed, written
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _SCHEMA = "file string, at bigint, next bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, sound boolean"
 
+#: Classes of payload sizes: each is four times the one before.
+SMALLEST, STEP, LARGEST = 1 << 14, 4, 1 << 30
+
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -111,17 +119,18 @@ def reached(at: np.ndarray, following: np.ndarray) -> np.ndarray:
     return seen[:n]
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, records_per_file: int = 4000, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> None:
-    """Write one record for each row to text files under ``path``."""
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, file_bytes: int = 1 << 26, date: str = "2024-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> None:
+    """Write one record for each row to text files under ``path``, one folder for each class of size."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     marks = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("n"))
     known = marks.where(f"page_id is not null and n >= {int(min_payload)}")
-    shared = known.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
+    # written, so that both sides of the join are plain shuffles: a payload of very many pages can be split
+    shared = written(known.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last"), "payloads")
     later = written(known.join(shared, "sha").where("page_id > first").select("page_id", "sha", "first").distinct(), "revisits")
+    keys = later.withColumnsRenamed({"page_id": "later_id", "sha": "later_sha"})
     if later.limit(broadcast_rows + 1).count() <= broadcast_rows:  # proven small, else a shuffle join
-        later = F.broadcast(later)
-    later = later.withColumnsRenamed({"page_id": "later_id", "sha": "later_sha"})
-    dealt = rows.join(later, (F.col("page_id") == F.col("later_id")) & (F.sha1(F.col("html").cast("binary")) == F.col("later_sha")), "left").select("page_id", "url", "html", "first")
+        keys = F.broadcast(keys)
+    dealt = rows.join(keys, (F.col("page_id") == F.col("later_id")) & (F.sha1(F.col("html").cast("binary")) == F.col("later_sha")), "left").select("page_id", "url", "html", "first")
 
     def run(batches):
         for b in batches:
@@ -129,7 +138,33 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
             made = [record(p, u, h, r, date.encode()) for p, u, h, r in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], names=["value"])
 
-    in_arrow(dealt, run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    # the url counts as well: a record is its payload and a head
+    size = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0))
+    top, tiers = SMALLEST, []
+    while top < LARGEST:
+        tiers.append(top)
+        top *= STEP
+    own = F.coalesce(*(F.when(size <= t, n) for n, t in enumerate(tiers)), F.lit(len(tiers))).alias("tier")
+    make_folder(pages.sparkSession, path)  # there, even if empty
+    for r in sorted(rows.select(own).distinct().collect()):  # one row for each class of size
+        here = dealt.where(own == r.tier)
+        per_file = max(1, file_bytes // tiers[r.tier]) if r.tier < len(tiers) else 1
+        in_arrow(here, run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(f"{path}/size-{r.tier}")
+    removed(shared, later)
+
+
+class BrokenArchive(ValueError):
+    """An archive is cut off, or a record does not hold what its header says."""
+
+
+def checked(name: str, data: bytes) -> list[tuple]:
+    """The candidates of a whole archive, which begins with a record and ends behind one."""
+    found = candidates(data)
+    if data and not data.startswith(MAGIC):
+        raise BrokenArchive(f"{name} does not begin with a record")
+    if data and not any(c[1] == len(data) for c in found):
+        raise BrokenArchive(f"{name} does not end behind a record")
+    return found
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -139,7 +174,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def scan(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = candidates(data.as_py())
+                found = checked(name, data.as_py())
                 cols = list(zip(*found, strict=True)) if found else [()] * 8
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
                 arrays = [pa.array([name] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
@@ -147,7 +182,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def chain(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
-        return t.filter(pa.array(reached(t.column("at").to_numpy(), t.column("next").to_numpy())))
+        end = max(t.column("next").to_pylist())  # the end of the file: some candidate ends there, none behind it
+        t = t.filter(pa.array(reached(t.column("at").to_numpy(), t.column("next").to_numpy())))
+        if t.column("next").to_pylist()[-1] != end:
+            raise BrokenArchive(f"the chain of {t.column('file')[0]} ends before the file does")
+        if not all(t.column("sound").to_pylist()):
+            raise BrokenArchive(f"a record of {t.column('file')[0]} does not hold what its header says")
+        return t
 
     return files.mapInArrow(scan, _SCHEMA).groupBy("file").applyInArrow(chain, _SCHEMA)
 

@@ -226,8 +226,7 @@ def test_edges_of_substring_dedup(nasty, no_docs):
 
 
 def test_fingerprint_array_shapes():
-    assert simhash_dedup.fingerprints([]).shape == (0,) and simhash_dedup.wide_fingerprints([b"", b"a b"]).shape == (2, 4)
-    assert not np.any(simhash_dedup.wide_fingerprints([b""]))
+    assert simhash_dedup.fingerprints([]).shape == (0,) and not np.any(simhash_dedup.fingerprints([b"", b" "]))
 
 
 def jaccard_pair(rng, n, k):
@@ -269,8 +268,27 @@ def test_chains_link_beside_a_node_that_does_not(spark):
         rows.append((i, " ".join(text)))
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
     near = [(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_classes(df).collect()}
     assert got == union(near, list(sets)) and len(near) > 20
+    for block in (3, 16):  # the same classes when buckets are dealt to cells of a few nodes
+        found = {}
+        for r in simhash_dedup._similar(df, "doc_id", "text", 5, 0.8, block=block).collect():
+            found.setdefault(r.root, []).append(r.id)
+        assert {i: min(ids) for ids in found.values() for i in ids} == got
+
+
+def test_forest_of_a_cell_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for n, half in ((1, None), (30, None), (30, 11), (30, 0)):
+        base = rng.integers(0, 400, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, 45, replace=False), rng.integers(0, 400, int(k)).astype(np.uint64)])) for k in rng.integers(0, 9, n)]
+        roots = [int(r) for r in rng.integers(0, 12, n)]
+        inside = lambda i, j: half is None or i < half <= j
+        pairs = [(i, j) for i, j in combinations(range(n), 2) if inside(i, j) and 10 * len(np.intersect1d(sets[i], sets[j])) >= 7 * len(np.union1d(sets[i], sets[j]))]
+        got = simhash_dedup.similar_forest(sets, roots, half, 0.7, columns=50)
+        assert set(got) <= set(pairs) and len(got) < max(n, 1)
+        assert union([(roots[a], roots[b]) for a, b in got], set(roots)) == union([(roots[a], roots[b]) for a, b in pairs], set(roots))
 
 
 def test_one_of_each_decides_by_id_and_text(spark):

@@ -72,7 +72,7 @@ PAGES = [
 
 def test_archive_round_trip(spark):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumns({c: F.lit("x") for c in ("sha", "n", "first", "value", "file", "at", "next")})
-    got = warc.archived(df.repartition(3), records_per_file=2).collect()
+    got = warc.archived(df.repartition(3), file_bytes=2 * warc.SMALLEST).collect()
     assert all(r.sound for r in got) and len(got) == len(PAGES)
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     want = sorted((p, len((h or "").encode()), digest(h), {5: "revisit", 4: "revisit"}.get(p, "response"), {5: 3, 4: 2}.get(p)) for p, _, h in PAGES if p is not None)
@@ -105,3 +105,29 @@ def test_candidates_of_broken_bytes():
     assert warc.candidates(b"") == []
     assert warc.candidates(b"WARC/1.1\r\nno end")[0][1] == -1
     assert warc.candidates(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n")[0][1] == -1
+
+
+def test_files_roll_by_size(spark, tmp_path):
+    """Small and large records, and one larger than a file may be."""
+    html = {i: ("p%d " % i) * (10 if i % 4 else 12_000) for i in range(60)} | {99: "long " * 10_000_000}
+    df = spark.createDataFrame(list(html.items()), "page_id bigint, html string").withColumn("url", F.lit("u")).repartition(2)
+    warc.write_archives(df, f"{tmp_path}/a", file_bytes=1 << 17)
+    sizes = sorted(p.stat().st_size for p in tmp_path.rglob("part-*"))
+    assert sizes[-1] > 50_000_000 and all(n < 1 << 18 for n in sizes[:-1]) and len(sizes) > 9
+    got = {r.page_id: r for r in warc.read_archives(spark, f"{tmp_path}/a").collect()}
+    assert {i: r.payload_bytes for i, r in got.items()} == {i: len(t) for i, t in html.items()}
+    assert all(r.payload_digest == warc.base32_sha1(html[i].encode()) for i, r in got.items())
+
+
+def test_broken_archives_fail(spark, tmp_path):
+    good = b"".join(warc.record(i, b"u", b"payload %d" % i, None, b"2024-01-01T00:00:00Z") + b"\r\n\r\n" for i in range(3))
+    damaged = good.replace(b"payload 1", b"payl0ad 1")
+    inside = good.replace(b"payload 2", b"WARC/1.1\r\n")  # a length that no longer holds
+    for name, data, fails in (("good", good, False), ("cut", good[:-30], True), ("front", b"x" + good, True), ("damaged", damaged, True), ("inside", inside, True), ("empty", b"", False)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_bytes(data)
+        if fails:
+            with pytest.raises(Exception, match="BrokenArchive"):
+                warc.read_archives(spark, str(tmp_path / name)).count()
+        else:
+            assert warc.read_archives(spark, str(tmp_path / name)).count() == (3 if data else 0)
