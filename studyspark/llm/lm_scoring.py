@@ -15,16 +15,19 @@ samples from the class frequencies, so data and noise scores are matrix products
 Every task trains on the windows of its own partition from a common start, and Spark
 averages the parameters, weighted by windows, for ``rounds`` rounds.  Every window of
 every training text is learned from; a task reads its windows in blocks of bounded size.
+There are at most ``trainers`` such tasks, so what is averaged does not grow with the
+input.  As with any such training, how the table is partitioned changes scores a little.
 
 Scoring: logits are sums of one table for each position, so the normaliser of every
 pair of contexts is one batched matrix product, exp(A) @ exp(B).T, made once.  Token
 log-probabilities are then table look-ups and are normalised exactly.
 
-Counts cover all training tokens.  The ``hot`` most frequent words go to the tasks as
-a dictionary of bounded size; tokens beyond them leave as (text, word, times) and meet
-their counts by a shuffle join.
+Counts cover all training tokens.  The most frequent words, ``hot`` at most, go to the
+tasks as a dictionary: those with a count so high that no more than that have it.
+Tokens beyond them leave as (text, word, times) and meet their counts by a shuffle join.
 
-Edge cases: a null or empty text is its end token; a null id is scored, is not held
+Edge cases: a very long text is one array of class numbers, and its windows are cut into
+rows of bounded length; a null or empty text is its end token; a null id is scored, is not held
 out and is not learned from; repeated rows are scored and counted each; without
 training texts all counts are 0 and the classes uniform; an empty table gives an
 empty result; other columns are ignored.
@@ -185,6 +188,22 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return in_arrow(docs.select(text_col), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def most_frequent(counts: DataFrame, hot: int, steps: int = 1 << 16) -> pa.Table:
+    """(word, c) of the words whose count no more than ``hot`` words have or exceed, most frequent first, then by word.
+
+    The least such count is found from how many words have each count, so no task sorts a vocabulary."""
+    shares = counts.groupBy(F.least("c", F.lit(steps)).alias("c")).agg(F.count("*").alias("n")).collect()  # steps rows at most
+    least, n = None, 0
+    for r in sorted(shares, key=lambda r: -r.c):
+        n += r.n
+        if n > hot:
+            break
+        least = r.c
+    if least is None:  # nothing, or more words than ``hot`` at the top: these alone are sorted
+        return counts.where(F.col("c") >= steps).orderBy(F.desc("c"), "word").limit(hot).toArrow()
+    return counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+
+
 def training_windows(docs: DataFrame, classes, length: int = 16_384) -> DataFrame:
     """Rows of classes of running text, each text behind two starts: every place from the third on is
     the end of one window, unless it is a start.  Rows overlap in two places and hold ``length`` windows at most."""
@@ -256,6 +275,7 @@ def score(
     tails: int = 256,
     hot: int = 200_000,
     rounds: int = 2,
+    trainers: int = 2048,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); log10 throughout."""
     spark = docs.sparkSession
@@ -264,7 +284,7 @@ def score(
     training = picked.where(fold("id", modulus) != held)
     counts = written(word_counts(training), "counts")
 
-    known = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()  # a dictionary of at most ``hot`` words
+    known = most_frequent(counts, hot)
     words = known.column("word").cast(pa.binary()).to_pylist()
     times = known.column("c").to_pylist()
     own = words[: max(top, min(counts.count() // spread, most))]
@@ -282,7 +302,7 @@ def score(
     frequency = np.concatenate([np.array(times[: len(own)], float), tail_c, [0.0]])
     shared = spark.sparkContext.broadcast(classes)
     windows = written(training_windows(training.select("text"), shared), "windows")
-    model = train(windows, LogBilinear(frequency), rounds)
+    model = train(windows.coalesce(trainers), LogBilinear(frequency), rounds)
     removed(windows)
     tables = spark.sparkContext.broadcast(model.tables())
     heads = spark.sparkContext.broadcast((pa.array(words, pa.binary()), np.array(times, np.int64)))

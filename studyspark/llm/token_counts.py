@@ -11,7 +11,12 @@ A merge never crosses a place where no piece can reach: pieces hold the space
 sign only at their front, and no piece holds a line feed.  So the count of a text
 is the sum over its space-led words, and words are counted once and remembered.
 
-Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows give
+Only models of this kind are taken: byte-pair merging with byte fallback, no normaliser,
+a space sign before the text, no pieces added by a user.  Any other is refused, since its
+counts would differ.
+
+Edge cases: a very long text is one list of words, a very long word one list of symbols
+and a heap of its pairs, so time grows with length times its logarithm; a null text counts as empty (0 bytes, 0 tokens); repeated rows give
 repeated results; a null id is passed through; an empty table gives an empty
 result; columns other than the id and the text are ignored.
 """
@@ -30,13 +35,61 @@ from .common import Memo, in_arrow
 SPACE = "▁"
 
 
+def _fields(data: bytes):
+    """(number, value) of the fields of a protocol buffer message: integers, or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        else:
+            size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield number, data[at : at + size]
+            at += size
+
+
+def unlike(model: bytes) -> list[str]:
+    """Why a model's counts would not be those of ``PieceCounter``; nothing if they are."""
+    # fixed values: the numbers of the model file's fields, and their defaults
+    trainer, normaliser, kinds = {3: 1, 35: 0}, {2: b"", 3: 1, 4: 1, 5: 1}, set()
+    for number, value in _fields(model):
+        if number == 1:
+            kinds.add(dict(_fields(value)).get(3, 1))
+        elif number in (2, 3):
+            (trainer if number == 2 else normaliser).update(_fields(value))
+    reasons = {
+        "it is not byte-pair merging": trainer[3] != 2,
+        "it has no byte fallback": not trainer[35],
+        "it normalises texts": bool(normaliser[2]) or bool(normaliser[4]),
+        "it puts no space sign before a text": not normaliser[3] or not normaliser[5],
+        "it has pieces of a user": 4 in kinds,
+    }
+    return [why for why, holds in reasons.items() if holds]
+
+
 class PieceCounter:
     """Counts the tokens of a sentencepiece BPE vocabulary with byte fallback."""
 
     def __init__(self, model_file: str, limit: int = 600_000):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        with open(model_file, "rb") as f:
+            model = f.read()
+        if why := unlike(model):
+            raise ValueError(f"{model_file}: {', '.join(why)}")
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.rank = {
             sp.id_to_piece(i): -sp.get_score(i)
             for i in range(sp.get_piece_size())

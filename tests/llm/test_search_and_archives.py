@@ -33,10 +33,28 @@ def test_trees_against_brute_force_with_ties(spark, dim, spread, n):
     rows = [(i * 3 - 50, [rng.randint(-spread, spread) for _ in range(dim)]) for i in range(n)]
     df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
     queries = [r for r in rows if r[0] % 5 == 0]
-    got = topk_mtree.top_k(df, df.where("vec_id % 5 = 0"), k=20, tree_rows=128, block_rows=32)
+    got = topk_mtree.top_k(df, df.where("vec_id % 5 = 0"), k=20, tree_rows=(64, 128), block_rows=(16, 32))
     assert found(got) == brute(rows, queries, 20)
 
 
+def test_clustered_vectors_are_routed(spark):
+    """Clusters, many copies of one vector, and fewer pivots than trees: the same as all comparisons, with fewer of them."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 300, (12, 6))
+    v = np.floor(np.concatenate([np.repeat(centres, 60, axis=0) + rng.normal(0, 4, (720, 6)), np.tile(centres[:1], (300, 1))])).astype(int).tolist()
+    rows = list(enumerate(v))
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
+    for most in (1024, 3):
+        got = topk_mtree.top_k(df, df.where("vec_id % 7 = 0"), k=5, tree_rows=(40, 40), block_rows=(20, 20), most_pivots=most)
+        assert found(got) == brute(rows, [r for r in rows if r[0] % 7 == 0], 5)
+    tree = topk_mtree.MTree(np.arange(720), np.array(v[:720], float), page=16, fanout=6)
+    for i in range(0, 720, 10):
+        tree.search(tree.vectors[i], int(tree.ids[i]), 5)
+    assert tree.computed < 0.8 * 72 * 720
+    best = tree.search(tree.vectors[0], -1, 5)
+    assert tree.search(tree.vectors[0], -1, 5, best[2][0]) == [b for b in best if b[0] >= best[2][0]]
+
+
 def test_pages_small_enough_to_have_inner_levels():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 60, (30, 5))

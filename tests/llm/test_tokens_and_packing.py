@@ -42,6 +42,21 @@ def test_counts_equal_the_library_on_any_text(text):
     assert token_counts.counter(PIECES).count(text) == len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text))
 
 
+def test_models_of_another_kind_are_refused(tmp_path):
+    """The same file with another trainer, normaliser or piece kind appended: later fields win."""
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    assert token_counts.unlike(model) == []
+    field = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    changes = {"byte-pair": field(2, b"\x18\x01"), "fallback": field(2, b"\x98\x02\x00"), "normalises": field(3, b"\x20\x01"), "sign": field(3, b"\x18\x00"), "user": field(1, b"\x0a\x01x\x18\x04")}
+    for word, more in changes.items():
+        (why,) = token_counts.unlike(model + more)
+        assert word in why
+        (tmp_path / "m.model").write_bytes(model + more)
+        with pytest.raises(ValueError, match=word):
+            token_counts.PieceCounter(str(tmp_path / "m.model"))
+
+
 @pytest.mark.parametrize("text", ODD)
 def test_ids_equal_the_library(tokenizer, text):
     got = np.frombuffer(packing.chunked_ids(BYTES).ids(text), "<u4").tolist()
