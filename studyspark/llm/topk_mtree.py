@@ -309,5 +309,7 @@ def _searched(trees: DataFrame, routed: DataFrame, k: int) -> DataFrame:
             "ids": pa.array([[i for _, i in found[n]] for n in keep], pa.list_(pa.int64())), "scores": pa.array([[s for s, _ in found[n]] for n in keep], pa.list_(pa.int64())),
         })
 
-    cells = trees.join(routed.select(*keys).distinct(), keys[:3])
-    return cells.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(search, "query_id bigint, ids array<bigint>, scores array<bigint>")
+    needed = routed.select(*(F.col(c).alias(f"own_{c}") for c in keys)).distinct()
+    same = [trees[c] == needed[f"own_{c}"] for c in keys[:3]]
+    cells = trees.join(needed, same).select(*(f"own_{c}" for c in keys), "blob")
+    return cells.groupBy(*(f"own_{c}" for c in keys)).cogroup(routed.groupBy(*keys)).applyInArrow(search, "query_id bigint, ids array<bigint>, scores array<bigint>")
