@@ -36,15 +36,14 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, fold, in_arrow, removed, written
+from .common import fold, in_arrow, removed, written
 
 #: The end of a text; white space, so no word is equal to it.
 END = b"\n"
@@ -56,6 +55,46 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
+class Words:
+    """The words of a batch of texts, lower-cased, as one Arrow array, and how many each text has."""
+
+    def __init__(self, texts: pa.Array):
+        found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        flat, owner = found.flatten(), pc.list_parent_indices(found)
+        full = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
+        self.flat = flat.filter(full)
+        self.owner = owner.filter(full).to_numpy()
+        self.size = np.bincount(self.owner, minlength=len(texts))
+
+    def places(self, vocabulary: pa.Array) -> np.ndarray:
+        """The place of each word in a vocabulary, -1 where it has none."""
+        return pc.fill_null(pc.index_in(self.flat, vocabulary), -1).to_numpy()
+
+    def with_ends(self, words: np.ndarray, end) -> np.ndarray:
+        """Values of all words with ``end`` behind each text's."""
+        out = np.full(len(words) + len(self.size), end, words.dtype)
+        out[np.arange(len(words)) + self.owner] = words
+        return out
+
+    @property
+    def begins(self) -> np.ndarray:
+        """Where each text begins in ``with_ends``."""
+        return np.concatenate([[0], np.cumsum(self.size + 1)[:-1]]).astype(np.int64)
+
+
+def parts(column: pa.Array, most: int = 1 << 26):
+    """(first row, slice) of a column of texts, each with ``most`` bytes at most or one text."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    at, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if total and total + n > most:
+            yield at, column.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if len(column):
+        yield at, column.slice(at)
+
+
 class Classes:
     """Class numbers of words: own classes first, then the tails by ending, then the start of a text."""
 
@@ -64,8 +103,11 @@ class Classes:
         self.own = len(words)
         self.size = self.own + tails + 1
         self.start = self.size - 1
-        self._of = Memo(lambda w: self.own + zlib.crc32(w[-2:]) % tails)
-        self._of.update({w: i for i, w in enumerate(words)})
+        self.vocabulary = pa.array(words, pa.binary()).cast(pa.string())
+        # by the last two bytes, the second last first; a word of one byte has a row of its own
+        tail = lambda x: self.own + zlib.crc32(x) % tails
+        self._tails = np.array([tail(bytes([x, y])) for x in range(256) for y in range(256)] + [tail(bytes([y])) for y in range(256)], np.int32)
+        self.end = words.index(END) if END in words else int(tail(END))
 
     def __getstate__(self):
         return self.words, self.tails
@@ -73,27 +115,45 @@ class Classes:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self._of.__getitem__, words), np.int32, len(words))
-
-    def contexts(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes one and two places before each of ``c``."""
-        pad = np.concatenate([[self.start, self.start], c])
-        return pad[1:-1], pad[:-2]
+    def tail(self, words: pa.Array) -> np.ndarray:
+        """The classes that words not empty have by their endings."""
+        if not len(words):
+            return np.empty(0, np.int32)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        last = data[ends[1:] - 1].astype(np.int64)
+        before = np.where(ends[1:] - ends[:-1] > 1, data[np.maximum(ends[1:] - 2, 0)].astype(np.int64), 256)
+        return self._tails[before * 256 + last]
+
+    def of(self, words: Words) -> np.ndarray:
+        """The classes of all words, an end behind each text's."""
+        place = words.places(self.vocabulary).astype(np.int32)
+        other = np.flatnonzero(place < 0)
+        place[other] = self.tail(words.flat.take(pa.array(other)))
+        return words.with_ends(place, self.end)
+
+    def contexts(self, c: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes one and two places before each of ``c``, in texts that begin at ``begins``."""
+        one, two = np.empty_like(c), np.empty_like(c)
+        one[1:], two[2:] = c[:-1], c[:-2]
+        one[begins] = two[begins] = self.start
+        second = begins + 1
+        two[second[second < len(c)]] = self.start
+        return one, two
 
 
 class LogBilinear:
-    """Parameters: context vectors r, output vectors q, position matrices m1, m2, biases b."""
+    """Parameters, of single precision: context vectors r, output vectors q, position matrices m1, m2, biases b."""
 
     def __init__(self, frequency: np.ndarray, dim: int = 24, seed: int = 11):
         rng = np.random.default_rng(seed)
         n = len(frequency)
         self.noise = (frequency + 1e-3) / (frequency + 1e-3).sum()
-        self.r = rng.normal(0, 0.3, (n, dim))
-        self.q = rng.normal(0, 0.3, (n, dim))
-        self.m1 = np.eye(dim) * 0.5
-        self.m2 = np.eye(dim) * 0.5
-        self.b = np.log(self.noise)
+        self.r = rng.normal(0, 0.3, (n, dim)).astype(np.float32)
+        self.q = rng.normal(0, 0.3, (n, dim)).astype(np.float32)
+        self.m1 = np.eye(dim, dtype=np.float32) * np.float32(0.5)
+        self.m2 = np.eye(dim, dtype=np.float32) * np.float32(0.5)
+        self.b = np.log(self.noise).astype(np.float32)
 
     NAMES = ("r", "q", "m1", "m2", "b")
 
@@ -104,12 +164,12 @@ class LogBilinear:
         at = 0
         for k in self.NAMES:
             old = getattr(self, k)
-            setattr(self, k, flat[at : at + old.size].reshape(old.shape).copy())
+            setattr(self, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
 
     def fresh_sums(self) -> dict[str, np.ndarray]:
         """Adagrad's sums before the first step."""
-        return {k: np.full(getattr(self, k).shape, 0.1) for k in self.NAMES}
+        return {k: np.full(getattr(self, k).shape, 0.1, np.float32) for k in self.NAMES}
 
     def train(self, windows: np.ndarray, *, batch: int = 1024, noise: int = 96, rate: float = 0.12, seed: int = 5, sums: dict[str, np.ndarray] | None = None) -> None:
         """One pass of noise-contrastive estimation over windows (context 1, context 2, class), with Adagrad.
@@ -117,40 +177,57 @@ class LogBilinear:
         With ``sums`` of an earlier block the pass goes on from there."""
         rng = np.random.default_rng(seed)
         sums = self.fresh_sums() if sums is None else sums
-        log_noise = np.log(self.noise * noise)
-        drawn = np.searchsorted(np.cumsum(self.noise), rng.random((len(windows) // batch + 1) * noise)).clip(0, len(self.noise) - 1)
-        windows = windows[rng.permutation(len(windows))]
         n = len(self.noise)
+        log_noise = np.log(self.noise * noise).astype(np.float32)
+        drawn = np.searchsorted(np.cumsum(self.noise), rng.random((len(windows) // batch + 1) * noise)).clip(0, n - 1).astype(np.uint16)
+        # numbers of classes in 16 bits: gathered and sorted in linear time
+        first, second, classes = windows[rng.permutation(len(windows))].T.astype(np.uint16, order="C")
+        ones = np.ones(batch, np.float32)
+        size, step_size = np.float32(batch), np.float32(rate * np.sqrt(batch))
         for step, at in enumerate(range(0, len(windows), batch)):
-            h1, h2, w = windows[at : at + batch].T.astype(np.int64)
+            h1, h2, w = first[at : at + batch], second[at : at + batch], classes[at : at + batch]
             v = drawn[step * noise : (step + 1) * noise]
-            r1, r2 = self.r[h1], self.r[h2]
+            r1, r2 = self.r.take(h1, axis=0), self.r.take(h2, axis=0)
             context = r1 @ self.m1 + r2 @ self.m2
-            qw, qv = self.q[w], self.q[v]
-            real = (context * qw).sum(axis=1) + self.b[w] - log_noise[w]
-            fake = context @ qv.T + self.b[v] - log_noise[v]
+            qw, qv = self.q.take(w, axis=0), self.q.take(v, axis=0)
+            bias = self.b - log_noise
+            real = np.einsum("ij,ij->i", context, qw) + bias.take(w)
+            fake = context @ qv.T
+            fake += bias.take(v)
             # gradients of the log-likelihood of telling data from noise
-            up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-            d_context = up[:, None] * qw + down @ qv
+            with np.errstate(over="ignore"):  # exp beyond single precision: the share is 0
+                up = 1 / (1 + np.exp(real))
+                np.negative(fake, out=fake)
+                np.exp(fake, out=fake)
+                fake += 1
+                down = np.divide(-1, fake, out=fake)
+            d_context = down @ qv
+            d_context += up[:, None] * qw
             found = {
-                "q": _added(np.concatenate([w, v]), np.concatenate([up[:, None] * context, down.T @ context])),
+                "q": _added(np.concatenate([w, v]), np.concatenate([up[:, None] * context, (context.T @ down).T])),
                 "r": _added(np.concatenate([h1, h2]), np.concatenate([d_context @ self.m1.T, d_context @ self.m2.T])),
-                "b": (slice(None), np.bincount(w, up, n) + np.bincount(v, down.sum(axis=0), n)),
+                "b": (slice(None), (np.bincount(w, up, n) + np.bincount(v, ones[: len(w)] @ down, n)).astype(np.float32)),
                 "m1": (slice(None), r1.T @ d_context),
                 "m2": (slice(None), r2.T @ d_context),
             }
             for k, (rows, g) in found.items():  # rows without a gradient would not change
-                g /= len(w)
-                sums[k][rows] += g * g * batch
-                getattr(self, k)[rows] += rate * np.sqrt(batch) * g / np.sqrt(sums[k][rows])
+                g *= np.float32(1 / len(w))
+                total = g * g
+                total *= size
+                total += sums[k][rows]
+                sums[k][rows] = total
+                np.sqrt(total, out=total)
+                g *= step_size
+                g /= total
+                getattr(self, k)[rows] += g
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log tables a[h1, w], b[h2, w] and the normaliser z[h1, h2]: log p(w | h1, h2) = a + b - z.
 
         The start of a text, the last class, is never predicted."""
-        a = self.r @ self.m1 @ self.q.T + self.b
-        b = self.r @ self.m2 @ self.q.T
+        r, q = self.r.astype(np.float64), self.q.astype(np.float64)
+        a = r @ self.m1 @ q.T + self.b
+        b = r @ self.m2 @ q.T
         a[:, -1] = -np.inf
         top_a, top_b = a.max(axis=1, keepdims=True), b[:, :-1].max(axis=1, keepdims=True)
         z = np.log(np.exp(a - top_a)[:, :-1] @ np.exp(b - top_b)[:, :-1].T) + top_a + top_b.T
@@ -160,30 +237,31 @@ class LogBilinear:
 def _added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows, and the sums of the values of each."""
     order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    rows = rows.take(order)
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[first], np.add.reduceat(values[order], first, axis=0)
+    return rows.take(first).astype(np.intp), np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text", most: int = 1_000_000) -> DataFrame:
     """(word, c) over all texts, ends included; each task adds up its own words before the shuffle."""
 
     def run(batches):
-        total: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def flush():
-            keys = pa.array(list(total), pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([keys, pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for b in batches:
-            for text in as_bytes(b.column(0)):
-                total.update(text.lower().split())
-            total[END] += b.num_rows
-            if len(total) > 1_000_000:  # bounded whatever the size of a partition
-                yield flush()
-                total.clear()
-        if total:
-            yield flush()
+            for _, part in parts(b.column(0)):
+                found = pc.value_counts(Words(part).flat)
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                held.append(pa.table({"word": pa.array([END.decode()]), "n": pa.array([len(part)], pa.int64())}))
+                if sum(t.num_rows for t in held) > 2 * most:  # bounded whatever the size of a partition
+                    held = [added()]
+                    if held[0].num_rows > most:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from added().to_batches()
 
     return in_arrow(docs.select(text_col), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -210,10 +288,13 @@ def training_windows(docs: DataFrame, classes, length: int = 16_384) -> DataFram
 
     def run(batches):
         own = classes.value
-        starts = np.array([own.start, own.start], np.int32)
         for b in batches:
-            stream = np.concatenate([x for text in as_bytes(b.column(0)) for x in (starts, own.of(tokens(text)))] or [starts]).astype("<u2")
-            yield pa.RecordBatch.from_arrays([pa.array([stream[k : k + length + 2].tobytes() for k in range(0, len(stream) - 2, length)], pa.binary())], names=["w"])
+            for _, part in parts(b.column(0)):
+                words = Words(part)
+                c, begins = own.of(words), words.begins
+                stream = np.full(len(c) + 2 * len(begins), own.start, "<u2")  # two starts before each text
+                stream[np.arange(len(c)) + 2 * np.repeat(np.arange(1, len(begins) + 1), words.size + 1)] = c
+                yield pa.RecordBatch.from_arrays([pa.array([stream[k : k + length + 2].tobytes() for k in range(0, len(stream) - 2, length)], pa.binary())], names=["w"])
 
     return in_arrow(docs.select("text"), run, "w binary")
 
@@ -251,7 +332,7 @@ def train(windows: DataFrame, model: LogBilinear, rounds: int) -> LogBilinear:
             if not n:
                 return
             flat = mine.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n, np.int64))], names=["i", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * n), pa.array(np.full(len(flat), n, np.int64))], names=["i", "v", "n"])
 
         mean = windows.mapInArrow(run, "i int, v double, n bigint").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
         if mean.num_rows:  # as many rows as the model has parameters
@@ -305,46 +386,56 @@ def score(
     model = train(windows.coalesce(trainers), LogBilinear(frequency), rounds)
     removed(windows)
     tables = spark.sparkContext.broadcast(model.tables())
-    heads = spark.sparkContext.broadcast((pa.array(words, pa.binary()), np.array(times, np.int64)))
+    heads = spark.sparkContext.broadcast((known.column("word").combine_chunks(), np.array(times, np.int64)))
     log_all = float(np.log10(n_all + v_all + 1))
 
     def run(batches):
         own, (a, b, z) = shared.value, tables.value
         kept, c = heads.value
-        place = _dictionary(kept)
-        inside = np.zeros(len(c))
-        word_class = own.of(kept.to_pylist()) - own.own
-        tail = word_class >= 0
-        inside[tail] = np.log10(c[tail] + 1) - np.log10(tail_all[word_class[tail]])
-        inside = np.append(inside, 0.0)
+        width = a.shape[1]
+        classed = np.arange(len(kept), dtype=np.int32)  # own classes are the first words
+        classed[own.own :] = own.tail(kept.slice(own.own))
+        classed = np.append(classed, -1)
+        inside = np.zeros(len(c) + 1)
+        inside[own.own : -1] = np.log10(c[own.own :] + 1) - np.log10(tail_all[classed[own.own : -1] - own.own])
         base = np.append(np.log10(c + 1) - log_all, 0.0)
+        end = kept.index(END.decode()).as_py()  # -1: the last place of the tables above, which counts nothing
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            docs_out, rare_out = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                t = tokens(text)
-                w = own.of(t)
-                h1, h2 = own.contexts(w)
-                at = np.fromiter(map(place.__getitem__, t), np.int64, len(t))  # -1: not in the dictionary
-                total = float((a[h1, w].astype(np.float64) + b[h2, w] - z[h1, h2]).sum()) / np.log(10) + float(inside[at].sum())
-                rare = np.flatnonzero(at < 0)
-                docs_out.append((doc, first, len(t), len(t) - len(rare), float(base[at].sum()), total))
-                rare_out += [(first, x, n) for x, n in Counter(map(t.__getitem__, rare.tolist())).items()]
-                first += 1
-            cols = list(zip(*docs_out, strict=True)) if docs_out else [()] * 6
-            more = list(zip(*rare_out, strict=True)) if rare_out else [()] * 3
-            n, m = len(docs_out), len(rare_out)
-            fill = lambda k: pa.nulls(m, k)
-            joined = lambda x, k: pa.concat_arrays([pa.array(x, k), fill(k)])
-            yield pa.RecordBatch.from_arrays(
+
+        def scored(ids: pa.Array, words: Words) -> pa.RecordBatch:
+            place = words.places(kept)
+            rare = np.flatnonzero(place < 0)
+            w = classed[place]
+            w[rare] = own.tail(words.flat.take(pa.array(rare)))
+            w, at, begins = words.with_ends(w, own.end).astype(np.int64), words.with_ends(place, end), words.begins
+            h1, h2 = own.contexts(w, begins)
+            p = a.take(h1 * width + w).astype(np.float64)
+            p += b.take(h2 * width + w)
+            p -= z.take(h1 * len(z) + h2)
+            by_text = lambda x: np.add.reduceat(x, begins)  # noqa: E731  every text has its end at least
+            number = first + np.arange(len(begins))
+            known = by_text((at >= 0).astype(np.int64))
+            owner = words.owner[rare]
+            words_left = words.flat.take(pa.array(rare))
+            if end < 0:  # ends that no training text has are tokens like other rare ones
+                owner, words_left = np.concatenate([owner, np.arange(len(begins))]), pa.concat_arrays([words_left, pa.array([END.decode()] * len(begins))])
+            left = pa.table({"k": number[owner], "word": words_left}).group_by(["k", "word"]).aggregate([([], "count_all")])
+            n, m = len(begins), left.num_rows
+            column = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])
+            return pa.RecordBatch.from_arrays(
                 [
-                    joined(cols[0], batch.column(0).type), pa.array([*cols[1], *more[0]], pa.int64()), joined(cols[2], pa.int64()), joined(cols[3], pa.int64()),
-                    joined(cols[4], pa.float64()), joined(cols[5], pa.float64()),
-                    pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(more[1], pa.binary()).cast(pa.string())]), pa.array([*[None] * n, *more[2]], pa.int64()),
+                    pa.concat_arrays([ids, pa.nulls(m, ids.type)]), pa.concat_arrays([pa.array(number), left.column("k").combine_chunks()]),
+                    column(words.size + 1, pa.int64()), column(known, pa.int64()), column(by_text(base[at]), pa.float64()), column(by_text(p) / np.log(10) + by_text(inside[at]), pa.float64()),
+                    pa.concat_arrays([pa.nulls(n, pa.string()), left.column("word").combine_chunks()]), pa.concat_arrays([pa.nulls(n, pa.int64()), left.column("count_all").combine_chunks()]),
                 ],
                 names=["id", "k", "n_tokens", "n_known", "base", "score", "word", "times"],
             )
 
+        for batch in batches:
+            for start, part in parts(batch.column(1)):
+                yield scored(batch.column(0).slice(start, len(part)), Words(part))
+                first += len(part)
+
     out = written(in_arrow(picked, run, f"id {kind}, k bigint, n_tokens bigint, n_known bigint, base double, score double, word string, times bigint"), "scored")
     whole = out.where("word is null").drop("word", "times")
     c1 = F.log10(F.coalesce("c", F.lit(0)) + 1)
@@ -360,13 +451,3 @@ def score(
         F.col("id").alias(id_col), F.coalesce(fold("id", modulus) == held, F.lit(False)).alias("held_out"), "n_tokens", plus("n_known", "rare_known").alias("n_known"),
         F.lit(n_all).cast("bigint").alias("train_tokens"), plus("base", "rare_base").alias("base_score"), plus("score", "rare_score").alias("score"),
     )
-
-
-class _dictionary(dict):
-    """word -> place among the hot words, -1 for any other."""
-
-    def __init__(self, words: pa.Array):
-        super().__init__((w, i) for i, w in enumerate(words.to_pylist()))
-
-    def __missing__(self, key):
-        return -1

@@ -189,7 +189,7 @@ def test_every_window_is_learned_from(spark):
     classes = lm_scoring.Classes([b"short", b"one", b"\n"], 8)
     want = Counter()
     for t in texts:
-        c = classes.of(lm_scoring.tokens((t or "").encode())).tolist()
+        c = [classes.words.index(x) if x in classes.words else classes.own + zlib.crc32(x[-2:]) % 8 for x in lm_scoring.tokens((t or "").encode())]
         pad = [classes.start, classes.start, *c]
         want.update(zip(pad[1:-1], pad[:-2], c, strict=True))
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -199,6 +199,58 @@ def test_every_window_is_learned_from(spark):
             assert Counter(tuple(w) for b in lm_scoring.blocks(rows, classes.start, size) for w in b.tolist()) == want
 
 
+def scores_by_hand(rows, tables, classes, counts):
+    """log10 of each token's class by a softmax over all classes, and of the token within its class."""
+    a, b = (t.astype(float) for t in tables[:2])
+    tail = lambda w: zlib.crc32(w[-2:]) % classes.tails
+    own = {w: i for i, w in enumerate(classes.words)}
+    inside = Counter()
+    for w, c in counts.items():
+        if w not in own:
+            inside[tail(w)] += c + 1
+    out = {}
+    for i, text in rows:
+        total, h1, h2 = 0.0, classes.start, classes.start
+        for w in lm_scoring.tokens((text or "").encode()):
+            k = own[w] if w in own else classes.own + tail(w)
+            logits = a[h1, :-1] + b[h2, :-1]
+            total += (logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / math.log(10)
+            if w not in own:
+                total += math.log10((counts[w] + 1) / (inside[tail(w)] + 1))
+            h1, h2 = k, h1
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("hot", [200_000, 30])
+def test_scores_against_an_explicit_softmax(spark, documents, monkeypatch, hot):
+    made = {}
+    train, windows = lm_scoring.train, lm_scoring.training_windows
+    monkeypatch.setattr(lm_scoring, "train", lambda w, m, r: made.setdefault("model", train(w, m, r)))
+    monkeypatch.setattr(lm_scoring, "training_windows", lambda d, c: windows(d, made.setdefault("classes", c)))
+    rows = [(r.doc_id, r.text) for r in documents.orderBy("doc_id").limit(60).collect()] + [(10**6, None), (10**6 + 1, " \t"), (10**6 + 2, "Zq \x1c\x85 é日本 one"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score(df, hot=hot, top=20, most=20, tails=8, rounds=1).collect()}
+    classes, model = made["classes"].value, made["model"]
+    counts = Counter(w for i, t in rows if i is not None and not held(i, 7, 2) for w in lm_scoring.tokens((t or "").encode()))
+    want = scores_by_hand(rows, model.tables(), classes, counts)
+    assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-3) for i in want)
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    import pyarrow as pa
+
+    texts = ["", None, " \t\n\x0b\x0c\r", "A b  C\n", "\x1c\x85 é日 ÀB\u00a0x", "z" * 70, "one two"]
+    words = lm_scoring.Words(pa.array(texts, pa.string()))
+    each = [lm_scoring.tokens((t or "").encode())[:-1] for t in texts]
+    assert words.flat.cast(pa.binary()).to_pylist() == [w for ws in each for w in ws] and words.size.tolist() == list(map(len, each))
+    assert words.places(pa.array(["c", "one", "two"])).tolist() == [["c", "one", "two"].index(w.decode()) if w in (b"c", b"one", b"two") else -1 for ws in each for w in ws]
+    column = pa.array(texts, pa.string())
+    for most in (1, 10, 1000):
+        cut = list(lm_scoring.parts(column, most))
+        assert [x for _, p in cut for x in p.to_pylist()] == texts and [k for k, _ in cut] == np.cumsum([0, *(len(p) for _, p in cut)])[:-1].tolist()
+
+
 def test_own_classes_grow_with_the_vocabulary(spark, monkeypatch):
     made = []
     monkeypatch.setattr(lm_scoring, "train", lambda windows, model, rounds: made.append(len(model.noise) - 9) or model)
