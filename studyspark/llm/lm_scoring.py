@@ -82,7 +82,7 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.size + 1)[:-1]]).astype(np.int64)
 
 
-def parts(column: pa.Array, most: int = 1 << 26):
+def parts(column: pa.Array, most: int = 1 << 23):
     """(first row, slice) of a column of texts, each with ``most`` bytes at most or one text."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy()
     at, total = 0, 0
@@ -242,7 +242,7 @@ def _added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows.take(first).astype(np.intp), np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", most: int = 1_000_000) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text", most: int = 500_000) -> DataFrame:
     """(word, c) over all texts, ends included; each task adds up its own words before the shuffle."""
 
     def run(batches):
