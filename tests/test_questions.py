@@ -47,6 +47,20 @@ def test_model_replies(spark):
     assert got[2:] == [None] * 4
 
 
+def test_replies_with_more_than_objects(spark):
+    good = '{"type":"critique","question":"q","answer":"a","evidence":"e"}'
+    rows = [f'["x", {good}]', f'{{"questions": [null, 3, {good}, [], "{{}}"]}}', f'[{{"question": 7, "answer": true, "type": null}}, {good}]', f'{{"questions": {good}}}', '"text"', "3", f'[{good}', '[{"question":"q"}]']
+    got = [r.x and [tuple(q) for q in r.x] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(q.parse_reply("t").alias("x")).collect()]
+    one = ("critique", "q", "a", "e")
+    assert got == [[one], [one], [("", "7", "true", ""), one], None, None, None, None, None]
+
+
+def test_plain_pairs_of_a_reply(spark):
+    rows = ["Q: One?\nA: Yes.\nQ: Two?\nA: No.", '[{"question":"q","answer":"Q: x A: y"}]', "nothing", None]
+    got = [r.x and [(q.question, q.answer) for q in r.x] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(q.parse_reply_or_pairs("t").alias("x")).collect()]
+    assert got == [[("One?", "Yes."), ("Two?", "No.")], [("q", "Q: x A: y")], None, None]
+
+
 @pytest.mark.parametrize("n, want", [(2, [1, 1, 0, 0]), (4, [1, 1, 1, 1]), (8, [2, 3, 2, 1]), (12, [3, 4, 3, 2]), (20, [4, 7, 5, 4])])
 def test_quota(n, want):
     assert list(q.level_quota(n).values()) == want
