@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import drop_glyph_ids
+
 #: Fixed values, in points.
 HALF_GUTTER = 4
 BAND_GAP = 4
@@ -33,18 +35,29 @@ def gutters(words: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page, gutter) of pages with two columns.
 
     A gutter is the first x near the middle whose strip the fewest rows cross, if they
-    are few and both sides hold enough rows.  Candidates of a page are a short sequence,
-    so words meet them by generation, not by a join."""
+    are few and both sides hold enough rows.  What counts at x changes only where a row
+    begins or ends to cross it, or to have words left or right of it: these changes are
+    events, summed from left to right, a few for each row whatever the width."""
     keys = ["doc_id", "page"]
-    lo, hi = F.floor(F.col("width") * 0.4), F.floor(F.col("width") * 0.6)
-    rows = words.join(pages.select(*keys, "width"), keys).withColumn("row", F.bround("top").cast("long"))
-    at = rows.withColumn("x", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
-    crosses = (F.col("x0") < F.col("x") + HALF_GUTTER) & (F.col("x1") > F.col("x") - HALF_GUTTER)
-    by_row = at.groupBy(*keys, "x", "row").agg(F.bool_or(crosses).alias("c"), F.bool_or(F.col("x1") <= F.col("x")).alias("l"), F.bool_or(F.col("x0") >= F.col("x")).alias("r"))
-    by_x = by_row.groupBy(*keys, "x").agg(F.count("*").alias("rows"), F.count_if("c").alias("crossing"), F.count_if("l").alias("left"), F.count_if("r").alias("right"))
-    best = by_x.groupBy(*keys).agg(F.min(F.struct("crossing", "x", "rows", "left", "right")).alias("b")).select(*keys, "b.*")
-    enough = (F.col("rows") >= LEAST_ROWS) & (F.col("crossing") <= SHARE * F.col("rows")) & (F.least("left", "right") >= SHARE * F.col("rows"))
-    return best.where(enough).select(*keys, F.col("x").alias("gutter"))
+    lo, hi = F.floor(F.col("width") * 0.4).cast("int"), F.floor(F.col("width") * 0.6).cast("int")
+    rows = words.join(pages.select(*keys, lo.alias("lo"), hi.alias("hi")), keys).withColumn("row", F.bround("top").cast("long"))
+    # whole numbers x with x0 < x + HALF_GUTTER and x1 > x - HALF_GUTTER, within lo and hi
+    first = F.greatest(F.floor(F.col("x0") - HALF_GUTTER).cast("int") + 1, F.col("lo"))
+    last = F.least(F.ceil(F.col("x1") + HALF_GUTTER).cast("int") - 1, F.col("hi"))
+    crossed = rows.select(*keys, "row", "lo", "hi", first.alias("first"), last.alias("last")).where("first <= last")
+    runs = merge_intervals(crossed, [*keys, "row", "lo", "hi"], "first", "last", gap=0)
+    change = lambda x, c, l, r: F.struct(x.cast("int").alias("x"), F.lit(c).alias("c"), F.lit(l).alias("l"), F.lit(r).alias("r"))
+    crossing = runs.select(*keys, "lo", "hi", F.inline(F.array(change(F.col("top"), 1, 0, 0), change(F.col("bottom") + 1, -1, 0, 0))))
+    sides = rows.groupBy(*keys, "row", "lo", "hi").agg(F.min("x1").alias("left"), F.max("x0").alias("right"))
+    begins = F.greatest(F.ceil("left").cast("int"), F.col("lo"))  # words end at or before x
+    ends = F.greatest(F.floor("right").cast("int") + 1, F.col("lo"))  # no word begins at or behind x any more
+    beside = sides.select(*keys, "lo", "hi", F.inline(F.array(change(begins, 0, 1, 0), change(F.col("lo"), 0, 0, 1), change(ends, 0, 0, -1))))
+    events = crossing.unionByName(beside).where("x <= hi").groupBy(*keys, "x").agg(*(F.sum(k).alias(k) for k in "clr"))
+    so_far = Window.partitionBy(*keys).orderBy("x")
+    by_x = events.select(*keys, "x", *(F.sum(k).over(so_far).alias(k) for k in "clr"))
+    best = by_x.groupBy(*keys).agg(F.min(F.struct("c", "x", "l", "r")).alias("b")).select(*keys, "b.*")
+    enough = (F.col("rows") >= LEAST_ROWS) & (F.col("c") <= SHARE * F.col("rows")) & (F.least("l", "r") >= SHARE * F.col("rows"))
+    return best.join(sides.groupBy(*keys).agg(F.count("*").alias("rows")), keys).where(enough).select(*keys, F.col("x").alias("gutter"))
 
 
 def merge_intervals(rows: DataFrame, keys: list[str], top: str = "top", bottom: str = "bottom", gap: float = BAND_GAP) -> DataFrame:
@@ -82,12 +95,13 @@ def in_regions(words: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def page_text(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, text) in reading order; pages without two columns read row by row."""
+    """(doc_id, page, text) in reading order, without the marks of unreadable glyphs; pages without two
+    columns read row by row."""
     keys = ["doc_id", "page"]
     placed = in_regions(words, regions(words, pages)).select(*keys, "place", F.bround("top").alias("row"), "x0", "text")
     whole = words.join(placed.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).alias("place"), F.bround("top").alias("row"), "x0", "text")
     lines = placed.unionByName(whole).groupBy(*keys, "place", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ").alias("line"))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "row", "line"))), lambda s: s["line"]), "\n").alias("text"))
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "row", "line"))), lambda s: s["line"]), "\n").alias("text")).withColumn("text", drop_glyph_ids("text"))
 
 
 def page_counters(pages: DataFrame) -> DataFrame:

@@ -1,13 +1,9 @@
 """Which quotes stand in which texts, over whole tables.
 
 A window test for every pair of a quote and a text is a nested loop.  Every accepted
-match holds a window whole, and every window holds one of the quote's grams whole, so
-a pair needs a gram in common.  Two plans:
-
-``contained``   quotes are few: their number and size are checked, then they are
-                broadcast and each text tests grams first and windows only on a hit.
-``joined``      quotes are many: both sides are cut into hashed pieces of one fixed
-                width, which meet by an equi-join; candidates are then verified.
+match holds a window whole, and every window covers one of the text's consecutive blocks
+of a fixed width.  So both sides are cut into hashed pieces of that width, which meet by
+an equi-join; candidates are then verified, and only there the windows of a quote exist.
 """
 
 from __future__ import annotations
@@ -15,24 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quotes import MIN_QUOTE_CHARS, grams, quote_in_text, windows
+from ..functions.quotes import MIN_QUOTE_CHARS, quote_in_text
 
 #: Every window has two blocks' characters at least (four fifths of the shortest quote), so wherever
 #: it lies in a text it covers one of the text's consecutive blocks of this width.
 WIDTH = ((MIN_QUOTE_CHARS * 4 + 4) // 5) // 2
 
 
-def contained(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, item_id) pairs; ``texts``: doc_id, norm; ``quotes``: item_id, quote, both normalised."""
-    asked = quotes.where(F.length("quote") >= MIN_QUOTE_CHARS).select("item_id", "quote", grams("quote").alias("_g"), windows("quote").alias("_w"))
-    near = F.exists("_g", lambda g: F.contains(F.col("norm"), g)) & F.exists("_w", lambda w: F.contains(F.col("norm"), w))
-    return texts.join(F.broadcast(asked), near).select("doc_id", "item_id")
-
-
-def joined(texts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """The same pairs through an equi-join on pieces of ``WIDTH`` characters.
+def quote_pairs(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id) pairs; ``texts``: doc_id, norm; ``quotes``: item_id, quote, both normalised.
 
-    Texts are cut into consecutive blocks; of a quote every position gives a key."""
+    Texts are cut into consecutive blocks; of a quote every position gives a key.  Null texts and quotes,
+    and quotes under the least length, match nothing; repeated rows of a side give repeated pairs."""
     asked = quotes.where(F.length("quote") >= MIN_QUOTE_CHARS)
     places = F.sequence(F.lit(1), F.length("quote") - WIDTH + 1)
     keys = asked.select("item_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("quote", i, WIDTH))))).alias("h"))
@@ -40,9 +30,3 @@ def joined(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     pieces = texts.select("doc_id", F.explode(F.array_distinct(F.transform(blocks, lambda b: F.xxhash64(b)))).alias("h"))
     pairs = pieces.join(keys, "h").select("doc_id", "item_id").distinct()
     return pairs.join(asked, "item_id").join(texts, "doc_id").where(quote_in_text("quote", "norm")).select("doc_id", "item_id")
-
-
-def quote_pairs(texts: DataFrame, quotes: DataFrame, most: int = 2000, most_chars: int = 4_000_000) -> DataFrame:
-    """``contained`` while the quotes' counted number and size allow a broadcast, else ``joined``."""
-    size = quotes.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("quote")), F.lit(0)).alias("c")).first()
-    return (contained if size.n <= most and size.c <= most_chars else joined)(texts, quotes)

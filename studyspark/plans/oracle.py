@@ -128,7 +128,6 @@ SELECT *, greatest(1, max(answered) OVER ()) AS scale FROM t""",
     "q17_needs_ocr_docs": "SELECT doc_id, length(regexp_replace(text, '[\\s\\p{Z}\\x{85}]+', '', 'g')) < 25 AS needs_ocr FROM documents",
     "q18_dot_leaders_stripped": "SELECT doc_id, regexp_replace('Contents . . . . . ' || doc_id || ' .....' || chr(10) || text, '[ \\t]*(?:\\.[ \\t]*){4,}', ' ', 'g') AS text FROM documents",
     "q19_benchmark_quote_match": f"WITH {_PAIRS} SELECT * FROM pairs",
-    "q44_quote_match_hashed": f"WITH {_PAIRS} SELECT * FROM pairs",
     "q20_quote_pages": f"""WITH h AS (SELECT doc_id, text, length(text) // 2 AS half FROM documents), p AS (
   SELECT doc_id, {_norm('substr(text, 1, half)')} AS p3, {_norm('substr(text, half + 1)')} AS p4, substr({_norm('substr(text, half + 1, 90)')}, 1, 40) AS head FROM h
 ) SELECT doc_id, CASE WHEN head = '' THEN NULL WHEN contains(p3, head) THEN 3 WHEN contains(p4, head) THEN 4 END::INT AS page FROM p""",
@@ -197,10 +196,10 @@ SELECT coalesce(s.name, i.name) AS name, s.name IS NOT NULL AS suggested, i.name
     "q46_reader_pages": """WITH e AS (SELECT item_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS body FROM benchmark)
 SELECT item_id, '<!doctype html><html><head><meta charset="utf-8"><title>A &amp; &quot;B&quot;</title></head><body><h1>A &amp; &quot;B&quot;</h1><p><a href="https://example.org/?a=1&amp;b=2">https://example.org/?a=1&amp;b=2</a></p><h2>Part &lt;one&gt;</h2><p>' || body || '</p></body></html>' AS html FROM e""",
     "q47_tail_sections": """WITH f AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM documents)
-SELECT doc_id, '## Intro' || chr(10) || chr(10) || substr(text, 1, 80) || chr(10) || chr(10) || '## Appendix A' || chr(10) || chr(10) || substr(text, 161, 80) AS text FROM f""",
+SELECT doc_id, '## Intro' || chr(10) || chr(10) || substr(text, 1, length(text) // 3) || chr(10) || chr(10) || '## Appendix A' || chr(10) || chr(10) || substr(text, 2 * (length(text) // 3) + 1) AS text FROM f""",
     "q48_question_files": """WITH r AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM conversations)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos, ['overview', 'approach', 'evidence', 'critique', ''][turn % 5 + 1] AS type,
-  'Why ' || turn AS question, trim('Since ' || substr(line, 1, 40)) AS answer, CASE WHEN turn % 2 = 0 THEN 'e' || turn ELSE '' END AS evidence,
+  'Why ' || turn AS question, trim('Since ' || line) AS answer, CASE WHEN turn % 2 = 0 THEN 'e' || turn ELSE '' END AS evidence,
   CASE WHEN turn % 4 = 0 THEN turn + 1 END::INT AS page FROM r""",
     "q49_notes_and_titles": """SELECT doc_id, 'new ' || lang AS notes, source AS title,
   (length('# Study Questions: ' || source) + 2 + length('## Q1') + 1 + length('A?') + 2 + length('**Answer:** b') + 2 + length('## Notes') + 1 + length('new ' || lang) + 1)::INT AS n FROM documents""",
@@ -208,7 +207,7 @@ SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::IN
     "q51_rank_candidates": f"""WITH {_CANDIDATES}, m AS (SELECT doc_id, max(cand_id) AS m FROM c GROUP BY 1), p AS (
   SELECT c.*, CASE WHEN c.doc_id % 5 = 0 THEN cand_id WHEN cand_id = m THEN 0 WHEN cand_id = 0 THEN 1 WHEN cand_id = 1 THEN 4 END AS pos FROM c JOIN m USING (doc_id)
 ) SELECT doc_id, cand_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS rank FROM p WHERE pos IS NOT NULL""",
-    "q52_distinct_evidence": f"""WITH p AS (SELECT conv_id AS doc_id, turn AS place, {_norm('substr(text, 1, 3)')} AS e FROM conversations WHERE role <> 'system'), f AS (
+    "q52_distinct_evidence": f"""WITH p AS (SELECT conv_id AS doc_id, turn AS place, {_norm('text')} AS e FROM conversations WHERE role <> 'system'), f AS (
   SELECT doc_id, e, min(place) AS place FROM p GROUP BY ALL
 ), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM f) SELECT doc_id, place FROM k WHERE n <= 3""",
     "q53_words_in_regions": f"""WITH {_WORDS}, two AS (SELECT w.*, gutter FROM words w JOIN gutters g USING (page)), across AS (
@@ -227,10 +226,10 @@ SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::IN
   UNION ALL SELECT page, n * 3 + 1, gutter, y, 612, top FROM stacked
   UNION ALL SELECT page, n * 3 + 2, 0, top, 612, bottom FROM stacked
 ) SELECT w.page, w.text, place::INT AS place FROM words w JOIN areas a ON w.page = a.page AND (x0 + x1) / 2 >= ax0 AND (x0 + x1) / 2 < ax1 AND (top + bottom) / 2 >= ay0 AND (top + bottom) / 2 < ay1""",
-    "q54_page_assembly": """WITH p AS (SELECT source, doc_id, CASE WHEN lang = 'en' THEN substr(text, 1, 50) ELSE '' END AS t FROM documents)
+    "q54_page_assembly": """WITH p AS (SELECT source, doc_id, text AS t FROM documents)
 SELECT source, CASE WHEN bool_or(trim(t) <> '') THEN string_agg('--- Page ' || doc_id || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY doc_id) ELSE '' END AS text FROM p GROUP BY 1""",
     "q55_page_counters": """SELECT source, count(*) FILTER (WHERE lang = 'de') AS fallback, count(*) FILTER (WHERE length(regexp_replace(text, '[\\s\\p{Z}\\x{85}]+', '', 'g')) < 25) AS ocr,
-  count(*) FILTER (WHERE trim(substr(text, 1, 10)) = '') AS skipped FROM documents GROUP BY 1""",
+  count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS skipped FROM documents GROUP BY 1""",
     "q56_words_from_chars": """WITH c AS (
   SELECT l_orderkey::DOUBLE AS top, l_linenumber * 6.0::DOUBLE + CASE WHEN l_linenumber > 3 THEN 2 ELSE 0 END AS x0, substr(l_returnflag, 1, 1) AS c FROM lineitem WHERE l_partkey % 7 <> 0
 ), g AS (

@@ -16,6 +16,7 @@ from ..functions.chunking import chunks, framing_text, is_framing
 from ..operators import history as h
 from ..operators import inbox as box
 from ..operators import layout, library, matching, selection, verification
+from ..sources import sinks
 from ..streaming import activity
 from .bindings import attempts, questions, reads, table, titles, today
 
@@ -217,12 +218,6 @@ def q19_benchmark_quote_match(spark, d):
     return matching.quote_pairs(_normed(spark, d), _quotes(spark, d))
 
 
-@query
-def q44_quote_match_hashed(spark, d):
-    """The same pairs by the equi-join that many quotes need."""
-    return matching.joined(_normed(spark, d), _quotes(spark, d))
-
-
 @query
 def q20_quote_pages(spark, d):
     """Texts dealt to two marked pages; each document's own middle is the quote."""
@@ -301,14 +296,6 @@ def q46_reader_pages(spark, d):
 
 @query
 def q47_tail_sections(spark, d):
-    """Sections made of documents' openings: references go, an appendix comes back."""
-    body = F.concat(F.lit("## Intro\n\n"), F.substring("text", 1, 80), F.lit("\n\n## References\n\n"), F.substring("text", 81, 80), F.lit("\n\n## Methods\n\nlost\n\n## Appendix A\n\n"), F.substring("text", 161, 80))
-    flat = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
-    return flat.select("doc_id", F.array_join(html.without_tail(body), "\n\n").alias("text"))
-
-
-@query
-def q62_whole_tail_sections(spark, d):
     """The whole of each document in three sections, split at thirds of its length; the second are references."""
     third = F.floor(F.length("text") / 3).cast("int")
     body = F.concat(F.lit("## Intro\n\n"), F.substring("text", F.lit(1), third), F.lit("\n\n## References\n\n"), F.substring("text", third + 1, third), F.lit("\n\n## Methods\n\nlost\n\n## Appendix A\n\n"), F.substring("text", 2 * third + 1, F.length("text")))
@@ -327,11 +314,11 @@ def q27_qa_pairs(spark, d):
     return rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-def _asked(spark, d, whole=False):
-    """Question sets of conversations: one per turn, with level, answer (an opening, or the whole turn) and evidence."""
+def _asked(spark, d):
+    """Question sets of conversations: one per turn, with level, answer (the whole turn) and evidence."""
     level = F.element_at(F.array(*map(F.lit, (*qs.LEVELS, ""))), (F.col("turn") % 5 + 1).cast("int"))
     line = F.trim(F.regexp_replace("text", r"\s+", " "))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", level.alias("type"), F.concat(F.lit("Why "), F.col("turn").cast("string")).alias("question"), F.concat(F.lit("Since "), line if whole else F.substring(line, 1, 40)).alias("answer"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("e"), F.col("turn").cast("string"))).otherwise("").alias("evidence"), F.when(F.col("turn") % 4 == 0, F.col("turn").cast("int") + 1).alias("page"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", level.alias("type"), F.concat(F.lit("Why "), F.col("turn").cast("string")).alias("question"), F.concat(F.lit("Since "), line).alias("answer"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("e"), F.col("turn").cast("string"))).otherwise("").alias("evidence"), F.when(F.col("turn") % 4 == 0, F.col("turn").cast("int") + 1).alias("page"))
     return rows.withColumn("answer", F.trim("answer"))
 
 
@@ -348,12 +335,6 @@ def q48_question_files(spark, d):
     return _files(_asked(spark, d))
 
 
-@query
-def q63_whole_question_files(spark, d):
-    """The same with whole turns as answers."""
-    return _files(_asked(spark, d, whole=True))
-
-
 @query
 def q49_notes_and_titles(spark, d):
     md = F.concat(F.lit("# Study Questions: "), F.col("source"), F.lit("\n\n## Q1\nA?\n\n**Answer:** b\n"))
@@ -363,8 +344,9 @@ def q49_notes_and_titles(spark, d):
 
 @query
 def q50_model_replies(spark, d):
-    """JSON replies: objects, fenced bare lists, and text that is neither."""
-    body = F.to_json(F.array(F.struct(F.lit(" Overview ").alias("type"), F.concat(F.lit(" why "), F.col("turn").cast("string")).alias("question"), F.col("role").alias("answer"), F.lit("e").alias("evidence")), F.struct(F.lit("odd").alias("type"), F.lit("q").alias("question"), F.lit(" ").alias("answer"), F.lit("").alias("evidence"))))
+    """JSON replies: objects, fenced bare lists, both holding more than questions, and text that is neither."""
+    objects = F.to_json(F.array(F.struct(F.lit(" Overview ").alias("type"), F.concat(F.lit(" why "), F.col("turn").cast("string")).alias("question"), F.col("role").alias("answer"), F.lit("e").alias("evidence")), F.struct(F.lit("odd").alias("type"), F.lit("q").alias("question"), F.lit(" ").alias("answer"), F.lit("").alias("evidence"))))
+    body = F.concat(F.when(F.col("turn") % 2 == 0, F.lit('["x", null, 3, {"questions": []}, ')).otherwise(F.lit("[")), F.substring(objects, F.lit(2), F.length(objects)))
     raw = F.when(F.col("role") == "user", F.concat(F.lit('{"questions":'), body, F.lit("}"))).when(F.col("role") == "assistant", F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise("sorry, no")
     rows = table(spark, d, "conversations").select("conv_id", "turn", qs.parse_reply(raw).alias("q"))
     return rows.select("conv_id", "turn", F.size(F.coalesce("q", F.array().cast("array<struct<type:string,question:string,answer:string,evidence:string>>"))).alias("n"), F.get("q", F.lit(0))["type"].alias("type"), F.get("q", F.lit(0))["question"].alias("question"))
@@ -420,14 +402,7 @@ def q29_verification_rules(spark, d):
 
 @query
 def q52_distinct_evidence(spark, d):
-    """Of the passed candidates the first three of each document whose evidence is new."""
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), (F.col("role") != "system").alias("passed"), F.substring("text", 1, 3).alias("evidence"))
-    return verification.keep_distinct(rows, 3).select("doc_id", "place")
-
-
-@query
-def q64_whole_distinct_evidence(spark, d):
-    """The same with whole turns as evidence."""
+    """Of the passed candidates the first three of each document whose evidence, a whole turn, is new."""
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), (F.col("role") != "system").alias("passed"), F.col("text").alias("evidence"))
     return verification.keep_distinct(rows, 3).select("doc_id", "place")
 
@@ -467,26 +442,13 @@ def q53_words_in_regions(spark, d):
 @query
 def q54_page_assembly(spark, d):
     """Documents of a source as pages: sources are documents, documents their pages."""
-    pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), F.when(F.col("lang") == "en", F.substring("text", 1, 50)).otherwise("").alias("text"))
-    return layout.assemble(pages).select(F.col("doc_id").alias("source"), "text")
-
-
-@query
-def q65_whole_page_assembly(spark, d):
-    """The same with whole texts of all languages."""
     pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), "text")
     return layout.assemble(pages).select(F.col("doc_id").alias("source"), "text")
 
 
 @query
 def q55_page_counters(spark, d):
-    pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), (F.col("lang") == "de").alias("fallback"), t.needs_ocr("text").alias("ocr"), F.substring("text", 1, 10).alias("text"))
-    return layout.page_counters(pages).withColumnRenamed("doc_id", "source")
-
-
-@query
-def q66_whole_page_counters(spark, d):
-    """The same with whole texts: a page is skipped only if nothing stands on it."""
+    """A page is skipped only if nothing stands on it."""
     pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), (F.col("lang") == "de").alias("fallback"), t.needs_ocr("text").alias("ocr"), "text")
     return layout.page_counters(pages).withColumnRenamed("doc_id", "source")
 
@@ -566,10 +528,10 @@ def q61_small_scalars(spark, d):
 def x1_stream_daily(spark, d):
     """The daily rollup by Structured Streaming over the same events."""
     stream = activity.event_stream(spark, f"{d}/events.parquet")
-    return activity.run_to_table(activity.daily_answers(stream), "x1_stream_daily")
+    return activity.run_to_table(activity.daily_answers(stream), sinks.scratch(spark, "x1"))
 
 
 @query
 def x2_stream_sessions(spark, d):
     stream = activity.event_stream(spark, f"{d}/events.parquet")
-    return activity.run_to_table(activity.sessions(stream, "6 hours"), "x2_stream_sessions")
+    return activity.run_to_table(activity.sessions(stream, "6 hours"), sinks.scratch(spark, "x2"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ def wait_after(reply: Reply | None, attempt: int) -> float:
     return 3 * attempt
 
 
-def fetch_with_retry(get: Callable[[str], Reply], url: str, attempts: int = 3, sleep: Callable[[float], None] = lambda s: None) -> Reply:
+def fetch_with_retry(get: Callable[[str], Reply], url: str, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> Reply:
     """The first good reply; every other status, and a transport error, is tried again up to ``attempts`` times."""
     last = FetchError("not tried")
     for attempt in range(1, attempts + 1):
@@ -48,7 +49,7 @@ def fetch_with_retry(get: Callable[[str], Reply], url: str, attempts: int = 3, s
     raise last
 
 
-def pages(urls, get: Callable[[str], Reply], url_col: str = "url"):
+def pages(urls, get: Callable[[str], Reply], url_col: str = "url", sleep: Callable[[float], None] = time.sleep):
     """(url, status, body, error) of a DataFrame of addresses; a failure is a row, not the end of the job."""
     def run(batches):
         import pyarrow as pa
@@ -57,7 +58,7 @@ def pages(urls, get: Callable[[str], Reply], url_col: str = "url"):
             rows = []
             for url in b.column(0).to_pylist():
                 try:
-                    r = fetch_with_retry(get, url)
+                    r = fetch_with_retry(get, url, sleep=sleep)
                     rows.append((url, r.status, r.body, None))
                 except FetchError as e:
                     rows.append((url, e.status, None, str(e)))

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.questions import render_keeping_notes
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh name in the folder that driver and executors share; a local one only where all run on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="studyspark-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/study-{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{path.toString()}/{tag}-{uuid.uuid4().hex}"
+
+
 def append_attempts(attempts: DataFrame, path: str) -> None:
     """Attempts are never rewritten, only appended."""
     attempts.select("paper", "question", "key", "seq", "at", "correct").write.mode("append").parquet(path)

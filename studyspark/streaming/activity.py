@@ -28,8 +28,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "events")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, as an in-memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """All that is there now, as files under ``folder``; each batch in complete mode replaces the one before."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder}-progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)

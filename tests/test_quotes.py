@@ -67,8 +67,7 @@ def test_both_plans_find_the_same_pairs(spark):
     asked = [(i, docs[i][1][20:70] if i % 2 else "z" * 30) for i in range(12)] + [(99, "short"), (98, None)]
     texts, quotes = spark.createDataFrame(docs, "doc_id int, norm string"), spark.createDataFrame(asked, "item_id int, quote string")
     brute = {(r.doc_id, r.item_id) for r in texts.crossJoin(quotes).where(q.quote_in_text("quote", "norm")).collect()}
-    assert brute and {tuple(r) for r in matching.contained(texts, quotes).collect()} == brute == {tuple(r) for r in matching.joined(texts, quotes).collect()}
-    assert matching.quote_pairs(texts, quotes, most=3).count() == len(brute)
+    assert brute and {tuple(r) for r in matching.quote_pairs(texts, quotes).collect()} == brute
 
 
 def test_highlight_levels(spark):

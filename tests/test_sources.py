@@ -60,18 +60,18 @@ def test_retry_policy():
     assert fetch_with_retry(lambda u: next(tries), "u", sleep=waits.append).body == b"x" and waits == [30, 6]
     assert wait_after(Reply(503), 2) == 10 and wait_after(Reply(429, {"retry-after": "Wed, 1 Jan"}), 1) == 5
     with pytest.raises(FetchError) as e:
-        fetch_with_retry(lambda u: Reply(429), "u")
+        fetch_with_retry(lambda u: Reply(429), "u", sleep=waits.append)
     assert e.value.status == 429
 
     def broken(url):
         raise OSError("down")
 
     with pytest.raises(FetchError, match="down"):
-        fetch_with_retry(broken, "u")
+        fetch_with_retry(broken, "u", sleep=waits.append)
 
 
 def test_fetched_pages_isolate_failures(spark):
-    got = {r.url: (r.status, r.error) for r in pages(spark.createDataFrame([("a",), ("b",)], "url string"), lambda u: Reply(200 if u == "a" else 404)).collect()}
+    got = {r.url: (r.status, r.error) for r in pages(spark.createDataFrame([("a",), ("b",)], "url string"), lambda u: Reply(200 if u == "a" else 404), sleep=lambda s: None).collect()}
     assert got == {"a": (200, None), "b": (404, "status 404")}
 
 

@@ -17,18 +17,18 @@ def folder(spark, tmp_path_factory):
 
 
 def test_sections_hold_whole_thirds(spark, folder):
-    text = {r.doc_id: r.text for r in QUERIES["q62_whole_tail_sections"](spark, folder).collect()}[1]
+    text = {r.doc_id: r.text for r in QUERIES["q47_tail_sections"](spark, folder).collect()}[1]
     assert (text.count("a" * 300), text.count("b" * 3), text.count("c" * 300)) == (1, 0, 1)
 
 
 def test_answers_and_evidence_are_whole_turns(spark, folder):
-    rows = QUERIES["q63_whole_question_files"](spark, folder).orderBy("pos").collect()
+    rows = QUERIES["q48_question_files"](spark, folder).orderBy("pos").collect()
     assert [r.answer for r in rows] == [f"Since The same long opening of more than forty letters, then {n // 2}." for n in range(5)]
-    assert sorted(r.place for r in QUERIES["q64_whole_distinct_evidence"](spark, folder).collect()) == [0, 2, 4]
+    assert sorted(r.place for r in QUERIES["q52_distinct_evidence"](spark, folder).collect()) == [0, 2, 4]
 
 
 def test_pages_are_whole_texts(spark, folder):
-    text = {r.source: r.text for r in QUERIES["q65_whole_page_assembly"](spark, folder).collect()}
+    text = {r.source: r.text for r in QUERIES["q54_page_assembly"](spark, folder).collect()}
     assert "a" * 300 + "b" * 300 + "c" * 300 in text["s"] and "z" * 40 in text["s"] and text["t"] == ""
-    counted = {r.source: r.skipped for r in QUERIES["q66_whole_page_counters"](spark, folder).select("source", F.col("skipped")).collect()}
+    counted = {r.source: r.skipped for r in QUERIES["q55_page_counters"](spark, folder).select("source", F.col("skipped")).collect()}
     assert counted == {"s": 0, "t": 1}
