@@ -15,39 +15,51 @@ def last_by_id(replies: DataFrame, array: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, F.col("r.id").alias("id")).agg(F.max_by("r", "pos").alias("r"))
 
 
-def judge(questions: DataFrame) -> DataFrame:
-    """Adds passed, verification, and the evidence and answer that stand.
+def answered(questions: DataFrame) -> DataFrame:
+    """Adds own_ok and blind_ok (is either quote in the text), and fail: why a question needs no judging, or null.
 
-    Columns: answer, evidence, norm_text (normalised chunk), blind (struct answerable,
-    answer, quote; null if skipped), judged (struct premise_ok, a_supported, verdict,
-    reason; null if skipped).  Missing flags pass; only an explicit false fails."""
-    blind, judged = F.col("blind"), F.col("judged")
-    blind_answer = F.trim(F.coalesce(blind["answer"], F.lit("")))
-    blind_quote = F.trim(F.coalesce(blind["quote"], F.lit("")))
-    own_ok = quote_in_text("_own", "norm_text")
-    blind_ok = quote_in_text("_blind", "norm_text")
-    said = F.concat(F.coalesce(judged["verdict"], F.lit("None")), F.lit(": "), F.coalesce(judged["reason"], F.lit("")))
+    Columns: evidence, norm_text (normalised chunk), blind (struct answerable, answer, quote; null if skipped).
+    A missing flag passes; only an explicit false fails."""
+    blind = F.col("blind")
+    out = questions.withColumn("_own", normalized(F.coalesce("evidence", F.lit("")))).withColumn("_blind", normalized(F.trim(F.coalesce(blind["quote"], F.lit("")))))
+    out = out.withColumn("own_ok", quote_in_text("_own", "norm_text")).withColumn("blind_ok", quote_in_text("_blind", "norm_text"))
     fail = (
         F.when(blind.isNull(), "the model skipped this question")
-        .when(blind["answerable"].eqNullSafe(False) | (blind_answer == ""), "not answerable from the text")
-        .when(~(F.col("_own_ok") | F.col("_blind_ok")), "no quote found in the text")
-        .when(judged.isNull(), "the model skipped judging this question")
+        .when(blind["answerable"].eqNullSafe(False) | (F.trim(F.coalesce(blind["answer"], F.lit(""))) == ""), "not answerable from the text")
+        .when(~(F.col("own_ok") | F.col("blind_ok")), "no quote found in the text")
+    )
+    return out.withColumn("fail", fail).drop("_own", "_blind")
+
+
+def concluded(questions: DataFrame) -> DataFrame:
+    """Adds passed, verification, and the evidence and answer that stand, to what ``answered`` gives.
+
+    Column judged: struct premise_ok, a_supported, verdict, reason; null if skipped."""
+    blind, judged = F.col("blind"), F.col("judged")
+    said = F.concat(F.coalesce(judged["verdict"], F.lit("None")), F.lit(": "), F.coalesce(judged["reason"], F.lit("")))
+    fail = F.coalesce(
+        "fail",
+        F.when(judged.isNull(), "the model skipped judging this question")
         .when(judged["premise_ok"].eqNullSafe(False), F.concat(F.lit("false premise: "), said))
         .when(judged["a_supported"].eqNullSafe(False), F.concat(F.lit("answer not supported: "), said))
-        .when(~F.coalesce(judged["verdict"].isin("agree", "partial"), F.lit(False)), said)
+        .when(~F.coalesce(judged["verdict"].isin("agree", "partial"), F.lit(False)), said),
     )
-    out = questions.withColumn("_own", normalized(F.coalesce("evidence", F.lit("")))).withColumn("_blind", normalized(blind_quote))
-    out = out.withColumn("_own_ok", own_ok).withColumn("_blind_ok", blind_ok).withColumn("_fail", fail)
-    passed = F.col("_fail").isNull()
+    passed = F.col("fail").isNull()
     return (
-        out.withColumn("passed", passed)
-        .withColumn("verification", F.coalesce("_fail", said))
-        .withColumn("answer", F.when(passed & ~F.col("_own_ok"), blind_answer).otherwise(F.col("answer")))
-        .withColumn("evidence", F.when(passed, clean_quote(F.when(F.col("_own_ok"), F.col("evidence")).otherwise(blind_quote))).otherwise(F.col("evidence")))
-        .drop("_own", "_blind", "_own_ok", "_blind_ok", "_fail")
+        questions.withColumn("fail", fail)
+        .withColumn("passed", passed)
+        .withColumn("verification", F.coalesce("fail", said))
+        .withColumn("answer", F.when(passed & ~F.col("own_ok"), F.trim(blind["answer"])).otherwise(F.col("answer")))
+        .withColumn("evidence", F.when(passed, clean_quote(F.when(F.col("own_ok"), F.col("evidence")).otherwise(F.trim(blind["quote"])))).otherwise(F.col("evidence")))
+        .drop("own_ok", "blind_ok", "fail")
     )
 
 
+def judge(questions: DataFrame) -> DataFrame:
+    """``answered`` and ``concluded`` at once, where both replies are there already."""
+    return concluded(answered(questions))
+
+
 def keep_distinct(judged: DataFrame, n: int, order: str = "place") -> DataFrame:
     """The first n passed candidates of each document whose normalised evidence is new."""
     first = Window.partitionBy("doc_id", "_norm").orderBy(order)
@@ -56,15 +68,9 @@ def keep_distinct(judged: DataFrame, n: int, order: str = "place") -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= n).drop("_norm", "_first", "_n")
 
 
-def keep_in_batches(judged: list[dict], n: int) -> tuple[list[dict], int]:
-    """The same for one document in the order of a loop: batches as large as what is still
-    missing, each batch by chunk; returns what is kept and how many were checked."""
-    kept, evidence, checked, rest = [], set(), 0, sorted(judged, key=lambda q: q["place"])
-    while rest and len(kept) < n:
-        batch, rest = rest[: n - len(kept)], rest[n - len(kept) :]
-        for q in sorted(batch, key=lambda q: q["chunk"]):
-            checked += 1
-            if q["passed"] and q["norm_evidence"] not in evidence:
-                evidence.add(q["norm_evidence"])
-                kept.append(q)
-    return kept, checked
+def new_evidence(judged: DataFrame, kept: DataFrame) -> DataFrame:
+    """The passed rows of one batch, in the order of chunk and place, whose normalised evidence (norm) neither an
+    earlier row of the batch nor one of ``kept`` (doc_id, norm) has."""
+    first = Window.partitionBy("doc_id", "norm").orderBy("chunk", "place")
+    rows = judged.where("passed").withColumn("norm", normalized("evidence")).withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+    return rows.join(kept.select("doc_id", "norm").distinct(), ["doc_id", "norm"], "left_anti")

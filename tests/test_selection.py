@@ -89,6 +89,7 @@ def test_last_reply_counts(spark):
 def test_distinct_evidence_in_bulk_and_in_batches(spark):
     rows = spark.createDataFrame([(1, 1, True, "Same quote."), (1, 2, True, "same QUOTE"), (1, 3, False, "x"), (1, 4, True, "other"), (1, 5, True, "third")], "doc_id int, place int, passed boolean, evidence string")
     assert [r.place for r in v.keep_distinct(rows, 2).orderBy("place").collect()] == [1, 4]
-    loop = [{"place": r.place, "chunk": 0, "passed": r.passed, "norm_evidence": r.evidence.lower().strip(".")} for r in rows.collect()]
-    kept, checked = v.keep_in_batches(loop, 2)
-    assert [q["place"] for q in kept] == [1, 4] and checked == 4
+    batch = rows.withColumn("chunk", (F.lit(9) - F.col("place")).cast("int"))  # the later section comes first
+    kept = spark.createDataFrame([(1, "other")], "doc_id int, norm string")
+    assert sorted(r.place for r in v.new_evidence(batch, kept.limit(0)).collect()) == [2, 4, 5]
+    assert sorted(r.place for r in v.new_evidence(batch, kept).collect()) == [2, 5]

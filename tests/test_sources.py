@@ -8,7 +8,7 @@ from studyspark.operators import generation, inbox
 from studyspark.operators.settings import Settings
 from studyspark.sources import files, sinks
 from studyspark.sources.fetch import FetchError, Reply, fetch_with_retry, pages, wait_after
-from studyspark.sources.model import ModelLooped, SentenceModel, ask, error_kind, replies
+from studyspark.sources.model import ModelLooped, ask, error_kind, replies
 from studyspark.streaming import ingest
 
 
@@ -89,22 +89,12 @@ def test_model_retry_and_errors(spark):
     assert [error_kind(404, ""), error_kind(None, "timed out while loading"), error_kind(200, "repeat"), error_kind(500, "x"), error_kind(None, "x")] == ["missing", "loading", "looped", "crashed", "other"]
     df = spark.createDataFrame([(1, "p")], "id int, prompt string")
     r = replies(df, lambda t, p: "bad", "x").first()
-    assert r.raw is None and r.error
+    assert r.raw == "bad" and r.error
+    r = replies(df, lambda t, p: (_ for _ in ()).throw(ModelLooped("again")), "x").first()
+    assert r.raw is None and r.error == "again"
 
 
-def test_whole_generation(spark, tmp_path):
-    marker = "--- Page {} ---\nSentence number {} speaks about the topic at some length, and then it stops."
-    text = "\n\n".join(marker.format(i, i) for i in range(1, 9))
-    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id bigint, text string")
-
-    def table(df, name):
-        df.write.mode("overwrite").parquet(str(tmp_path / name))
-        return spark.read.parquet(str(tmp_path / name))
-
-    got = generation.generate(docs, SentenceModel(), 4, table).orderBy("place").collect()
-    assert len(got) == 4 and {r.doc_id for r in got} == {1}
-    assert all(r.page == int(r.evidence.split()[2]) if r.evidence.startswith("Sentence") else True for r in got)
-    assert len({r.evidence for r in got}) == 4
+def test_sections_done_are_not_asked_again(spark):
     progress = spark.createDataFrame([(1, "f1", 0), (1, "f1", 1), (2, "old", 0)], "doc_id int, fingerprint string, chunk_no int")
     current = spark.createDataFrame([(1, "f1"), (2, "new")], "doc_id int, fingerprint string")
     assert sorted(map(tuple, generation.resumable(progress, current).collect())) == [(1, 0), (1, 1)]
