@@ -62,3 +62,10 @@ def totals(shelf: DataFrame) -> DataFrame:
 def model_list(suggested: DataFrame, installed: DataFrame) -> DataFrame:
     """Suggested models with whether they are installed, then installed ones that nobody suggested."""
     return suggested.withColumn("s", F.lit(True)).join(installed.withColumn("i", F.lit(True)), "name", "full").select("name", F.coalesce("s", F.lit(False)).alias("suggested"), F.coalesce("i", F.lit(False)).alias("installed"))
+
+
+def checks_ok(checks: DataFrame) -> DataFrame:
+    """(setup, ok, failed) of checks (setup, name, ok): all must hold; a null check does not, and ``failed`` names
+    those that do not, sorted."""
+    ok = F.coalesce("ok", F.lit(False))
+    return checks.groupBy("setup").agg(F.every(ok).alias("ok"), F.array_join(F.sort_array(F.collect_list(F.when(~ok, F.col("name")))), ", ").alias("failed"))

@@ -253,3 +253,51 @@ SELECT seq, name, CASE WHEN NOT ok THEN 'not a PDF' WHEN name IN (SELECT name FR
 ), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS events FROM s GROUP BY user_id, n""",
 }
+
+_PAGED = """paged AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page,
+    CASE WHEN turn % 4 = 1 THEN '!' ELSE '' END || CASE WHEN turn % 3 = 2 THEN '' ELSE translate(coalesce(text, ''), chr(12) || chr(13), '  ') END AS p
+  FROM conversations
+)"""
+_FILE_NAMES = """n AS (
+  SELECT doc_id, lang = 'en' AS pdf, 'doc' || doc_id || '.pdf' AS name, doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AS done FROM documents
+)"""
+
+SQL |= {
+    "q70_attempts_appended": f"""WITH {_ATTEMPTS} SELECT paper, question, key, seq, "at", correct FROM attempts""",
+    "q71_reads_appended": "SELECT user_id AS paper, arg_max(ts, event_id) AS read_at FROM events WHERE event_type = 'view' AND user_id % 3 <> 0 GROUP BY 1",
+    "q72_question_upsert": """SELECT 'item' || item_id AS stem, CASE WHEN item_id % 2 = 0 THEN 'note of item' || item_id ELSE '' END AS notes,
+  CASE WHEN item_id % 3 > 0 THEN 'New?' ELSE 'Old?' END AS question, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS answer FROM benchmark WHERE item_id % 2 = 0 OR item_id % 3 > 0""",
+    "q73_files_written": "SELECT 'item' || item_id AS stem, text FROM benchmark",
+    "q74_history_read": f"""WITH {_ATTEMPTS} SELECT key, paper::VARCHAR AS paper, question, "at", correct FROM attempts""",
+    "q75_state_lines": "SELECT item_id, length(text)::INT AS n FROM benchmark WHERE item_id % 5 <> 0",
+    "q76_log_lines": """SELECT date_trunc('second', ts) AS "at", event_type || ' ' || event_id AS message FROM events WHERE event_type <> 'click'""",
+    "q77_pending_only": f"WITH {_FILE_NAMES} SELECT 'named' AS run, name FROM n WHERE pdf AND NOT done AND doc_id % 3 = 0 UNION ALL SELECT 'all', name FROM n WHERE pdf AND NOT done",
+    "q78_shelved": f"WITH {_FILE_NAMES} SELECT DISTINCT 'doc' || doc_id AS stem FROM n WHERE NOT done",
+    "q79_pasted_texts": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'Text ' || doc_id ELSE 'Pasted article' END AS title, count(*) AS n, count(*) AS headed
+FROM documents WHERE length(trim(text)) >= 500 GROUP BY 1""",
+    "q80_pdf_magic": "SELECT page_id, (octet_length(encode(coalesce(html, ''))) + 9)::INT AS n_bytes FROM pages WHERE page_id % 3 = 0",
+    "q81_fetch_retry": """SELECT url, [200, 404, 503, NULL][length(url) % 4 + 1]::INT AS status, CASE WHEN length(url) % 4 = 0 THEN url END AS body,
+  [NULL, 'status 404', 'status 503', 'no route'][length(url) % 4 + 1] AS error FROM pages WHERE url IS NOT NULL""",
+    "q82_models_installed": """WITH w AS (SELECT event_id, user_id, CASE WHEN user_id % 7 = 0 THEN 'big' WHEN user_id % 2 = 0 THEN 'm1' ELSE 'big:32b' END AS w FROM events)
+SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN w = 'big:32b' OR (w = 'm1' AND user_id % 3 = 1) END AS ok FROM w""",
+    "q83_model_errors": """WITH m AS (
+  SELECT [404, 500, 200][event_id % 3 + 1]::INT AS status, ['Model not found', 'timed out while loading', 'the reply would repeat', 'boom', 'timed out'][event_id % 5 + 1] AS message FROM events
+) SELECT status, message, count(*) AS n, CASE WHEN status = 404 OR message LIKE '%not found%' THEN 'missing' WHEN message LIKE '%timed out%' AND message LIKE '%load%' THEN 'loading'
+  WHEN message LIKE '%repeat%' THEN 'looped' WHEN status = 500 THEN 'crashed' ELSE 'other' END AS kind FROM m GROUP BY 1, 2""",
+    "q84_page_reading": f"""WITH {_PAGED}, s AS (
+  SELECT *, p[1] = '!' AS broken, length(regexp_replace(p, '[\\s\\p{{Z}}\\x{{85}}]+', '', 'g')) < 25 AS sparse FROM paged WHERE conv_id % 6 <> 5
+) SELECT conv_id AS doc_id, page::INT AS page, CASE WHEN sparse AND page % 2 = 1 THEN 'read from the picture' ELSE p END AS text, broken AS fallback, sparse AND page % 2 = 1 AS ocr, false AS skipped,
+  nullif(concat_ws('; ', CASE WHEN broken THEN 'RuntimeError' END, CASE WHEN sparse AND page % 2 = 0 THEN 'OCR: no picture' END), '') AS error FROM s
+UNION ALL SELECT DISTINCT conv_id, 1, '', false, false, false, 'ValueError: not a PDF' FROM paged WHERE conv_id % 6 = 5""",
+    "q85_page_counts": "SELECT conv_id AS doc_id, CASE WHEN conv_id % 6 <> 5 THEN count(*) END::INT AS pages, CASE WHEN conv_id % 6 = 5 THEN 'ValueError: not a PDF' END AS error FROM conversations GROUP BY conv_id",
+    "q86_assembled_files": f"""WITH {_PAGED} SELECT conv_id AS doc_id, CASE WHEN conv_id % 6 <> 5 AND bool_or(trim(p) <> '')
+  THEN string_agg('--- Page ' || page || ' ---' || chr(10) || p, chr(10) || chr(10) ORDER BY page) ELSE '' END AS text FROM paged GROUP BY conv_id""",
+    "q87_replies_by_id": "SELECT conv_id, (turn % 3)::INT AS id, arg_max(text, turn) AS answer FROM conversations GROUP BY 1, 2",
+    "q88_checks_ok": """WITH c AS (SELECT l_orderkey AS setup, 'c' || l_linenumber AS name, l_linenumber <> 7 AND l_partkey % 4 <> 0 AS ok FROM lineitem)
+SELECT setup, bool_and(ok) AS ok, coalesce(string_agg(name, ', ' ORDER BY name) FILTER (WHERE NOT ok), '') AS failed FROM c GROUP BY 1""",
+    "q89_graded_answers": """SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN 'correct' ELSE 'partly' END AS verdict,
+  CASE WHEN item_id % 3 = 0 THEN 'you said it' ELSE 'you missed it' END AS feedback, NULL::VARCHAR AS error FROM benchmark""",
+    "q90_titles_found": f"""WITH l AS (SELECT item_id, text, split_part(trim(text), chr(10), 1) AS line FROM benchmark)
+SELECT item_id AS doc_id, trim(regexp_replace(CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 60) WHEN length({_norm('line')}) >= 8 THEN line END, '\\s+', ' ', 'g')) AS title FROM l""",
+}

@@ -535,3 +535,6 @@ def x1_stream_daily(spark, d):
 def x2_stream_sessions(spark, d):
     stream = activity.event_stream(spark, f"{d}/events.parquet")
     return activity.run_to_table(activity.sessions(stream, "6 hours"), sinks.scratch(spark, "x2"))
+
+
+from . import storage  # noqa: E402, F401 - registers its own queries here
