@@ -195,8 +195,8 @@ def dealt(rows: DataFrame, by) -> DataFrame:
 
     A cell of two blocks has two sides; one block with itself is one run (cell < 0), like a whole key of one block."""
     one = rows.where("n <= 1").withColumn("cell", F.lit(-1)).withColumn("side", F.lit(0))
-    many = rows.where("n > 1").withColumn("_b", F.pmod(by, F.col("n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cell = F.when(F.col("_b") == F.col("_o"), -2 - F.col("_b")).otherwise(F.least("_b", "_o") * F.col("n") + F.greatest("_b", "_o")).cast("int")
+    many = rows.where("n > 1").withColumn("_b", F.pmod(by, F.col("n")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    cell = F.when(F.col("_b") == F.col("_o"), -2 - F.col("_b")).otherwise(F.least("_b", "_o").cast("bigint") * F.col("n") + F.greatest("_b", "_o"))
     return one.unionByName(many.withColumn("cell", cell).withColumn("side", F.when(F.col("_b") <= F.col("_o"), 0).otherwise(1)).drop("_b", "_o")).drop("n")
 
 
@@ -376,13 +376,43 @@ def _forests_of_cells(shingle: int, similarity: float):
     return run
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int = 128) -> DataFrame:
+def _mixed(classed: DataFrame) -> DataFrame:
+    """(key, n: nodes, s: shingles, big: root of the largest class, m: its nodes, t: its shingles) of buckets of several classes.
+
+    ``classed``: (key, node, size, root); of equally large classes the one of the largest root."""
+    each = classed.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("size").alias("t"))
+    whole = each.groupBy("key").agg(F.sum("m").alias("n"), F.sum("t").alias("s"), F.max(F.struct("m", "root", "t")).alias("most"))
+    return written(whole.select("key", "n", "s", F.col("most.root").alias("big"), "most.m", "most.t").where("n > m"), "mixed")
+
+
+def _cells(classed: DataFrame, mixed: DataFrame, block: int, shingles: int) -> DataFrame:
+    """(key, cell, side, node, root): cells in which all pairs of nodes of different classes of a mixed bucket meet.
+
+    A bucket of one block is one run.  Of others the largest class has blocks of its own, which meet the
+    blocks of the rest and not each other; the blocks of the rest meet as in ``dealt``."""
+    blocks = lambda n, s: F.ceil(F.greatest(n / block, s / shingles)).cast("bigint")
+    rows = classed.join(mixed, "key").withColumn("_n", blocks(F.col("n"), F.col("s")))
+    one = rows.where("_n <= 1").withColumn("cell", F.lit(-1).cast("bigint")).withColumn("side", F.lit(0))
+    many = rows.where("_n > 1").withColumn("_h", F.xxhash64("node")).withColumn("_d", blocks(F.col("m"), F.col("t"))).withColumn("_r", blocks(F.col("n") - F.col("m"), F.col("s") - F.col("t")))
+    rest, most = many.where("root <> big"), many.where("root = big")
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    ends = rest.withColumn("_y", F.pmod("_h", "_r")).withColumn("_x", to("_d")).withColumn("side", F.lit(1))
+    ends = ends.unionByName(most.withColumn("_x", F.pmod("_h", "_d")).withColumn("_y", to("_r")).withColumn("side", F.lit(0)))
+    across = ends.withColumn("cell", F.col("_r") * F.col("_r") + F.col("_x") * F.col("_r") + F.col("_y"))
+    among = dealt(rest.withColumn("n", F.col("_r")), F.col("_h"))
+    out = ["key", "cell", "side", "node", "root"]
+    return one.select(out).unionByName(across.select(out)).unionByName(among.select(out))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int = 512, shingles: int = 2_000_000) -> DataFrame:
     """(k: hash of id and text, id, root: number of the class) of every row.
 
     Nodes are distinct sets of shingles.  In each band's bucket every node is first compared with the
     smallest, so a family of near copies costs one comparison for each member.  Buckets whose nodes then
-    stand in different classes are dealt to cells of two blocks of about ``block`` nodes, which compare all
-    their sets.  So every pair of a bucket is compared or connected already, and none is emitted but links."""
+    stand in different classes are dealt to cells of two blocks of about ``block`` nodes and ``shingles``
+    shingles at most, which compare all their sets; nodes of the largest class are not compared with each
+    other.  So every pair of a bucket is compared or connected already, and none is emitted but links.
+    A bucket of n nodes of many classes is copied n / ``block`` times."""
     kind = dict(docs.dtypes)[id_col]
     picked = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -392,11 +422,11 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         for b in batches:
             sets = [shingle_set(t, shingle) for t in as_bytes(b.column(2))]
             nodes = np.array([xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["k", "id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["k", "id", "node", "size", "keys"])
 
-    marked = written(in_arrow(picked, run, f"k bigint, id {kind}, node bigint, keys array<bigint>"), "sets")
-    own = marked.groupBy("node").agg(F.min_by("keys", "k").alias("keys"), F.min("k").alias("k"))
-    posted = written(own.select("node", F.explode("keys").alias("key")), "postings")
+    marked = written(in_arrow(picked, run, f"k bigint, id {kind}, node bigint, size bigint, keys array<bigint>"), "sets")
+    own = marked.groupBy("node").agg(F.min_by("keys", "k").alias("keys"), F.max("size").alias("size"))
+    posted = written(own.select("node", "size", F.explode("keys").alias("key")), "postings")
     # written like all aggregates that meet their own rows again: a hot bucket or class can be split in the join
     buckets = written(posted.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
     met = written(posted.join(buckets, "key"), "met")
@@ -406,14 +436,13 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 
     stars = written(met.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = verified(stars, texts, shingle, similarity)
-    classed = written(met.join(components(links), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "classed")
+    classed = written(met.join(components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "classed")
     removed(met, stars)
-    apart = written(classed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "apart")
-    mixed = classed.join(apart, "key").withColumn("n", F.ceil(F.col("n") / block).cast("int"))
-    cells = dealt(mixed, F.xxhash64("node")).join(texts, "node").select("key", "cell", "side", "node", "root", "text")
+    mixed = _mixed(classed)
+    cells = _cells(classed, mixed, block, shingles).join(texts, "node").select("key", "cell", "side", "node", "root", "text")
     ordered = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "node")
     more = written(in_arrow(ordered, _forests_of_cells(shingle, similarity), "a bigint, b bigint"), "links")
-    removed(classed, apart, texts)
+    removed(classed, mixed, texts)
     linked = components(links.unionByName(more))
     removed(links, more)
     found = written(marked.select("k", "id", "node").join(linked, "node", "left").select("k", "id", F.coalesce("root", "node").alias("root")), "classes")
