@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, packing, quality_crf, simhash_dedup, substring_dedup, token_counts, topk_mtree, toxicity, warc
+from . import byte_bpe, decontaminate, importance, lm_scoring, packing, quality_crf, simhash_dedup, source_audit, substring_dedup, token_counts, topk_mtree, toxicity, warc
 from .common import table
 
 
@@ -76,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_source_audit": source_audit.op11_source_audit,
+    "op12_importance": importance.op12_importance,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 #: Base32 by hand: five hex digits are four characters of the alphabet.
@@ -141,4 +144,4 @@ ds AS ({_CHOSEN.format("dp")}), si AS ({_CHOSEN.format("ip")}), hits AS (
 SELECT doc_id, item_id, shift::BIGINT AS doc_start, n_matched, n::INT AS item_words, best_window FROM best WHERE k = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10_SQL, "op1_topk_mtree": _OP1_SQL, "op8_warc": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": _OP10_SQL, "op1_topk_mtree": _OP1_SQL, "op8_warc": _OP8_SQL, "op11_source_audit": source_audit.SQL, "op12_importance": importance.SQL}
