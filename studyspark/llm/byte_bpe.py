@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, in_arrow, table, written
+from .common import in_arrow, table, written
 
 #: No pair: above every rank.
 _NONE = 2**31 - 1
@@ -47,10 +47,6 @@ _NONE = 2**31 - 1
 _GAP = 1 << 31
 #: Arrays of so many small maps hold the ranks.
 _MAPS = 1 << 15
-#: The pattern joins nothing across these: an optional space before a run without white space, or white space.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-#: White space to one of Python and the pattern only.
-_ODD = re.compile(r"[\x1c-\x1f\x85᠎​  ﻿]").search
 
 
 def read_ranks(ranks_file: str) -> dict[bytes, int]:
@@ -130,48 +126,49 @@ def _packed(ids) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _in_ascii(pattern: str) -> str:
+    """The pattern as it works on texts of ASCII alone, in the syntax of Python's own expressions."""
+    letters, digits = "A-Za-z", "0-9"
+    inside = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(r"\p{L}", letters).replace(r"\p{N}", digits), pattern)
+    return inside.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]")
+
+
 class _Words:
-    """Splits texts into chunks and words; each worker process has one."""
+    """Splits texts into words and looks their ids up; each worker process has one."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, longest: int, known: dict[bytes, bytes]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, longest: int, folded: dict[bytes, bytes]):
         import regex
 
-        self._split = regex.compile(pattern).findall
-        self._ranks, self._known, self._longest = ranks, known, longest
-        self.memo = Memo(self._encoded)
+        self._any = regex.compile(pattern).findall
+        own = _in_ascii(pattern)
+        self._ascii = self._any if r"\p" in own else re.compile(own, re.ASCII).findall
+        self._ranks, self._longest = ranks, longest
+        self.known: dict[str, bytes] = {w.decode(): ids for w, ids in folded.items()}
+        for piece, rank in ranks.items():
+            try:
+                self.known[piece.decode()] = _packed((rank,))
+            except UnicodeDecodeError:
+                pass  # half a character is never a word
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces of text that no word crosses."""
-        return self._split(text) if _ODD(text) else _CHUNK(text)
-
-    def words(self, chunk: str) -> list[bytes]:
-        return [w.encode() for w in self._split(chunk)]
+    def words(self, text: str) -> list[str]:
+        return (self._ascii if text.isascii() else self._any)(text)
 
     def foldable(self, word: bytes) -> bool:
         return word not in self._ranks and len(word) <= self._longest
 
-    def _encoded(self, chunk: str) -> bytes | tuple:
-        """Packed ids of a chunk; if a word of it is not known, a tuple of packed ids and of such words as strings."""
-        out: list = []
-        for word in self.words(chunk):
-            if word in self._ranks:
-                out.append(_packed((self._ranks[word],)))
-            elif (ids := self._known.get(word)) is not None:
-                out.append(ids)
-            else:
-                out.append(_packed(merged_ids(word, self._ranks)) if len(word) > self._longest else word.decode())
-        return b"".join(out) if all(isinstance(x, bytes) for x in out) else tuple(out)
-
     def row(self, text: str) -> tuple[bytes, list[str]]:
         """(packed ids with gaps, the distinct words that the gaps stand for)."""
-        parts = list(map(self.memo.__getitem__, self.chunks(text)))
-        try:
-            return b"".join(parts), []
-        except TypeError:
-            gaps: dict[str, int] = {}
-            flat = (x for p in parts for x in ((p,) if isinstance(p, bytes) else p))
-            ids = b"".join(x if isinstance(x, bytes) else _packed((_GAP + gaps.setdefault(x, len(gaps)),)) for x in flat)
-            return ids, list(gaps)
+        words = self.words(text)
+        ids = list(map(self.known.get, words))
+        gaps: dict[str, int] = {}
+        for i, found in enumerate(ids):
+            if found is None:
+                word = words[i]
+                if self.foldable(word.encode()):
+                    ids[i] = _packed((_GAP + gaps.setdefault(word, len(gaps)),))
+                else:
+                    ids[i] = _packed(merged_ids(word.encode(), self._ranks))
+        return b"".join(ids), list(gaps)
 
 
 def _closed(ids: bytes, words: list[bytes]) -> bytes:
@@ -196,29 +193,25 @@ def _kept_in_worker(key: tuple, make):
     return _WORKER[key]
 
 
-def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int, longest: int, most_bytes: int = 24 << 20, pending: int = 500_000) -> DataFrame:
+def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int, longest: int, most_bytes: int = 24 << 20, pending: int = 400_000) -> DataFrame:
     """(word) of the words that occur most in all texts, at most ``held`` and ``most_bytes``: whole classes of
     similar counts from the top.  A word that no task sees twice is not among them."""
 
     def run(batches):
         words = _kept_in_worker(("split", ranks_file, pattern, longest), lambda: _Words(read_ranks(ranks_file), pattern, longest, {}))
-        chunks: Counter = Counter()
+        found: Counter = Counter()
 
         def counted():
-            found: Counter = Counter()
-            for chunk, n in chunks.items():
-                for word in words.words(chunk):
-                    found[word] += n
-            found = {w: n for w, n in found.items() if n > 1 and words.foldable(w)}
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            often = {w: n for word, n in found.items() if n > 1 and words.foldable(w := word.encode())}
+            return pa.RecordBatch.from_arrays([pa.array(list(often), pa.binary()), pa.array(list(often.values()), pa.int64())], names=["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text:
-                    chunks.update(words.chunks(text))
-            if len(chunks) > pending:
+                    found.update(words.words(text))
+            if len(found) > pending:
                 yield counted()
-                chunks = Counter()
+                found.clear()
         yield counted()
 
     counts = in_arrow(texts, run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -235,7 +228,7 @@ def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int
     return counts.where((F.col("level") > taken.level) | ((F.col("level") == taken.level) & (F.col("part") <= taken.part))).select("word")
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 400_000, longest: int = 96) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 800_000, longest: int = 96) -> DataFrame:
     """(id, ids) of every text; ids: an array, or with ``packed`` little-endian 32-bit numbers as binary."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
