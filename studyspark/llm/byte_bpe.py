@@ -136,14 +136,17 @@ def _in_ascii(pattern: str) -> str:
 class _Words:
     """Splits texts into words and looks their ids up; each worker process has one."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, longest: int, folded: dict[bytes, bytes]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, longest: int, folded: pa.Table | None = None):
         import regex
 
         self._any = regex.compile(pattern).findall
         own = _in_ascii(pattern)
         self._ascii = self._any if r"\p" in own else re.compile(own, re.ASCII).findall
         self._ranks, self._longest = ranks, longest
-        self.known: dict[str, bytes] = {w.decode(): ids for w, ids in folded.items()}
+        self.known: dict[str, bytes] = {}
+        for b in folded.to_batches(10_000) if folded is not None else ():
+            for word, ids in zip(b.column(0).cast(pa.string()).to_pylist(), b.column(1).to_pylist(), strict=True):
+                self.known[word] = _packed(ids)
         for piece, rank in ranks.items():
             try:
                 self.known[piece.decode()] = _packed((rank,))
@@ -198,7 +201,7 @@ def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int
     similar counts from the top.  A word that no task sees twice is not among them."""
 
     def run(batches):
-        words = _kept_in_worker(("split", ranks_file, pattern, longest), lambda: _Words(read_ranks(ranks_file), pattern, longest, {}))
+        words = _kept_in_worker(("split", ranks_file, pattern, longest), lambda: _Words(read_ranks(ranks_file), pattern, longest))
         found: Counter = Counter()
 
         def counted():
@@ -228,7 +231,7 @@ def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int
     return counts.where((F.col("level") > taken.level) | ((F.col("level") == taken.level) & (F.col("part") <= taken.part))).select("word")
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 800_000, longest: int = 96) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 500_000, longest: int = 96) -> DataFrame:
     """(id, ids) of every text; ids: an array, or with ``packed`` little-endian 32-bit numbers as binary."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
@@ -237,8 +240,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     head = frequent_words(texts, ranks_file, pattern, held=held, longest=longest)
     ids = written(head.select("word", _let(literal, lambda m: folded(F.col("word"), m)).alias("ids")), "folded")
-    known = {bytes(word): _packed(ids) for b in ids.toArrow().to_batches() for word, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
-    sent = spark.sparkContext.broadcast(known)
+    sent = spark.sparkContext.broadcast(ids.toArrow())  # flat buffers: some 25 bytes a word
     number = sent._jbroadcast.id()
 
     def split(batches):

@@ -29,6 +29,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import filterfalse
 from operator import itemgetter
 
 import numpy as np
@@ -41,7 +42,7 @@ from .common import as_bytes, in_arrow, table, written
 #: Letters of ASCII in lower case and all bytes beyond ASCII stay, anything else is a delimiter.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: So many sums or counts are held by a task before they are handed on.
-_PENDING = 400_000
+_PENDING = 600_000
 
 
 def _summed(counts: dict[tuple, Counter], names: tuple[str, ...]) -> pa.RecordBatch:
@@ -94,7 +95,7 @@ _AUTOMATA: dict[int, tuple] = {}
 
 
 def _automaton(sent) -> tuple:
-    """(automaton, its terms as bytes, the same as a set), built once in a worker process."""
+    """(automaton, its terms, their bytes as a set), built once in a worker process."""
     if sent.id not in _AUTOMATA:
         import ahocorasick
 
@@ -102,9 +103,8 @@ def _automaton(sent) -> tuple:
         for n, term in enumerate(sent.value):
             made.add_word(f" {term} ", n)
         made.make_automaton()
-        terms = [t.encode() for t in sent.value]
         _AUTOMATA.clear()
-        _AUTOMATA[sent.id] = (made, terms, set(terms))
+        _AUTOMATA[sent.id] = (made, pa.array(sent.value, pa.string()), {t.encode() for t in sent.value})
     return _AUTOMATA[sent.id]
 
 
@@ -135,23 +135,26 @@ def recounted(docs: DataFrame, kept: DataFrame, *, held: int, longest: int) -> D
         others: dict[tuple, Counter] = {}
 
         def handed_on():
-            named = {g: Counter({terms[i]: n for i, n in c.items()}) for g, c in counts.items()}
-            for g, c in others.items():
-                named[g] = named.get(g, Counter()) + c
-            return _summed(named, ("lang", "source", "term", "n"))
+            numbers = pa.array([i for c in counts.values() for i in c], pa.int32())
+            found = terms.take(numbers)  # no object for each term
+            names = [pa.array([g[k] for g in counts], pa.binary()).cast(pa.string()).take(pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts.values()]))) for k in (0, 1)]
+            n = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
+            return pa.RecordBatch.from_arrays([*names, found, n], names=["lang", "source", "term", "n"])
 
         for b in batches:
             for lang, source, text in zip(*(as_bytes(b.column(i)) for i in range(3)), strict=True):
                 plain = text.translate(_LETTERS)
-                if terms:
+                if len(terms):
                     found = map(itemgetter(1), automaton.iter(f" {plain.decode()} "))
                     counts.setdefault((lang, source), Counter()).update(found)
                 if beyond:
-                    others.setdefault((lang, source), Counter()).update(w for w in plain.split() if w not in known)
+                    others.setdefault((lang, source), Counter()).update(filterfalse(known.__contains__, plain.split()))
             if sum(map(len, counts.values())) + sum(map(len, others.values())) > _PENDING:
                 yield handed_on()
+                yield _summed(others, ("lang", "source", "term", "n"))
                 counts, others = {}, {}
         yield handed_on()
+        yield _summed(others, ("lang", "source", "term", "n"))
 
     found = in_arrow(docs.select("lang", "source", "text"), run, "lang string, source string, term string, n bigint")
     # dealt by term once: the sums, the join and the postings of a term need no other exchange
