@@ -2,8 +2,8 @@
 
 Words (the matches of the vocabulary's pattern) are encoded by Spark's higher-order functions:
 a fold over the bytes of a word, each step merging the adjacent pair of the lowest rank, leftmost
-first, with the ranks as a literal map (hashed into an array of small maps, as Spark searches a
-map from its start).  Bytes stand as pairs of hexadecimal digits, so that pieces concatenate.
+first.  The ranks are a literal map from two adjacent pieces to the rank of their concatenation (dealt
+into an array of short arrays, as Spark searches a map from its start); a piece is known by its rank.
 
 Words repeat, so each frequent word is folded once: all words are counted over all documents,
 and the most frequent ones, up to ``held`` words and 24 MB, are folded as a table of distinct words
@@ -32,7 +32,6 @@ import json
 import re
 import struct
 from collections import Counter
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, table, written
 
-#: No pair: above every rank.
-_NONE = 2**31 - 1
+#: Pairs of pieces are numbered from here on, so that no rank is as large.
+_PAIR = 1 << 44
+#: Arrays of so many short arrays hold the ranks of pairs.
+_PLACES = 1 << 17
 #: In a row of ids, numbers from here on stand for the document's own rare words.
 _GAP = 1 << 31
-#: Arrays of so many small maps hold the ranks.
-_MAPS = 1 << 15
 
 
 def read_ranks(ranks_file: str) -> dict[bytes, int]:
@@ -55,13 +54,19 @@ def read_ranks(ranks_file: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, filter(bytes.strip, f))}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal map: array of maps from hexadecimal digits to rank, found by their CRC-32."""
-    maps: list[dict[str, int]] = [{} for _ in range(_MAPS)]
+def rank_map(ranks: dict[bytes, int]) -> tuple[Column, Column]:
+    """The literal map from two pieces to the rank of their concatenation, and the pieces of single bytes.
+
+    Pieces are known by their ranks.  Each short array holds the pairs of one remainder, every number of a pair
+    followed by its rank."""
+    places: list[list[int]] = [[] for _ in range(_PLACES)]
     for piece, rank in ranks.items():
-        digits = piece.hex().upper()
-        maps[crc32(digits.encode()) % _MAPS][digits] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            first, second = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if first is not None and second is not None:
+                places[(31 * first + second) % _PLACES] += [_PAIR + (first << 22) + second, rank]
+    single = [ranks[bytes([i])] for i in range(256)]
+    return F.from_json(F.lit(json.dumps(places)), "array<array<bigint>>"), F.from_json(F.lit(json.dumps(single)), "array<bigint>")
 
 
 def _let(value: Column, body) -> Column:
@@ -69,33 +74,33 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def folded(word: Column, ranks: Column) -> Column:
+def folded(word: Column, pairs: Column, single: Column) -> Column:
     """Ids of a word (binary, two bytes at least): lowest rank first, leftmost among equals."""
 
-    def rank(piece: Column) -> Column:
-        place = F.crc32(piece.cast("binary")).bitwiseAND(F.lit(_MAPS - 1)).cast("int")
-        return F.coalesce(F.try_element_at(F.get(ranks, place), piece), F.lit(_NONE))
+    def rank(first: Column, second: Column) -> Column:
+        # of a pair that is not there the number of another pair or null: no rank
+        place = F.get(pairs, (first * 31 + second).bitwiseAND(F.lit(_PLACES - 1)).cast("int"))
+        return F.get(place, F.array_position(place, first * (1 << 22) + second + _PAIR).cast("int"))
 
     def of_pairs(pieces: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: rank(F.concat(F.get(pieces, i - 1), F.get(pieces, i))))
-        return F.struct(pieces.alias("pieces"), pairs.alias("ranks"))
+        of = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: rank(F.get(pieces, i - 1), F.get(pieces, i)))
+        return F.struct(pieces.alias("pieces"), of.alias("ranks"))
 
-    def merged(s: Column, at: Column, piece: Column) -> Column:
-        # what is merged away stands as '' and -1 for a moment
-        pieces = F.transform(s["pieces"], lambda x, i: F.when(i == at, piece).when(i == at + 1, "").otherwise(x))
-        before, after = lambda i: rank(F.concat(F.get(s["pieces"], i), piece)), lambda i: rank(F.concat(piece, F.get(s["pieces"], i + 1)))
-        pairs = F.transform(s["ranks"], lambda x, i: F.when(i == at, -1).when(i == at - 1, before(i)).when(i == at + 1, after(i)).otherwise(x))
-        return F.struct(F.array_remove(pieces, "").alias("pieces"), F.array_remove(pairs, -1).alias("ranks"))
+    def merged(s: Column, at: Column) -> Column:
+        gone = F.lit(-1).cast("bigint")  # what is merged away, for a moment
+        piece = F.get(s["ranks"], at)
+        pieces = F.transform(s["pieces"], lambda x, i: F.when(i == at, piece).when(i == at + 1, gone).otherwise(x))
+        before, after = lambda i: rank(F.get(s["pieces"], i), piece), lambda i: rank(piece, F.get(s["pieces"], i + 1))
+        ranks = F.transform(s["ranks"], lambda x, i: F.when(i == at, gone).when(i == at - 1, before(i)).when(i == at + 1, after(i)).otherwise(x))
+        return F.struct(F.array_remove(pieces, gone).alias("pieces"), F.array_remove(ranks, gone).alias("ranks"))
 
     def step(s: Column, _: Column) -> Column:
-        best = F.coalesce(F.array_min(s["ranks"]), F.lit(_NONE))
-        at = F.array_position(s["ranks"], best).cast("int") - 1
-        pair = _let(at, lambda a: F.struct(a.alias("at"), F.concat(F.get(s["pieces"], a), F.get(s["pieces"], a + 1)).alias("piece")))
-        return F.when(best == _NONE, s).otherwise(_let(pair, lambda m: merged(s, m["at"], m["piece"])))
+        best = F.array_min(s["ranks"])
+        return F.when(best < _PAIR, _let(F.array_position(s["ranks"], best).cast("int") - 1, lambda at: merged(s, at))).otherwise(s)
 
-    single = F.split(F.hex(word), r"(?<=\G..)(?=.)")
-    done = F.aggregate(F.sequence(F.lit(1), F.octet_length(word) - 1), _let(single, of_pairs), step)
-    return F.transform(done["pieces"], rank)
+    bytes_ = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
+    done = F.aggregate(F.sequence(F.lit(1), F.octet_length(word) - 1), _let(bytes_, of_pairs), step)
+    return F.transform(done["pieces"], lambda x: x.cast("int"))
 
 
 def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -196,7 +201,7 @@ def _kept_in_worker(key: tuple, make):
     return _WORKER[key]
 
 
-def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int, longest: int, most_bytes: int = 24 << 20, pending: int = 400_000) -> DataFrame:
+def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int, longest: int, most_bytes: int = 24 << 20, pending: int = 150_000) -> DataFrame:
     """(word) of the words that occur most in all texts, at most ``held`` and ``most_bytes``: whole classes of
     similar counts from the top.  A word that no task sees twice is not among them."""
 
@@ -231,15 +236,15 @@ def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int
     return counts.where((F.col("level") > taken.level) | ((F.col("level") == taken.level) & (F.col("part") <= taken.part))).select("word")
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 500_000, longest: int = 96) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 400_000, longest: int = 96) -> DataFrame:
     """(id, ids) of every text; ids: an array, or with ``packed`` little-endian 32-bit numbers as binary."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     ranks = read_ranks(ranks_file)
-    literal = rank_map(ranks)
+    pairs, single = rank_map(ranks)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     head = frequent_words(texts, ranks_file, pattern, held=held, longest=longest)
-    ids = written(head.select("word", _let(literal, lambda m: folded(F.col("word"), m)).alias("ids")), "folded")
+    ids = written(head.select("word", _let(pairs, lambda m: folded(F.col("word"), m, single)).alias("ids")), "folded")
     sent = spark.sparkContext.broadcast(ids.toArrow())  # flat buffers: some 25 bytes a word
     number = sent._jbroadcast.id()
 
@@ -256,7 +261,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(filled, pa.binary()) if packed else pa.array([np.frombuffer(x, "<i4") for x in filled], pa.list_(pa.int32()))], names=["id", "ids"])
 
     opened = in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), split, f"id {kind}, ids binary, gaps array<string>")
-    rare = _let(literal, lambda m: F.transform("gaps", lambda w: folded(w.cast("binary"), m)))
+    rare = _let(pairs, lambda m: F.transform("gaps", lambda w: folded(w.cast("binary"), m, single)))
     closed = in_arrow(opened.select("id", "ids", rare.alias("gaps")), close, f"id {kind}, ids {'binary' if packed else 'array<int>'}")
     return closed.select(F.col("id").alias(id_col), "ids")
 

@@ -47,13 +47,11 @@ _PENDING = 600_000
 
 def _summed(counts: dict[tuple, Counter], names: tuple[str, ...]) -> pa.RecordBatch:
     """One row for each group and counted key: the group's values, the key, the count."""
-    groups, items, numbers = [], [], []
-    for group, counter in counts.items():
-        groups.extend([group] * len(counter))
-        items.extend(counter.keys())
-        numbers.extend(counter.values())
-    columns = [pa.array([g[i] for g in groups], pa.binary()).cast(pa.string()) for i in range(len(names) - 2)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(items, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], names=list(names))
+    place = pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts.values()]))
+    columns = [pa.array([g[i] for g in counts], pa.binary()).cast(pa.string()).take(place) for i in range(len(names) - 2)]
+    items = pa.array([x for c in counts.values() for x in c], pa.binary()).cast(pa.string())
+    numbers = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
+    return pa.RecordBatch.from_arrays([*columns, items, numbers], names=list(names))
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:

@@ -176,8 +176,8 @@ def test_both_ways_of_merging_agree_with_the_library(spark, library):
     ranks = byte_bpe.read_ranks(RANKS_FILE)
     words -= ranks.keys()
     df = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
-    literal = byte_bpe.rank_map(ranks)
-    for r in df.select("word", byte_bpe._let(literal, lambda m: byte_bpe.folded(F.col("word"), m)).alias("ids")).collect():
+    pairs, single = byte_bpe.rank_map(ranks)
+    for r in df.select("word", byte_bpe._let(pairs, lambda m: byte_bpe.folded(F.col("word"), m, single)).alias("ids")).collect():
         assert list(r.ids) == byte_bpe.merged_ids(bytes(r.word), ranks) == library._encode_bytes(bytes(r.word))
 
 
