@@ -301,3 +301,7 @@ SELECT setup, bool_and(ok) AS ok, coalesce(string_agg(name, ', ' ORDER BY name)
     "q90_titles_found": f"""WITH l AS (SELECT item_id, text, split_part(trim(text), chr(10), 1) AS line FROM benchmark)
 SELECT item_id AS doc_id, trim(regexp_replace(CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 60) WHEN length({_norm('line')}) >= 8 THEN line END, '\\s+', ' ', 'g')) AS title FROM l""",
 }
+
+from .streams import SQL as _STREAMS  # noqa: E402 - beside its queries
+
+SQL |= _STREAMS

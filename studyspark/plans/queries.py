@@ -537,4 +537,4 @@ def x2_stream_sessions(spark, d):
     return activity.run_to_table(activity.sessions(stream, "6 hours"), sinks.scratch(spark, "x2"))
 
 
-from . import storage  # noqa: E402, F401 - registers its own queries here
+from . import storage, streams  # noqa: E402, F401 - register their own queries here
