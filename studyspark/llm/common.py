@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space; bytes.split() and bytes.lower() of
@@ -87,24 +87,41 @@ def build_side(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     return df.hint("shuffle_hash") if share <= most else df
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that stand beside those of ``df`` for a while: underscores are added until none clashes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def labelled_sample(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str, rows: int, weight: Column, most: int, by_label: bool) -> DataFrame:
     """(y, text) of at most ``rows`` labelled documents, of each label or of both, whose weights add up to ``most`` at most.
 
     ``known``: (id, y); ``weight``: an expression over ``text``.  Documents are taken in the order of a hash of
-    their ids; one that no longer fits is passed over.  Only keys and weights reach the driver, ``rows`` at most of
-    each group, never texts; rows equal in id and text are one."""
-    marked = known.withColumn("g", F.col("y") if by_label else F.lit(0)).withColumn("h", F.xxhash64("id"))
-    first = lambda df, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("_n") <= rows).drop("_n")
+    id and text, among those that are there: labels of other documents change nothing.  One that no longer fits is
+    passed over; rows equal in id and text are one.  How many there are says under which hash enough of them lie, so only keys and
+    weights of little more than ``rows`` of each group reach the driver, and no task sees more than its share."""
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = picked.join(F.broadcast(first(marked, "h", "id")), "id").withColumn("k", F.xxhash64("id", "text"))
-    sizes = first(keyed.select("g", "h", "id", "k", weight.cast("bigint").alias("n")).distinct(), "h", "id", "k")
-    left, taken = {}, []
-    for r in sorted(sizes.collect(), key=lambda r: (r.h, r.id, r.k)):
-        if r.n <= left.setdefault(r.g, most):
+    marked = known.withColumn("g", F.col("y") if by_label else F.lit(0))
+    keyed = picked.select("id", F.xxhash64("id", "text").alias("k"), weight.cast("bigint").alias("n")).join(marked, "id")
+    keyed = written(keyed.groupBy("k").agg(F.min("g").alias("g"), F.min("y").alias("y"), F.max("n").alias("n")).withColumn("h", F.xxhash64("k")), "labelled")
+    wanted, under = rows + 8 * int(rows**0.5) + 64, F.lit(False)
+    for r in keyed.groupBy("g").count().collect():
+        share = (1 << 64) * wanted // max(r["count"], 1)
+        under = under | ((F.col("g") == r.g) & (F.col("h") <= min(share - (1 << 63), (1 << 63) - 1)))
+    left, seen, taken = {}, {}, []
+    for r in sorted(keyed.where(under).collect(), key=lambda r: (r.h, r.k)):
+        seen[r.g] = seen.get(r.g, 0) + 1
+        if seen[r.g] <= rows and r.n <= left.setdefault(r.g, most):
             left[r.g] -= r.n
-            taken.append((r.k,))
-    chosen = docs.sparkSession.createDataFrame(taken, "k bigint").distinct()
-    return keyed.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("y", "text")
+            taken.append((r.k, r.y))
+    removed(keyed)
+    chosen = docs.sparkSession.createDataFrame(taken, "k bigint, y int")
+    return picked.withColumn("k", F.xxhash64("id", "text")).join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("y", "text")
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

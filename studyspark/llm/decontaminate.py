@@ -27,7 +27,9 @@ counted as well.
 Edge cases: null and empty texts on either side have no words and match nothing;
 repeated rows of a document or item are reported once; of equally good alignments of a
 document and an item the first counts; ids may be null (reported as null); very long
-texts are one row of words each, and only texts with a hit are read again; an empty
+texts are one row of words each, and only texts with a hit are read again, once for each item,
+whatever the number of their hits (a text of one repeated word has as many alignments as words:
+each costs one walk over the item); an empty
 table on either side gives an empty result; other columns are ignored.
 """
 
@@ -38,7 +40,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, written
 
 #: Weight 6, span 8.  Any 13 words with two substitutions keep one of them free.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -101,7 +103,7 @@ def _verified(
     broadcast_rows: int = 500_000,
     broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """Verified alignments: (id, k: hash of a document's id and text, item, shift, item_words, n_matched, best_window, length)."""
+    """The best verified alignment of each document and item: (id, k: hash of a document's id and text, item, item_words, n_matched, best_window, shift)."""
     span = max(max(m) for m in masks) + 1
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("k", F.xxhash64("id", "text"))
     bench = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
@@ -114,25 +116,41 @@ def _verified(
         whole = written(_runs(sized, ["item", "size"], lengths).where("at = 0 and n = size").select("item", "seed"), "short")
         short = _runs(texts, ["id", "k"], lengths).join(_small(whole, broadcast_rows), "seed")
         hits = hits.unionByName(short.groupBy("id", "k", "item").agg(F.min("at").alias("shift")))
-    hits = written(hits, "hits")
-    # alignments alone are broadcast, if few; the items' words join what they have found
-    found = _small(hits.withColumnsRenamed({"id": "hit_id", "k": "hit_k"}), 100_000)
+    # one row for a document and an item, with all shifts: the document's words stand beside them once
+    hits = written(hits.groupBy("id", "k", "item").agg(F.collect_list("shift").alias("shifts")), "hits")
+    found = hits.withColumnsRenamed({"id": "hit_id", "k": "hit_k"})
+    if hits.agg(F.coalesce(F.sum(F.size("shifts") + 10), F.lit(0))).first()[0] <= 1_000_000:  # numbers, and ten for the keys
+        found = F.broadcast(found)
     aligned = texts.join(found, (F.col("k") == F.col("hit_k")) & F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id", "hit_k").withColumnRenamed("text", "doc_text")
     own = bench.select(F.col("item").alias("own"), words("text").alias("iw"))
     if bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] <= broadcast_bytes:
         own = _small(own, 10_000)
     pairs = aligned.join(own, F.col("item").eqNullSafe(F.col("own")))
-    # the item's words beside the document's at that alignment, as arguments that are evaluated once
-    beside = F.concat(F.array_repeat(F.lit(""), F.greatest(-F.col("shift"), F.lit(0))), F.slice(words("doc_text"), F.greatest("shift", F.lit(0)) + 1, F.greatest(F.size("iw") + F.least("shift", F.lit(0)), F.lit(0))))
-    agree = F.zip_with("iw", beside, lambda a, b: F.when(a == b, 1).otherwise(0))
-    # written, else the windows below would evaluate the comparison anew for each start
-    same = written(pairs.select("id", "k", "item", "shift", agree.alias("same")), "alignments")
-    length = F.least(F.lit(window), F.size("same"))
-    added = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - length + 1), lambda s: added(F.slice("same", s, length))))
-    scored = same.select("id", "k", "item", "shift", F.size("same").alias("item_words"), added("same").alias("n_matched"), best.alias("best_window"), length.alias("length"))
     needed = F.array(*(F.lit(n - tolerated(masks, n, share)) for n in range(1, window + 1)))
-    return scored.where(F.col("best_window") >= F.element_at(needed, F.col("length")))
+    length = F.least(F.lit(window), F.size("iw"))
+    best = F.get(F.transform(F.array(words("doc_text")), lambda dw: _best(dw, F.col("shifts"), F.col("iw"), length, F.element_at(needed, length))), F.lit(0))
+    scored = pairs.select("id", "k", "item", F.size("iw").alias("item_words"), best.alias("best")).where("best is not null")
+    return scored.select("id", "k", "item", "item_words", "best.n_matched", "best.best_window", (-F.col("best.back")).alias("shift"))
+
+
+def _best(doc: Column, shifts: Column, item: Column, length: Column, needed: Column) -> Column:
+    """The best verified alignment of an item's words in a document's: agreeing words, those of the best window, least shift.
+
+    Each alignment is one walk over the item's words, with the sum of the window that ends there."""
+
+    def agrees(shift: Column, i: Column) -> Column:
+        return F.when(F.get(doc, shift + i) == F.get(item, i), 1).otherwise(0)
+
+    def scored(shift: Column) -> Column:
+        def walked(s: Column, i: Column) -> Column:
+            now = agrees(shift, i)
+            run = s["run"] + now - F.when(i >= length, agrees(shift, i - length)).otherwise(0)
+            return F.struct((s["n_matched"] + now).alias("n_matched"), F.when(i >= length - 1, F.greatest(s["best_window"], run)).otherwise(s["best_window"]).alias("best_window"), run.alias("run"))
+
+        start = F.struct(F.lit(0).alias("n_matched"), F.lit(0).alias("best_window"), F.lit(0).alias("run"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), start, walked, lambda s: F.struct(s["n_matched"], s["best_window"], (-shift).alias("back")))
+
+    return F.array_max(F.filter(F.transform(shifts, scored), lambda s: s["best_window"] >= needed))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", item_id_col: str = "item_id", **options) -> DataFrame:
@@ -149,6 +167,7 @@ def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     """The rows of ``docs``, all columns, without documents that overlap an item.
 
     A document is an id and a text: other texts of its id, or other texts without an id, stay."""
-    bad = _verified(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_bad_id"), F.col("k").alias("_bad")).distinct()
-    same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col("_bad")) & docs[id_col].eqNullSafe(F.col("_bad_id"))
+    key, own = apart(docs, "_bad", "_bad_id")
+    bad = _verified(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias(own), F.col("k").alias(key)).distinct()
+    same = (F.xxhash64(docs[id_col], docs[text_col]) == bad[key]) & docs[id_col].eqNullSafe(bad[own])
     return docs.join(bad, same, "left_anti")

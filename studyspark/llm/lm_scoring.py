@@ -267,19 +267,21 @@ def word_counts(docs: DataFrame, text_col: str = "text", most: int = 500_000) ->
 
 
 def most_frequent(counts: DataFrame, hot: int, steps: int = 1 << 16) -> pa.Table:
-    """(word, c) of the words whose count no more than ``hot`` words have or exceed, most frequent first, then by word.
+    """(word, c) of the ``hot`` most frequent words, by count and then by word; fewer only where there are fewer.
 
-    The least such count is found from how many words have each count, so no task sorts a vocabulary."""
+    The least count that fits whole is found from how many words have each count, so no task sorts a vocabulary;
+    of the words of the next count the first in the order of words fill up what is left."""
     shares = counts.groupBy(F.least("c", F.lit(steps)).alias("c")).agg(F.count("*").alias("n")).collect()  # steps rows at most
-    least, n = None, 0
+    whole, next_c, n = steps + 1, None, 0
     for r in sorted(shares, key=lambda r: -r.c):
-        n += r.n
-        if n > hot:
+        if n + r.n > hot:
+            next_c = r.c
             break
-        least = r.c
-    if least is None:  # nothing, or more words than ``hot`` at the top: these alone are sorted
-        return counts.where(F.col("c") >= steps).orderBy(F.desc("c"), "word").limit(hot).toArrow()
-    return counts.where(F.col("c") >= least).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+        whole, n = r.c, n + r.n
+    full = counts.where(F.col("c") >= whole)
+    if next_c is not None and n < hot:  # the top of a sort: each task hands on so many rows at most
+        full = full.unionByName(counts.where(F.least("c", F.lit(steps)) == next_c).orderBy(F.desc("c"), "word").limit(hot - n))
+    return full.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
 
 
 def training_windows(docs: DataFrame, classes, length: int = 16_384) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, in_arrow, removed, written
+from .common import apart, as_bytes, in_arrow, removed, written
 from .components import components
 
 
@@ -472,12 +472,13 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     removed(found, first)
     small = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df  # noqa: E731  proven small, else a shuffle join
     own = F.xxhash64(docs[id_col], docs[text_col])
-    same = lambda keys: (own == keys["_k"]) & docs[id_col].eqNullSafe(keys["_id"])
-    gone = small(rows.where("goes").select(F.col("k").alias("_k"), F.col("id").alias("_id")))
+    key, name = apart(docs, "_k", "_id")
+    same = lambda keys: (own == keys[key]) & docs[id_col].eqNullSafe(keys[name])
+    gone = small(rows.where("goes").select(F.col("k").alias(key), F.col("id").alias(name)))
     out = docs.join(gone, same(gone), "left_anti")
-    again = rows.where("n > 1 and not goes").select(F.col("k").alias("_k"), F.col("id").alias("_id"))
+    again = rows.where("n > 1 and not goes").select(F.col("k").alias(key), F.col("id").alias(name))
     if again.limit(1).count():  # repeated rows of one document
         again = small(again)
-        once = out.join(again, same(again)).dropDuplicates(["_k", "_id"]).select(*docs.columns)
+        once = out.join(again, same(again)).dropDuplicates([key, name]).select(*docs.columns)
         out = out.join(again, same(again), "left_anti").unionByName(once)
     return out

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import build_side, in_arrow, removed, written
+from .common import apart, build_side, in_arrow, removed, written
 
 #: White space with a line feed, or after any character that is no letter, digit, quote, hyphen, colon, semicolon or opening bracket.
 _CUT = re.compile(r"\s*\n\s*|(?<=[^\w\s;:'\"’“”()\-–])[ \t]+")
@@ -120,11 +120,12 @@ def duplicate_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return spans
 
 
-def _beside(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the column ``_spans``: what goes from each text, or null."""
-    keys = spans.withColumnsRenamed({"id": "_id", "k": "_k", "spans": "_spans"})
-    same = (docs[id_col].cast("bigint").eqNullSafe(keys["_id"])) & (F.xxhash64(docs[id_col], docs[text_col]) == keys["_k"])
-    return docs.join(build_side(keys), same, "left").drop("_id", "_k")
+def _beside(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with one more column: what goes from each text, or null; and the column's name."""
+    own, key, name = apart(docs, "_id", "_k", "_spans")
+    keys = spans.withColumnsRenamed({"id": own, "k": key, "spans": name})
+    same = (docs[id_col].cast("bigint").eqNullSafe(keys[own])) & (F.xxhash64(docs[id_col], docs[text_col]) == keys[key])
+    return docs.join(build_side(keys), same, "left").drop(own, key), name
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -137,7 +138,8 @@ def without(text: Column, spans: Column) -> Column:
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
     """(id, text without repeated units, spans: removed (start, end) of the original, n_removed: spans, removed_chars), one row per row."""
     spans = duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words)
-    joined = _beside(docs.select(id_col, text_col), spans, id_col, text_col).withColumnRenamed("_spans", "spans")
+    joined, name = _beside(docs.select(id_col, text_col), spans, id_col, text_col)
+    joined = joined.withColumnRenamed(name, "spans")
     kept = without(F.col(text_col), F.col("spans"))
     gone = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]), F.lit(0).cast("bigint"))
     return joined.select(id_col, kept.alias(text_col), "spans", F.coalesce(F.size("spans"), F.lit(0)).alias("n_removed"), gone.alias("removed_chars"))
@@ -147,10 +149,11 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows and columns of ``docs`` with repeated units removed from the text; ``count_col``, if there, is its new length.
 
     Texts of which nothing is left are dropped, unless they were empty before."""
-    joined = _beside(docs, duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words), id_col, text_col)
-    text = without(F.col(text_col), F.col("_spans"))
-    out = joined.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), F.col("_spans").isNotNull().alias("_cut"))
-    out = out.where(~F.col("_cut") | (F.length(F.trim(text_col)) > 0)).drop("_cut")
+    joined, name = _beside(docs, duplicate_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words), id_col, text_col)
+    (cut,) = apart(docs, "_cut")
+    text = without(F.col(text_col), F.col(name))
+    out = joined.select(*(text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns), F.col(name).isNotNull().alias(cut))
+    out = out.where(~F.col(cut) | (F.length(F.trim(text_col)) > 0)).drop(cut)
     if count_col in docs.columns:
         out = out.withColumn(count_col, F.length(text_col).cast(dict(docs.dtypes)[count_col]))
     return out.select(*docs.columns)
