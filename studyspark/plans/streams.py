@@ -11,6 +11,9 @@ from ..streaming.ingest import read_texts
 from .bindings import table
 from .queries import query
 
+#: Partitions of the streams' state: it holds unfinished documents and the rows of a day.
+_PARTITIONS = 8
+
 # --- resumed sections ---------------------------------------------------------
 
 
@@ -30,7 +33,7 @@ def x3_resumed_sections(spark, d):
         answered = F.col("sections") if run == 3 else F.least("sections", (F.col("doc_id") % 3 + (run - 1)).cast("int"))
         replies = docs.withColumn("section", F.explode(F.filter(F.sequence(F.lit(0), F.col("sections")), lambda i: i < answered)))
         replies = replies.withColumns({"kind": F.lit("reply"), "seq": F.col("seq") + 1 + F.col("section"), "answer": F.concat(F.lit("answer "), F.col("section"))})
-        found = resume.advance(offers.unionByName(replies), folder)
+        found = resume.advance(offers.unionByName(replies), folder, partitions=_PARTITIONS)
     return found.where("kind <> 'kept'").select("run", "kind", "document", "fingerprint", "section", F.size("answers").alias("answers"))
 
 
@@ -53,7 +56,7 @@ def _arrived(spark, d, name, closing):
         arrivals.route(spark, folder, _EVENTS)
         if closing:
             stream = closing(arrivals.queued(spark, folder, _EVENTS))
-            arrivals.close(stream, folder, name)
+            arrivals.close(stream, folder, name, partitions=_PARTITIONS)
     return folder, stream
 
 

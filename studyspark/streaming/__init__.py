@@ -1 +1,20 @@
 """Structured Streaming forms of ingest and activity."""
+
+from __future__ import annotations
+
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
+
+@contextmanager
+def settings(spark: SparkSession, own: dict[str, str]):
+    """Settings of the session for streaming queries that start inside; afterwards they are as before."""
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -1,10 +1,10 @@
 """Closed windows of an event stream: append mode under a watermark, with late rows set apart.
 
 Each arrival is routed before any window sees it: rows no newer than the newest time of earlier arrivals
-(in milliseconds) less the delay are late and go to a side table, the others to the queue of the windows.  So no row is lost without
-a trace, and the watermark of the windows, which follows the same rule, drops none of the queue.  Windows and
-sessions that the watermark has passed are put out once and leave the state, whose size depends on the rows
-of one delay and not on the stream's length.
+(in milliseconds) less the delay are late and go to a side table, the others to the queue of the windows.
+So no row is lost without a trace, and the watermark of the windows, which follows the same rule, drops none
+of the queue.  Windows and sessions that the watermark has passed are put out once and leave the state, whose
+size depends on the rows of one delay and not on the stream's length.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import exists
+from . import settings
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str):
@@ -74,13 +75,16 @@ def sessions(stream: DataFrame, gap: str) -> DataFrame:
     return found.select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "events")
 
 
-def close(stream: DataFrame, folder: str, name: str):
-    """Put the windows of ``stream`` that have closed since the last call under ``folder``/``name``; gives the finished query."""
+def close(stream: DataFrame, folder: str, name: str, partitions: int | None = None):
+    """Put the windows of ``stream`` that have closed since the last call under ``folder``/``name``; gives the finished query.
+
+    ``partitions``: of the state, chosen for good by the first call (by default as many as shuffles have)."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
-    return _run(stream, each, f"{folder}/{name}-progress")
+    with settings(stream.sparkSession, {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}):
+        return _run(stream, each, f"{folder}/{name}-progress")
 
 
 def closed(spark: SparkSession, stream: DataFrame, folder: str, name: str) -> DataFrame:

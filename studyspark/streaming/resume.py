@@ -14,12 +14,13 @@ the batch that changed it: a run that dies in a batch repeats that batch on the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from . import settings
+
 #: kind: "offer" (fingerprint, sections) or "reply" (fingerprint, section, answer); seq: the order within a document.
 EVENTS = "document string, run int, seq bigint, kind string, fingerprint string, sections int, section int, answer string"
 #: kind: "ask" (section), "kept" (section, a reply that finished it) or "complete" (answers of all sections).
@@ -74,29 +75,22 @@ def progress(events: DataFrame, expiry_ms: int | None = None) -> DataFrame:
     return events.groupBy("document").transformWithState(Sections(expiry_ms), OUTCOMES, "Append", "None" if expiry_ms is None else "ProcessingTime")
 
 
-@contextmanager
-def state_settings(spark: SparkSession):
+def state_settings(spark: SparkSession, partitions: int | None = None):
     """For queries started inside: the store that keeps state of one's own, and no batches without rows, of
     which the clock would ask for one after the other."""
     own = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
-    before = {name: spark.conf.get(name, None) for name in own}
-    for name, value in own.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return settings(spark, own | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}))
 
 
-def advance(events: DataFrame, folder: str, expiry_ms: int | None = None) -> DataFrame:
+def advance(events: DataFrame, folder: str, expiry_ms: int | None = None, partitions: int | None = None) -> DataFrame:
     """Append events to the folder's queue, run over all that is new there, and give all outcomes so far.
 
     May be broken off anywhere and called again: the queue, the state and the outcomes go on from the last
-    finished batch, and a repeated batch replaces its own outcomes."""
+    finished batch, and a repeated batch replaces its own outcomes.  ``partitions``: of the state, chosen for
+    good by the first call (by default as many as shuffles have)."""
     spark = events.sparkSession
     names = [c.strip().split(" ")[0] for c in EVENTS.split(",")]
     events.select(*names).write.mode("append").parquet(f"{folder}/queue")
@@ -105,7 +99,7 @@ def advance(events: DataFrame, folder: str, expiry_ms: int | None = None) -> Dat
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={number}")
 
-    with state_settings(spark):
+    with state_settings(spark, partitions):
         query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
         query.awaitTermination()
     return outcomes(spark, folder)

@@ -77,3 +77,43 @@ def test_highlight_levels(spark):
     assert level("Missing words here now ok. Eight nine ten eleven twelve.") == "sentence"
     assert level("one two three four five six seven eight nine ten absent words follow") == "opening"
     assert level("nothing at all") == "none" and level("!!!") == "none"
+
+
+def test_every_window_covers_a_whole_run_of_blocks():
+    for c in range(6):
+        width = matching.block(c)
+        for window in (matching.SHORTEST << c, (matching.SHORTEST << c) + 1, (matching.SHORTEST << (c + 1)) - 1):
+            for start in range(3 * width):
+                assert any(start <= at and at + matching.RUN * width <= start + window for at in range(0, start + window, width))
+
+
+def test_classes_of_quotes_follow_their_windows(spark):
+    rows = [(n, "x" * n) for n in (25, 49, 50, 51, 99, 100, 200, 401, 3000)]
+    for r in spark.createDataFrame(rows, "n int, q string").select("n", matching.window_class(F.col("q")).alias("c")).collect():
+        window = (r.n * 4 + 4) // 5
+        assert matching.SHORTEST << r.c <= window < matching.SHORTEST << (r.c + 1)
+
+
+def test_pairs_equal_every_pair_tried_and_candidates_are_few(spark):
+    """Texts full of stock phrases: they meet no quote of which they are but a small part."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 9)))
+    stock = [" ".join(word() for _ in range(3)) for _ in range(3)]
+    quotes = [(i, " ".join([word() for _ in range(rng.choice([4, 9, 20, 60]))] + [rng.choice(stock)] + [word() for _ in range(rng.choice([2, 9, 20]))])) for i in range(40)] + [(100, None), (101, "short"), (102, "")]
+    texts = []
+    for i in range(120):
+        parts = [rng.choice(stock) for _ in range(8)] + [word() for _ in range(40)]
+        if i % 2:
+            whole = quotes[rng.randrange(40)][1]
+            cut = rng.randint(0, len(whole) // 6)
+            parts.insert(rng.randrange(len(parts)), whole[cut : len(whole) - rng.randint(0, len(whole) // 6)])
+        texts.append((i, " ".join(parts)))
+    texts += [(500, None), (501, ""), (502, quotes[0][1])]
+    t = spark.createDataFrame(texts, "doc_id int, norm string")
+    asked = spark.createDataFrame(quotes, "item_id int, quote string")
+    every = {tuple(r) for r in t.crossJoin(asked).where(q.quote_in_text("quote", "norm")).select("doc_id", "item_id").collect()}
+    found = matching.candidates(t, asked)
+    assert {tuple(r) for r in matching.quote_pairs(t, asked).collect()} == every and len(every) > 40
+    assert found.count() < 2 * len(every)
+    assert {tuple(r) for r in matching.candidates(t, asked, most_bytes=0).collect()} == {tuple(r) for r in found.collect()}
+    assert matching.quote_pairs(t, asked.limit(0)).count() == 0 and matching.quote_pairs(t.limit(0), asked).count() == 0
