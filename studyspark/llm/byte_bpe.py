@@ -260,7 +260,8 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc
             filled = [_closed(i, [_packed(w) for w in words]) if words else i for i, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(filled, pa.binary()) if packed else pa.array([np.frombuffer(x, "<i4") for x in filled], pa.list_(pa.int32()))], names=["id", "ids"])
 
-    opened = in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), split, f"id {kind}, ids binary, gaps array<string>")
+    # written, so that a task holds one Python worker with the words, not one for each step
+    opened = written(in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), split, f"id {kind}, ids binary, gaps array<string>"), "opened", "zstd")
     rare = _let(pairs, lambda m: F.transform("gaps", lambda w: folded(w.cast("binary"), m, single)))
     closed = in_arrow(opened.select("id", "ids", rare.alias("gaps")), close, f"id {kind}, ids {'binary' if packed else 'array<int>'}")
     return closed.select(F.col("id").alias(id_col), "ids")
