@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from studyspark.functions.chunking import carried, chunk, chunks, framing_text
+from chunks_by_loop import carried, chunk
+from studyspark.functions.chunking import chunk_array, chunks, framing_text
 
 PARAGRAPHS = [f"{i:03d} " + "x" * 95 for i in range(100)]
 
@@ -77,6 +80,24 @@ def test_table_form(spark):
     assert got == [(1, 0, "a\n\nb"), (1, 0, "c")]
 
 
+def test_fold_equals_loop(spark):
+    rng = random.Random(5)
+    bits = ["a", "bb ", " ", "\n", "\n\n", "\n## H\n", "## ", "word\u00a0", "\u00e9\U0001f600", "x" * 30, "\r\n", "\t", "\x1f", "  \n  "]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(150))) for _ in range(400)]
+    texts += ["", " " * 300, "x" * 500, "a b " * 2000, "## A\ns\n\n## B\n" + "y " * 100 + "\n## C\nt\n## D\n" + "z" * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    for size, overlap in ((20, 0), (40, 9), (100, 30)):
+        got = docs.select("n", chunk_array("text", size, overlap).alias("c")).collect()
+        for r in got:
+            assert r.c == chunk(texts[r.n], size, overlap), (texts[r.n], size, overlap)
+
+
+def test_no_python_worker(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    plan = chunks(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
 def test_framing(spark):
     parts = spark.createDataFrame([(["x", "ABSTRACT one", "y", "our Discussion", "z"],), (["x", "y", "z"],), (["only"],), ([],)], "c array<string>")
     got = [r.x for r in parts.select(framing_text(F.col("c")).alias("x")).collect()]
