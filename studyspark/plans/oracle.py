@@ -302,6 +302,7 @@ SELECT setup, bool_and(ok) AS ok, coalesce(string_agg(name, ', ' ORDER BY name)
 SELECT item_id AS doc_id, trim(regexp_replace(CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 60) WHEN length({_norm('line')}) >= 8 THEN line END, '\\s+', ' ', 'g')) AS title FROM l""",
 }
 
+from .oracle_chunks import SQL as _CHUNKS  # noqa: E402
 from .streams import SQL as _STREAMS  # noqa: E402 - beside its queries
 
-SQL |= _STREAMS
+SQL |= _CHUNKS | _STREAMS
