@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunking import chunks, framing_text
+from ..functions.chunking import chunk_array, framing_text
 from ..functions.questions import level_rank, parse_reply_or_pairs
 from ..functions.quotes import find_page, page_index, quote_in_text
 from ..functions.text import normalized
@@ -49,10 +49,10 @@ def prompt(instruction: str, text: Column | None = None, **data: Column) -> Colu
 
 def sources(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk, text, n_chunks) with the framing text as chunk -1."""
-    parts = chunks(docs.select("doc_id", "text")).toDF("doc_id", "chunk", "text")
-    whole = parts.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]).alias("c"))
-    framing = whole.select("doc_id", F.lit(OVERVIEW).alias("chunk"), framing_text(F.col("c")).alias("text"), F.size("c").alias("n_chunks"))
-    return parts.join(whole.select("doc_id", F.size("c").alias("n_chunks")), "doc_id").unionByName(framing)
+    own = docs.select("doc_id", F.explode(F.filter(F.array(chunk_array("text")), lambda c: F.size(c) > 0)).alias("c"))
+    part = lambda no, text: F.struct(no.alias("chunk"), text.alias("text"))
+    parts = F.concat(F.array(part(F.lit(OVERVIEW), framing_text(F.col("c")))), F.transform("c", lambda x, i: part(i, x)))
+    return own.select("doc_id", F.size("c").alias("n_chunks"), F.explode(parts).alias("s")).select("doc_id", "s.chunk", "s.text", "n_chunks")
 
 
 def candidates_of(src: DataFrame, model: Model, n: int, table: Table, done: DataFrame | None = None) -> DataFrame:

@@ -226,8 +226,8 @@ SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::IN
   UNION ALL SELECT page, n * 3 + 1, gutter, y, 612, top FROM stacked
   UNION ALL SELECT page, n * 3 + 2, 0, top, 612, bottom FROM stacked
 ) SELECT w.page, w.text, place::INT AS place FROM words w JOIN areas a ON w.page = a.page AND (x0 + x1) / 2 >= ax0 AND (x0 + x1) / 2 < ax1 AND (top + bottom) / 2 >= ay0 AND (top + bottom) / 2 < ay1""",
-    "q54_page_assembly": """WITH p AS (SELECT source, doc_id, text AS t FROM documents)
-SELECT source, CASE WHEN bool_or(trim(t) <> '') THEN string_agg('--- Page ' || doc_id || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY doc_id) ELSE '' END AS text FROM p GROUP BY 1""",
+    "q54_page_assembly": """WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
+SELECT conv_id AS doc_id, CASE WHEN bool_or(trim(t) <> '') THEN string_agg('--- Page ' || turn || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY turn) ELSE '' END AS text FROM p GROUP BY 1""",
     "q55_page_counters": """SELECT source, count(*) FILTER (WHERE lang = 'de') AS fallback, count(*) FILTER (WHERE length(regexp_replace(text, '[\\s\\p{Z}\\x{85}]+', '', 'g')) < 25) AS ocr,
   count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS skipped FROM documents GROUP BY 1""",
     "q56_words_from_chars": """WITH c AS (
@@ -302,7 +302,8 @@ SELECT setup, bool_and(ok) AS ok, coalesce(string_agg(name, ', ' ORDER BY name)
 SELECT item_id AS doc_id, trim(regexp_replace(CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 60) WHEN length({_norm('line')}) >= 8 THEN line END, '\\s+', ' ', 'g')) AS title FROM l""",
 }
 
+from .marking import SQL as _MARKS  # noqa: E402
 from .oracle_chunks import SQL as _CHUNKS  # noqa: E402
 from .streams import SQL as _STREAMS  # noqa: E402 - beside its queries
 
-SQL |= _CHUNKS | _STREAMS
+SQL |= _CHUNKS | _MARKS | _STREAMS

@@ -12,7 +12,7 @@ from ..functions import html_article as html
 from ..functions import questions as qs
 from ..functions import quotes as quotes_fn
 from ..functions import text as t
-from ..functions.chunking import chunks, framing_text, is_framing
+from ..functions.chunking import chunk_array, chunks, framing_text, is_framing
 from ..operators import history as h
 from ..operators import inbox as box
 from ..operators import layout, library, matching, selection, verification
@@ -249,7 +249,7 @@ def q22_chunks_small(spark, d):
 
 @query
 def q23_framing_chunks(spark, d):
-    parts = _chunked(spark, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", "chunk"))), lambda x: x["chunk"]).alias("c"))
+    parts = table(spark, d, "documents").select("doc_id", F.explode(F.filter(F.array(chunk_array("text", 1000, 100)), lambda c: F.size(c) > 0)).alias("c"))
     return parts.select("doc_id", F.size(F.filter("c", is_framing)).alias("n_framing"), framing_text(F.col("c")).alias("framing"))
 
 
@@ -441,9 +441,8 @@ def q53_words_in_regions(spark, d):
 
 @query
 def q54_page_assembly(spark, d):
-    """Documents of a source as pages: sources are documents, documents their pages."""
-    pages = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), "text")
-    return layout.assemble(pages).select(F.col("doc_id").alias("source"), "text")
+    """Conversations as documents, their turns as pages."""
+    return layout.assemble(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text"))
 
 
 @query
@@ -537,4 +536,4 @@ def x2_stream_sessions(spark, d):
     return activity.run_to_table(activity.sessions(stream, "6 hours"), sinks.scratch(spark, "x2"))
 
 
-from . import storage, streams  # noqa: E402, F401 - register their own queries here
+from . import marking, storage, streams  # noqa: E402, F401 - register their own queries here

@@ -171,7 +171,7 @@ def q83_model_errors(spark, d):
     message = F.element_at(F.array(*map(F.lit, ("Model not found", "timed out while loading", "the reply would repeat", "boom", "timed out"))), (F.col("event_id") % 5 + 1).cast("int"))
     status = F.element_at(F.array(*map(F.lit, (404, 500, 200))), (F.col("event_id") % 3 + 1).cast("int"))
     kinds = table(spark, d, "events").select(status.alias("status"), message.alias("message")).groupBy("status", "message").agg(F.count("*").alias("n"))
-    return kinds.withColumn("kind", F.udf(model.error_kind, "string", useArrow=True)("status", "message"))
+    return kinds.withColumn("kind", model.error_kind("status", "message"))
 
 
 def _pdfs(spark, d):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
+from ..operators.inbox import run_progress
 from ..sources import named, sinks, snapshots
-from ..streaming import arrivals, queue, resume
+from ..streaming import arrivals, progress, queue, resume, settings
 from ..streaming.ingest import read_texts
 from .bindings import table
 from .queries import query
@@ -78,6 +79,26 @@ def x6_closed_sessions(spark, d):
     return arrivals.closed(spark, stream, folder, "x6")
 
 
+# --- progress -----------------------------------------------------------------
+
+
+@query
+def x7_batch_progress(spark, d):
+    """All events in three arrivals, a run for each from one checkpoint; what the log of the three runs says."""
+    folder = sinks.scratch(spark, "x7")
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    for run in (1, 2, 3):
+        arrivals.deliver(events.where(F.col("event_id") % 3 == run - 1), folder)
+        name = f"arrivals-{folder.rsplit('/', 1)[-1]}"
+        with progress.ProgressLog(spark, f"{folder}/log", name, str(run), 3):
+            stream = spark.readStream.schema(_EVENTS).parquet(f"{folder}/arrivals").groupBy("user_id").count()
+            write = stream.writeStream.queryName(name).outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={n}"))
+            with settings(spark, {"spark.sql.shuffle.partitions": str(_PARTITIONS)}):
+                write.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    log = progress.lines(spark, f"{folder}/log")
+    return run_progress(log).join(log.select("run", "line_no", "rows"), ["run", "line_no"])
+
+
 # --- replaced state -----------------------------------------------------------
 
 _SETTINGS = "user_id bigint, model string, num_questions int"
@@ -171,6 +192,12 @@ FROM i""",
     "q95_named_files": "SELECT 'item-' || item_id || '.html' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS size_bytes, sha1(coalesce(text, '')) AS sha1 FROM benchmark",
 }
 
+SQL["x7_batch_progress"] = """
+WITH n AS (SELECT event_id % 3 + 1 AS run, count(*) AS rows FROM events GROUP BY 1)
+SELECT run::VARCHAR AS run, line_no::INT AS line_no, ['paper', 'section', 'done'][line_no] AS kind, 1::BIGINT AS paper_no, 0::BIGINT AS dropped,
+  CASE WHEN line_no = 3 THEN 1 ELSE 0 END::BIGINT AS done, CASE line_no WHEN 2 THEN run / 3 * 0.6 WHEN 3 THEN 1.0 END::DOUBLE AS fraction, CASE WHEN line_no = 2 THEN rows END AS rows
+FROM n, (VALUES (1), (2), (3)) AS l(line_no)"""
+
 _ARRIVED = """a AS (
   SELECT event_id, ts, user_id, value, CASE WHEN event_id % 40 = 0 THEN 3 WHEN ts < TIMESTAMP '2024-01-12' THEN 1 WHEN ts < TIMESTAMP '2024-01-22' THEN 2 ELSE 3 END AS part FROM events
 ), high AS (SELECT max(ts) AS high FROM a WHERE part < 3), timely AS (

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import ColumnOrName, col
 
 MAX_ATTEMPTS = 2
 
@@ -33,16 +36,14 @@ def ask(model: Model, task: str, prompt: str, parse: Callable[[str], object], at
     raise last
 
 
-def error_kind(status: int | None, message: str) -> str:
-    """missing, loading, looped, crashed or other."""
-    text = message.lower()
-    if status == 404 or "not found" in text:
-        return "missing"
-    if "timed out" in text and "load" in text:
-        return "loading"
-    if "repeat" in text or "loop" in text:
-        return "looped"
-    return "crashed" if status and status >= 500 else "other"
+def error_kind(status: ColumnOrName, message: ColumnOrName) -> Column:
+    """missing, loading, looped, crashed or other; a null status or message tells nothing."""
+    text, status = F.lower(F.coalesce(col(message), F.lit(""))), F.coalesce(col(status), F.lit(0))
+    says = lambda word: F.contains(text, F.lit(word))
+    return (
+        F.when((status == 404) | says("not found"), "missing").when(says("timed out") & says("load"), "loading")
+        .when(says("repeat") | says("loop"), "looped").when(status >= 500, "crashed").otherwise("other")
+    )
 
 
 def replies(prompts: DataFrame, model: Model, task: str) -> DataFrame:

@@ -86,7 +86,9 @@ def test_model_retry_and_errors(spark):
 
     with pytest.raises(ModelLooped):
         ask(looped, "x", "p", json.loads)
-    assert [error_kind(404, ""), error_kind(None, "timed out while loading"), error_kind(200, "repeat"), error_kind(500, "x"), error_kind(None, "x")] == ["missing", "loading", "looped", "crashed", "other"]
+    errors = [(404, "", "missing"), (None, "Timed out while loading", "loading"), (200, "repeat", "looped"), (500, "x", "crashed"), (None, "x", "other"), (500, None, "crashed"), (None, None, "other")]
+    rows = spark.createDataFrame(errors, "status int, message string, want string").select("want", error_kind("status", "message").alias("got")).collect()
+    assert all(r.got == r.want for r in rows)
     df = spark.createDataFrame([(1, "p")], "id int, prompt string")
     r = replies(df, lambda t, p: "bad", "x").first()
     assert r.raw == "bad" and r.error
