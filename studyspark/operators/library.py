@@ -29,10 +29,13 @@ def papers(known: DataFrame, questions: DataFrame, attempts: DataFrame, reads: D
     return out.withColumn("reader_kind", kind).withColumn("status", status_tag("seen", "correct", "review", "read_at"))
 
 
-def suggest(shelf: DataFrame, seed: str = "") -> DataFrame:
+def suggest(shelf: DataFrame, seed: str = "", other_than: DataFrame | None = None) -> DataFrame:
     """One paper to open: unseen with questions, else unread without, else the one studied longest ago.
 
-    Among the first two kinds the choice is by a seeded hash, so it is repeatable."""
+    Among the first two kinds the choice is by a seeded hash, so it is repeatable.  Papers of ``other_than``
+    (paper), such as the open one, are left out; with no other paper there is no row."""
+    if other_than is not None:
+        shelf = shelf.join(other_than.select("paper"), "paper", "left_anti")
     quiz, fresh = F.col("total") > 0, F.col("seen") == 0
     tier = F.when(quiz & fresh, 0).when(~quiz & F.col("read_at").isNull(), 1).when(quiz, 2).otherwise(3)
     draw = F.md5(F.concat(F.col("paper").cast("string"), F.lit(seed)).cast("binary"))

@@ -111,6 +111,9 @@ SELECT answered, correct, (SELECT count(*) FROM latest WHERE NOT correct) AS rev
     "q10_suggest_paper": f"""WITH {_SHELF}, t AS (
   SELECT *, CASE WHEN total > 0 AND seen = 0 THEN 0 WHEN total = 0 AND read_at IS NULL THEN 1 WHEN total > 0 THEN 2 ELSE 3 END AS tier FROM shelf
 ) SELECT paper, tier FROM t ORDER BY tier, CASE WHEN tier < 2 THEN md5(paper || '7') END NULLS FIRST, last_studied NULLS FIRST, paper LIMIT 1""",
+    "q97_suggest_another": f"""WITH {_SHELF}, t AS (
+  SELECT *, CASE WHEN total > 0 AND seen = 0 THEN 0 WHEN total = 0 AND read_at IS NULL THEN 1 WHEN total > 0 THEN 2 ELSE 3 END AS tier FROM shelf
+) SELECT paper, tier FROM t ORDER BY tier, CASE WHEN tier < 2 THEN md5(paper || '7') END NULLS FIRST, last_studied NULLS FIRST, paper LIMIT 1 OFFSET 1""",
     "q11_streak_length": f"""WITH {_DAYS}, active AS (
   SELECT day, day - row_number() OVER (ORDER BY day)::INT AS island FROM (SELECT DISTINCT day FROM days WHERE n_read > 0 OR answered > 0)
 ), runs AS (SELECT island, count(*) AS n, max(day) AS last FROM active GROUP BY 1)
@@ -153,11 +156,13 @@ FROM u""",
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (type <> 'odd' AND nth <= 1) DESC, rank) <= 4 AS picked FROM r
 ) SELECT doc_id, cand_id, picked, row_number() OVER (PARTITION BY doc_id ORDER BY picked DESC,
     CASE WHEN picked THEN CASE type WHEN 'overview' THEN 0 WHEN 'approach' THEN 1 WHEN 'evidence' THEN 2 WHEN 'critique' THEN 3 ELSE 4 END END, rank)::INT AS place FROM p""",
-    "q29_verification_rules": """SELECT * FROM (VALUES
-  (1, true, 'the answer', 'agree: r'), (2, false, 'the answer', 'disagree: r'), (3, true, 'by a mirror', 'partial: r'),
-  (4, false, 'the answer', 'no quote fou'), (5, false, 'the answer', 'not answerab'), (6, false, 'the answer', 'not answerab'),
-  (7, false, 'the answer', 'false premis'), (8, false, 'the answer', 'answer not s'), (9, false, 'the answer', 'None: r'),
-  (10, true, 'two paths', 'agree: r')) t(id, passed, answer, why)""",
+    "q29_verification_rules": """WITH d AS (
+  SELECT doc_id, doc_id % 10 AS k, length(regexp_replace(lower(substr(coalesce(text, ''), 101, 60)), '[^\\p{L}\\p{N}]', '', 'g')) >= 25 AS one,
+    length(regexp_replace(lower(substr(coalesce(text, ''), 201, 60)), '[^\\p{L}\\p{N}]', '', 'g')) >= 25 AS two FROM documents
+), q AS (SELECT *, k NOT IN (0, 3, 4) AND one AS own, (k = 0 AND one) OR (k = 3 AND two) AS blind FROM d), w AS (
+  SELECT *, CASE WHEN k IN (5, 6) THEN 'not answerab' WHEN NOT own AND NOT blind THEN 'no quote fou' WHEN k = 7 THEN 'false premis' WHEN k = 8 THEN 'answer not s'
+    WHEN k = 2 THEN 'disagree: r' WHEN k = 9 THEN 'None: r' END AS fail FROM q
+) SELECT doc_id, fail IS NULL AS passed, CASE WHEN fail IS NULL AND NOT own THEN 'two paths' ELSE 'the answer' END AS answer, coalesce(fail, CASE WHEN k = 3 THEN 'partial: r' ELSE 'agree: r' END) AS why FROM w""",
     "q30_gutter_detection": f"WITH {_WORDS} SELECT * FROM gutters",
     "q31_band_merge": """WITH i AS (SELECT l_suppkey, l_partkey * 5::DOUBLE AS top, l_partkey * 5 + l_quantity AS bottom FROM lineitem), b AS (
   SELECT *, max(bottom) OVER (PARTITION BY l_suppkey ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i

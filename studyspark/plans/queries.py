@@ -91,6 +91,12 @@ def q10_suggest_paper(spark, d):
     return library.suggest(_shelf(spark, d), "7")
 
 
+@query
+def q97_suggest_another(spark, d):
+    """What is suggested while the suggested paper is open."""
+    return library.suggest(_shelf(spark, d), "7", other_than=q10_suggest_paper(spark, d))
+
+
 @query
 def q11_streak_length(spark, d):
     return h.streak(_days(spark, d, None), today(spark, d))
@@ -372,32 +378,21 @@ def q51_rank_candidates(spark, d):
     return selection.rank_candidates(rows, n.select("doc_id", ids.alias("ranked_ids"))).select("doc_id", "cand_id", "rank")
 
 
-_TEXT = "The beam splits at the first mirror and joins again at the screen behind it, where the stripes appear."
-#: (id, own evidence, blind answer, blind quote, answerable, premise_ok, a_supported, verdict)
-REPLIES = [
-    (1, "splits at the first mirror and joins again", "two paths", "", True, True, True, "agree"),
-    (2, "splits at the first mirror and joins again", "two paths", "", True, True, True, "disagree"),
-    (3, "a quote that nobody ever wrote in this text", "by a mirror", "joins again at the screen behind it", None, None, None, "partial"),
-    (4, "a quote that nobody ever wrote in this text", "x", "nor was this one ever written anywhere", True, True, True, "agree"),
-    (5, "splits at the first mirror and joins again", "two paths", "", False, True, True, "agree"),
-    (6, "splits at the first mirror and joins again", "  ", "", True, True, True, "agree"),
-    (7, "splits at the first mirror and joins again", "two paths", "", True, False, False, "agree"),
-    (8, "splits at the first mirror and joins again", "two paths", "", True, True, False, "agree"),
-    (9, "splits at the first mirror and joins again", "two paths", "", True, None, None, None),
-    (10, None, "two paths", "splits at the first mir-\nror and joins again", True, True, True, "agree"),
-]
-
-
 @query
 def q29_verification_rules(spark, d):
-    schema = "id int, evidence string, b_answer string, b_quote string, answerable boolean, premise_ok boolean, a_supported boolean, verdict string"
-    rows = spark.createDataFrame(REPLIES, schema)
-    rows = rows.select(
-        "id", F.lit("the answer").alias("answer"), "evidence", t.normalized(F.lit(_TEXT)).alias("norm_text"),
-        F.struct("answerable", F.col("b_answer").alias("answer"), F.col("b_quote").alias("quote")).alias("blind"),
-        F.struct("premise_ok", "a_supported", "verdict", F.lit("r").alias("reason")).alias("judged"),
+    """Every document with one question; doc_id modulo 10 says what is wrong with the quotes, the blind answer or the verdict."""
+    k = F.col("doc_id") % 10
+    passage = lambda at: F.substring("text", at, 60)
+    flag = lambda no, unknown: F.when(k.isin(*no), False).when(~k.isin(*unknown), True)
+    evidence = F.when(k.isin(3, 4), "a quote that nobody ever wrote in this text").when(k != 0, passage(101))
+    quote = F.when(k == 3, passage(201)).when(k == 4, "nor was this one ever written anywhere").when(k == 0, passage(101)).otherwise("")
+    verdict = F.when(k == 2, "disagree").when(k == 3, "partial").when(k != 9, "agree")
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id", F.lit("the answer").alias("answer"), evidence.alias("evidence"), t.normalized("text").alias("norm_text"),
+        F.struct(flag([5], [3]).alias("answerable"), F.when(k == 6, "  ").otherwise("two paths").alias("answer"), quote.alias("quote")).alias("blind"),
+        F.struct(flag([7], [3, 9]).alias("premise_ok"), flag([7, 8], [3, 9]).alias("a_supported"), verdict.alias("verdict"), F.lit("r").alias("reason")).alias("judged"),
     )
-    return verification.judge(rows).select("id", "passed", "answer", F.substring("verification", 1, 12).alias("why"))
+    return verification.judge(rows).select("doc_id", "passed", "answer", F.substring("verification", 1, 12).alias("why"))
 
 
 @query

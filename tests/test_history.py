@@ -78,6 +78,9 @@ def test_suggest(spark):
     assert pick(fresh, stale, unread, quiz) == ["quiz"]
     assert pick(fresh, stale, unread) == ["unread"] and pick(fresh, stale) == ["stale"] and pick() == []
     assert pick(("only", "O", 0, 0, 0, None, "2025", 1)) == ["only"]
+    opened = spark.createDataFrame([("quiz",)], "paper string")
+    other = lambda *rows: [r.paper for r in library.suggest(shelf(spark, *rows), other_than=opened).collect()]
+    assert other(fresh, unread, quiz) == ["unread"] and other(quiz) == []
 
 
 def test_search_and_recent(spark):
