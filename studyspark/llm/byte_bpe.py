@@ -193,14 +193,17 @@ _WORKER: dict[tuple, object] = {}
 
 
 def _kept_in_worker(key: tuple, make):
-    """The last value of a kind that this worker process made."""
+    """The last value that this worker process made; what an earlier step held is let go before the next is made."""
     if key not in _WORKER:
-        for old in [k for k in _WORKER if k[0] == key[0]]:
-            del _WORKER[old]
+        _WORKER.clear()
         _WORKER[key] = make()
     return _WORKER[key]
 
 
+def _let_go() -> None:
+    _WORKER.clear()
+
+
 def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int, longest: int, most_bytes: int = 24 << 20, pending: int = 150_000) -> DataFrame:
     """(word) of the words that occur most in all texts, at most ``held`` and ``most_bytes``: whole classes of
     similar counts from the top.  A word that no task sees twice is not among them."""
@@ -236,8 +239,8 @@ def frequent_words(texts: DataFrame, ranks_file: str, pattern: str, *, held: int
     return counts.where((F.col("level") > taken.level) | ((F.col("level") == taken.level) & (F.col("part") <= taken.part))).select("word")
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 400_000, longest: int = 96) -> DataFrame:
-    """(id, ids) of every text; ids: an array, or with ``packed`` little-endian 32-bit numbers as binary."""
+def _with_gaps(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str, text_col: str, held: int, longest: int) -> DataFrame:
+    """(id, ids, gaps) of every text: packed ids, and the ids of the words that its gaps stand for."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     ranks = read_ranks(ranks_file)
@@ -255,36 +258,68 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc
             gaps = pa.array([g for _, g in rows], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in rows], pa.binary()), gaps], names=["id", "ids", "gaps"])
 
+    # written, so that a task holds one Python worker with the words, not one for each step
+    opened = written(in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), split, f"id {kind}, ids binary, gaps array<string>"), "opened", "zstd")
+    rare = _let(pairs, lambda m: F.transform("gaps", lambda w: folded(w.cast("binary"), m, single)))
+    return opened.select("id", "ids", rare.alias("gaps"))
+
+
+def _filled(batch: pa.RecordBatch) -> list[bytes]:
+    """Packed ids of the rows (id, ids, gaps) of a batch, without gaps."""
+    return [_closed(i, [_packed(w) for w in words]) if words else i for i, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+
+
+def encode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, held: int = 400_000, longest: int = 96) -> DataFrame:
+    """(id, ids) of every text; ids: an array, or with ``packed`` little-endian 32-bit numbers as binary."""
+    rows = _with_gaps(docs, ranks_file, pattern, id_col=id_col, text_col=text_col, held=held, longest=longest)
+
     def close(batches):
+        _let_go()  # the words are needed no more
         for b in batches:
-            filled = [_closed(i, [_packed(w) for w in words]) if words else i for i, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            filled = _filled(b)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(filled, pa.binary()) if packed else pa.array([np.frombuffer(x, "<i4") for x in filled], pa.list_(pa.int32()))], names=["id", "ids"])
 
-    # written, so that a task holds one Python worker with the words, not one for each step
-    opened = written(in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), split, f"id {kind}, ids binary, gaps array<string>"), "opened", "zstd")
-    rare = _let(pairs, lambda m: F.transform("gaps", lambda w: folded(w.cast("binary"), m, single)))
-    closed = in_arrow(opened.select("id", "ids", rare.alias("gaps")), close, f"id {kind}, ids {'binary' if packed else 'array<int>'}")
+    closed = in_arrow(rows, close, f"id {dict(rows.dtypes)['id']}, ids {'binary' if packed else 'array<int>'}")
     return closed.select(F.col("id").alias(id_col), "ids")
 
 
+def _decoder(ranks_file: str):
+    """Bytes of packed ids; each worker process reads the pieces once."""
+    pieces = _kept_in_worker(("decode", ranks_file), lambda: {rank: piece for piece, rank in read_ranks(ranks_file).items()})
+    return lambda packed: b"".join(map(pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
 def decode(encoded: DataFrame, ranks_file: str, *, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, bytes) of a table made by ``encode``, in either form: the concatenated pieces of the ids."""
     kinds = dict(encoded.dtypes)
 
     def run(batches):
-        pieces = _kept_in_worker(("decode", ranks_file), lambda: {rank: piece for piece, rank in read_ranks(ranks_file).items()})
+        decoded = _decoder(ranks_file)
         for b in batches:
-            rows = (np.frombuffer(x, "<u4").tolist() if isinstance(x, bytes) else x for x in b.column(1).to_pylist())
-            texts = [b"".join(map(pieces.__getitem__, ids or ())) for ids in rows]
+            texts = [decoded(x if isinstance(x, bytes) else _packed(x or ())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["id", "ids", "bytes"])
 
     out = in_arrow(encoded.select(F.col(id_col).alias("id"), "ids"), run, f"id {kinds[id_col]}, ids {kinds['ids']}, bytes binary")
     return out.select(F.col("id").alias(id_col), "ids", "bytes")
 
 
+def encode_and_decode(docs: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", held: int = 400_000, longest: int = 96) -> DataFrame:
+    """(id, ids, bytes) as ``decode`` gives them for packed ids of ``encode``, by one Python worker a task instead of two."""
+    rows = _with_gaps(docs, ranks_file, pattern, id_col=id_col, text_col=text_col, held=held, longest=longest)
+
+    def run(batches):
+        decoded = _decoder(ranks_file)
+        for b in batches:
+            filled = _filled(b)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(filled, pa.binary()), pa.array(map(decoded, filled), pa.binary())], names=["id", "ids", "bytes"])
+
+    out = in_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, ids binary, bytes binary")
+    return out.select(F.col("id").alias(id_col), "ids", "bytes")
+
+
 def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = decode(encode(table(spark, sf_dir, "documents"), ranks_file, public_tokenizers.PATTERN, packed=True), ranks_file)
+    done = encode_and_decode(table(spark, sf_dir, "documents"), ranks_file, public_tokenizers.PATTERN)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

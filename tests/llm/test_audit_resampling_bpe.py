@@ -190,6 +190,8 @@ def test_a_long_word_takes_no_square_of_time(spark, library):
 
 def test_packed_ids_null_ids_repeated_rows_and_an_empty_table(spark, nasty, no_docs, library):
     rows = byte_bpe.decode(byte_bpe.encode(nasty, RANKS_FILE, public_tokenizers.PATTERN, packed=True), RANKS_FILE).collect()
+    both = byte_bpe.encode_and_decode(nasty, RANKS_FILE, public_tokenizers.PATTERN).collect()
+    assert Counter((r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in both) == Counter((r.doc_id, bytes(r.ids), bytes(r.bytes)) for r in rows)
     want = Counter((r.doc_id, struct.pack(f"<{len(ids)}I", *ids)) for r in nasty.collect() for ids in [library.encode_ordinary(r.text or "")])
     assert Counter((r.doc_id, bytes(r.ids)) for r in rows) == want
     assert Counter(hashlib.sha256(bytes(r.bytes)).hexdigest() for r in rows) == Counter(hashlib.sha256((r.text or "").encode()).hexdigest() for r in nasty.collect())
