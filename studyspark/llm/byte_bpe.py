@@ -86,17 +86,16 @@ def folded(word: Column, pairs: Column, single: Column) -> Column:
         of = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: rank(F.get(pieces, i - 1), F.get(pieces, i)))
         return F.struct(pieces.alias("pieces"), of.alias("ranks"))
 
-    def merged(s: Column, at: Column) -> Column:
+    def merged(s: Column, at: Column, piece: Column) -> Column:
         gone = F.lit(-1).cast("bigint")  # what is merged away, for a moment
-        piece = F.get(s["ranks"], at)
         pieces = F.transform(s["pieces"], lambda x, i: F.when(i == at, piece).when(i == at + 1, gone).otherwise(x))
         before, after = lambda i: rank(F.get(s["pieces"], i), piece), lambda i: rank(piece, F.get(s["pieces"], i + 1))
         ranks = F.transform(s["ranks"], lambda x, i: F.when(i == at, gone).when(i == at - 1, before(i)).when(i == at + 1, after(i)).otherwise(x))
         return F.struct(F.array_remove(pieces, gone).alias("pieces"), F.array_remove(ranks, gone).alias("ranks"))
 
     def step(s: Column, _: Column) -> Column:
-        best = F.array_min(s["ranks"])
-        return F.when(best < _PAIR, _let(F.array_position(s["ranks"], best).cast("int") - 1, lambda at: merged(s, at))).otherwise(s)
+        at = lambda best: F.array_position(s["ranks"], best).cast("int") - 1
+        return _let(F.array_min(s["ranks"]), lambda best: F.when(best < _PAIR, _let(at(best), lambda i: merged(s, i, best))).otherwise(s))
 
     bytes_ = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(single, F.ascii(c)))
     done = F.aggregate(F.sequence(F.lit(1), F.octet_length(word) - 1), _let(bytes_, of_pairs), step)
@@ -131,11 +130,33 @@ def _packed(ids) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _in_ascii(pattern: str) -> str:
-    """The pattern as it works on texts of ASCII alone, in the syntax of Python's own expressions."""
-    letters, digits = "A-Za-z", "0-9"
-    inside = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(r"\p{L}", letters).replace(r"\p{N}", digits), pattern)
-    return inside.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]")
+def _classes(text: str) -> dict[str, str]:
+    """Letters, numbers and white space among the characters of ``text``, as the insides of classes; their Unicode tables are the library's."""
+    import regex
+
+    runs = lambda kind: (m[0] for m in regex.finditer(f"{kind}+", text))
+    return {kind: "".join(f"{re.escape(r[0])}-{re.escape(r[-1])}" for r in runs(kind)) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+
+
+def _in_python(pattern: str, classes: dict[str, str]) -> str:
+    """The pattern as it works on texts of the characters that ``classes`` were made of, in the syntax of Python's own expressions."""
+    parts = re.split(r"(\[[^]]*\])", pattern)
+    for i, part in enumerate(parts):
+        for kind, inside in classes.items():
+            part = part.replace(kind, inside if i % 2 else f"[{inside}]")
+        parts[i] = part if i % 2 else part.replace(r"\S", f"[^{classes[r'\s']}]")
+    return "".join(parts)
+
+
+class _Known(dict):
+    """Packed ids of words; what is not there is asked for each time and not kept."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self._ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        return self._ask(word)
 
 
 class _Words:
@@ -144,11 +165,15 @@ class _Words:
     def __init__(self, ranks: dict[bytes, int], pattern: str, longest: int, folded: pa.Table | None = None):
         import regex
 
-        self._any = regex.compile(pattern).findall
-        own = _in_ascii(pattern)
-        self._ascii = self._any if r"\p" in own else re.compile(own, re.ASCII).findall
+        self._any = self._ascii = self._plane = regex.compile(pattern).findall
+        self._astral = re.compile("[\U00010000-\U0010ffff]").search
+        # Python's own engine is twice as fast; it gets the classes spelled out, for the characters of one plane
+        plane = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+        own = [_in_python(pattern, _classes(chars)) for chars in (plane[:128], plane)]
+        if not any(re.search(r"\\[pPS]|\(\?i", p) for p in own):
+            self._ascii, self._plane = (re.compile(p).findall for p in own)
         self._ranks, self._longest = ranks, longest
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._unknown)
         for b in folded.to_batches(10_000) if folded is not None else ():
             for word, ids in zip(b.column(0).cast(pa.string()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 self.known[word] = _packed(ids)
@@ -159,24 +184,20 @@ class _Words:
                 pass  # half a character is never a word
 
     def words(self, text: str) -> list[str]:
-        return (self._ascii if text.isascii() else self._any)(text)
+        return (self._ascii if text.isascii() else self._any if self._astral(text) else self._plane)(text)
 
     def foldable(self, word: bytes) -> bool:
         return word not in self._ranks and len(word) <= self._longest
 
+    def _unknown(self, word: str) -> bytes:
+        if self.foldable(word.encode()):
+            return _packed((_GAP + self._gaps.setdefault(word, len(self._gaps)),))
+        return _packed(merged_ids(word.encode(), self._ranks))
+
     def row(self, text: str) -> tuple[bytes, list[str]]:
         """(packed ids with gaps, the distinct words that the gaps stand for)."""
-        words = self.words(text)
-        ids = list(map(self.known.get, words))
-        gaps: dict[str, int] = {}
-        for i, found in enumerate(ids):
-            if found is None:
-                word = words[i]
-                if self.foldable(word.encode()):
-                    ids[i] = _packed((_GAP + gaps.setdefault(word, len(gaps)),))
-                else:
-                    ids[i] = _packed(merged_ids(word.encode(), self._ranks))
-        return b"".join(ids), list(gaps)
+        self._gaps: dict[str, int] = {}
+        return b"".join(map(self.known.__getitem__, self.words(text))), list(self._gaps)
 
 
 def _closed(ids: bytes, words: list[bytes]) -> bytes:

@@ -201,3 +201,19 @@ def test_packed_ids_null_ids_repeated_rows_and_an_empty_table(spark, nasty, no_d
 def test_an_unknown_id_is_an_error(spark):
     with pytest.raises(Exception, match="KeyError"):
         byte_bpe.decode(spark.createDataFrame([(1, [60_000])], "doc_id bigint, ids array<int>"), RANKS_FILE).collect()
+
+
+def test_words_are_those_of_the_librarys_pattern_in_every_script():
+    import random
+
+    import regex
+
+    words = byte_bpe._Words(byte_bpe.read_ranks(RANKS_FILE), public_tokenizers.PATTERN, 96)
+    assert words._plane is not words._any
+    library, rng = regex.compile(public_tokenizers.PATTERN).findall, random.Random(5)
+    plane = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+    assert words.words(" ".join(f"{c}{c}" for c in plane)) == library(" ".join(f"{c}{c}" for c in plane))
+    for k in range(3000):
+        chars = (plane[:128], plane[:0x3000], [*plane[:0x3000], "😀", "𝒜", "𝟙"])[k % 3]
+        text = "".join(rng.choice(chars if rng.random() < 0.5 else " 's\n1a") for _ in range(20))
+        assert words.words(text) == library(text)
