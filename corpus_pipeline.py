@@ -20,7 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: similarity of five-word shingles 0.8 or more, verified on the sets."""
+    """One document of each class of near copies: SimHash classes of five-word shingles through the byte-position index,
+    completed by bands; every link is verified on the sets (similarity 0.8 or more)."""
     return simhash_dedup.one_of_each(docs, shingle=5, similarity=0.8)
 
 

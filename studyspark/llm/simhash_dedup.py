@@ -9,11 +9,13 @@ and the inverted index is kept on those triples: 24-bit postings, 20 a fingerpri
 Within a posting the shared positional bytes of a pair are tallied, pairs under the
 minimum fall out, and the rest are verified by their differing bits.
 
-The stage of the pipeline asks for similar sets of shingles instead of few differing
-bits, which no number of bits decides; ``similar_classes`` finds candidates by bands of
-smallest hashes and verifies each by the Jaccard similarity of its sets.  A bucket of a
-band is first compared with its smallest member; what is then still apart is compared in
-cells of two blocks, which emit spanning forests as below and no pairs.
+The stage of the pipeline asks for similar sets of shingles.  Its candidates are the SimHash
+classes of these sets, by the same index, and each class is checked by the Jaccard similarity
+of its sets (``similar_classes``).  No number of bits decides a similarity of 0.8, where some
+ten of 64 bits differ: sets whose fingerprints lie further apart are completed by bands of
+smallest hashes, under the same check.  A class or a band's bucket is first compared with its
+smallest member; what is then still apart is compared in cells of two blocks, which emit
+spanning forests as below and no pairs.
 
 Only distinct fingerprints are indexed.  A posting never emits its pairs: it emits a
 spanning forest of its links, found by searches that compare one fingerprint with
@@ -40,6 +42,14 @@ from .common import apart, as_bytes, in_arrow, removed, written
 from .components import components
 
 
+def simhash(h: np.ndarray) -> np.uint64:
+    """The fingerprint of 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 4096):
+        ones += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.ndarray:
     """Unsigned 64-bit SimHash of each text (UTF-8)."""
     from xxhash import xxh64_intdigest as h64
@@ -56,11 +66,7 @@ def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42) -> np.nda
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1)[: len(words) - shingle + 1].tolist()
             h = [h64(joined[s:e], seed) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), 4096):
-            part = np.array(h[k : k + 4096], np.uint64)
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+        out[i] = simhash(np.array(h, np.uint64))
     return out
 
 
@@ -265,6 +271,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Fingerprints of the pipeline's stage link at so many differing bits or fewer.
+BITS = 4
 #: Bands of smallest hashes: two sets with Jaccard J meet in one with probability 1 - (1 - J ** DEEP) ** BANDS.
 BANDS, DEEP = 24, 4
 
@@ -404,10 +412,19 @@ def _cells(classed: DataFrame, mixed: DataFrame, block: int, shingles: int) -> D
     return one.select(out).unionByName(across.select(out)).unionByName(among.select(out))
 
 
+def _simhash_keys(own: DataFrame) -> DataFrame:
+    """(node, size, key): the SimHash class of each node with words; ``own``: (node, size, w0: its fingerprint)."""
+    worded = own.where("size > 0")
+    linked = components(linking_edges(worded.select("w0").distinct(), bits=BITS, positions=covering_triples(), shared=8 - BITS))
+    classed = worded.join(linked.withColumnRenamed("node", "w0"), "w0", "left")
+    return classed.select("node", "size", F.xxhash64(F.lit("simhash"), F.coalesce("root", "w0")).alias("key"))
+
+
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, block: int = 512, shingles: int = 2_000_000) -> DataFrame:
     """(k: hash of id and text, id, root: number of the class) of every row.
 
-    Nodes are distinct sets of shingles.  In each band's bucket every node is first compared with the
+    Nodes are distinct sets of shingles.  Their buckets are the classes of their SimHash fingerprints (links of
+    ``BITS`` bits, through the byte-position index) and those of the bands.  In each every node is first compared with the
     smallest, so a family of near copies costs one comparison for each member.  Buckets whose nodes then
     stand in different classes are dealt to cells of two blocks of about ``block`` nodes and ``shingles``
     shingles at most, which compare all their sets; nodes of the largest class are not compared with each
@@ -422,11 +439,14 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         for b in batches:
             sets = [shingle_set(t, shingle) for t in as_bytes(b.column(2))]
             nodes = np.array([xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["k", "id", "node", "size", "keys"])
-
-    marked = written(in_arrow(picked, run, f"k bigint, id {kind}, node bigint, size bigint, keys array<bigint>"), "sets")
-    own = marked.groupBy("node").agg(F.min_by("keys", "k").alias("keys"), F.max("size").alias("size"))
-    posted = written(own.select("node", "size", F.explode("keys").alias("key")), "postings")
+            prints = np.array([simhash(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), pa.array(prints), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["k", "id", "node", "size", "w0", "keys"])
+
+    marked = written(in_arrow(picked, run, f"k bigint, id {kind}, node bigint, size bigint, w0 bigint, keys array<bigint>"), "sets")
+    own = written(marked.groupBy("node").agg(F.min_by("keys", "k").alias("keys"), F.max("size").alias("size"), F.max("w0").alias("w0")), "own")
+    alike = _simhash_keys(own)
+    posted = written(own.select("node", "size", F.explode("keys").alias("key")).unionByName(alike), "postings")
+    removed(own)
     # written like all aggregates that meet their own rows again: a hot bucket or class can be split in the join
     buckets = written(posted.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
     met = written(posted.join(buckets, "key"), "met")
@@ -453,8 +473,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
 def similar_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) over links of texts whose sets of word shingles have Jaccard ``similarity`` or more.
 
-    Candidates share one of ``BANDS`` bands of ``DEEP`` smallest hashes: all but 4 in a million of pairs
-    right at 0.8, fewer above.  Each link is verified by the sets themselves, so nothing under the threshold links."""
+    Candidates share a SimHash class, or one of ``BANDS`` bands of ``DEEP`` smallest hashes: all but 4 in a million of
+    pairs right at 0.8, fewer above.  Each link is verified by the sets themselves, so nothing under the threshold links."""
     found = _similar(docs, id_col, text_col, shingle, similarity)
     least = written(found.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return found.join(least, "root").select(F.col("id").alias(id_col), "component_id")

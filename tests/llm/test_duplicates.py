@@ -301,3 +301,17 @@ def test_one_of_each_decides_by_id_and_text(spark):
     for limit in (500_000, 0):
         got = sorted(((r.doc_id or 0, r.text) for r in simhash_dedup.one_of_each(df, broadcast_rows=limit).collect()))
         assert [(i, t[0]) for i, t in got] == [(0, "a"), (0, "b"), (1, "c"), (2, "d"), (2, "e"), (3, "f"), (4, "g")]
+
+
+def test_stage_takes_its_candidates_from_the_fingerprints(spark, monkeypatch):
+    """SimHash classes are buckets of their own: chains of links of 4 bits or fewer share a key, wordless nodes have none."""
+    prints = [5, 5 ^ 0b1111, 5 ^ 0b11111111 << 40, 5 ^ 0b1111 ^ 0b1111 << 20, 5 ^ 0b1111 ^ 0b1111 << 20, 0]
+    own = spark.createDataFrame([(n, 7 if w else 0, w) for n, w in enumerate(prints)], "node bigint, size bigint, w0 bigint")
+    key = {r.node: r.key for r in simhash_dedup._simhash_keys(own).collect()}
+    assert set(key) == set(range(5)) and key[0] == key[1] == key[3] == key[4] != key[2]
+    rng, seen, whole = random.Random(2), [], simhash_dedup.linking_edges
+    monkeypatch.setattr(simhash_dedup, "linking_edges", lambda fps, **how: seen.append((fps.count(), how["bits"], how["shared"])) or whole(fps, **how))
+    text = " ".join(rng.choice(WORDS) for _ in range(600))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, " ".join(reversed(text.split()))), (4, text), (5, " ")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.one_of_each(df).collect()) == [1, 3, 5]
+    assert len(seen) == 1 and seen[0][0] in (2, 3) and seen[0][1:] == (4, 4)
