@@ -18,6 +18,16 @@ LEAST_ROWS = 10
 SHARE = 0.25
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds _deal, a hash of the keys, and deals rows by it over a fixed number of tasks: adaptive execution would put
+    boxes, which compress well, into few tasks, each of which then sorts and holds its share unpacked.
+
+    Whatever groups by _deal and the keys needs no other shuffle, even where the optimizer knows a key as a constant."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.withColumn("_deal", F.xxhash64(*keys)).repartition(tasks, "_deal")
+
+
 def words_from_chars(chars: DataFrame) -> DataFrame:
     """Words of upright characters (doc_id, page, top, bottom, x0, x1, c, upright): a gap wider than
     the tolerance, or a new row, begins one."""
@@ -62,11 +72,11 @@ def gutters(words: DataFrame, pages: DataFrame) -> DataFrame:
 
 def merge_intervals(rows: DataFrame, keys: list[str], top: str = "top", bottom: str = "bottom", gap: float = BAND_GAP) -> DataFrame:
     """Intervals merged where one begins at most ``gap`` after all before it end: (keys, band, top, bottom)."""
-    order = Window.partitionBy(*keys).orderBy(top, bottom)
+    order = Window.partitionBy("_deal", *keys).orderBy(top, bottom)
     before = F.max(bottom).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    started = rows.withColumn("_new", F.coalesce(F.col(top) > before + gap, F.lit(True)).cast("int"))
+    started = _dealt(rows, keys).withColumn("_new", F.coalesce(F.col(top) > before + gap, F.lit(True)).cast("int"))
     banded = started.withColumn("band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return banded.groupBy(*keys, "band").agg(F.min(top).alias("top"), F.max(bottom).alias("bottom"))
+    return banded.groupBy("_deal", *keys, "band").agg(F.min(top).alias("top"), F.max(bottom).alias("bottom")).drop("_deal")
 
 
 def regions(words: DataFrame, pages: DataFrame) -> DataFrame:
