@@ -30,11 +30,12 @@ def x3_resumed_sections(spark, d):
         now = F.when(F.lit(run > 1) & (F.col("doc_id") % 7 == 0), F.concat(text, F.lit(" changed"))).otherwise(text)
         docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document"), "doc_id", fingerprint(now).alias("fingerprint"), (F.floor(F.length(text) / 4000) + 1).cast("int").alias("sections"))
         docs = docs.withColumn("run", F.lit(run)).withColumn("seq", F.lit(run * 1_000_000).cast("bigint"))
-        offers = docs.withColumns({"kind": F.lit("offer"), "section": F.lit(None).cast("int"), "answer": F.lit(None).cast("string")})
-        answered = F.col("sections") if run == 3 else F.least("sections", (F.col("doc_id") % 3 + (run - 1)).cast("int"))
-        replies = docs.withColumn("section", F.explode(F.filter(F.sequence(F.lit(0), F.col("sections")), lambda i: i < answered)))
-        replies = replies.withColumns({"kind": F.lit("reply"), "seq": F.col("seq") + 1 + F.col("section"), "answer": F.concat(F.lit("answer "), F.col("section"))})
-        found = resume.advance(offers.unionByName(replies), folder, partitions=_PARTITIONS)
+        answered = F.col("sections") if run == 3 else F.greatest(F.lit(0), F.least("sections", (F.col("doc_id") % 3 + (run - 1)).cast("int")))
+        # one pass over the texts: place -1 is the offer, the others are the replies
+        rows = docs.withColumn("place", F.explode(F.sequence(F.lit(-1), answered - 1)))
+        reply = F.col("place") >= 0
+        rows = rows.withColumns({"kind": F.when(reply, "reply").otherwise("offer"), "seq": F.col("seq") + 1 + F.col("place"), "section": F.when(reply, F.col("place")), "answer": F.when(reply, F.concat(F.lit("answer "), F.col("place")))})
+        found = resume.advance(rows, folder, partitions=max(_PARTITIONS, spark.sparkContext.defaultParallelism))
     return found.where("kind <> 'kept'").select("run", "kind", "document", "fingerprint", "section", F.size("answers").alias("answers"))
 
 

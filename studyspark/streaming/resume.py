@@ -6,7 +6,7 @@ fingerprint is another text: what was finished of the old one goes.  When all se
 answers are put out together and the document's state goes, as it does when nothing was heard of the
 document for the time of expiry.
 
-State is the fingerprint of a document and a map of its finished sections, so it is as large as the
+State is the fingerprint of a document and a map of its finished sections in one value, so it is as large as the
 answers of unfinished documents and no larger.  It lies in Spark's state store, committed with
 the batch that changed it: a run that dies in a batch repeats that batch on the state before it.
 """
@@ -23,6 +23,8 @@ from . import settings
 
 #: kind: "offer" (fingerprint, sections) or "reply" (fingerprint, section, answer); seq: the order within a document.
 EVENTS = "document string, run int, seq bigint, kind string, fingerprint string, sections int, section int, answer string"
+#: What is stored of a document: the answers of its finished sections.
+STATE = "fingerprint string, done array<struct<section:int,answer:string>>"
 #: kind: "ask" (section), "kept" (section, a reply that finished it) or "complete" (answers of all sections).
 OUTCOMES = "document string, run int, kind string, fingerprint string, section int, answers map<int,string>"
 
@@ -34,14 +36,13 @@ class Sections(StatefulProcessor):
         self._expiry = expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._text = handle.getValueState("text", "fingerprint string", self._expiry)
-        self._done = handle.getMapState("done", "section int", "answer string", self._expiry)
+        # one value, as each call to the store is a round trip between Python and the JVM
+        self._progress = handle.getValueState("progress", STATE, self._expiry)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = self._text.get()[0] if self._text.exists() else None
-        fingerprint = stored
-        done = {k[0]: v[0] for k, v in self._done.iterator()} if stored is not None else {}
-        fresh: dict[int, str] = {}  # finished by these rows
+        stored = self._progress.get()
+        fingerprint, done = (stored[0], {x[0]: x[1] for x in stored[1]}) if stored is not None else (None, {})
+        changed = False
 
         def outcome(row, kind, section=None, answers=None):
             return Row(document=row.document, run=row.run, kind=kind, fingerprint=row.fingerprint, section=section, answers=answers)
@@ -49,19 +50,19 @@ class Sections(StatefulProcessor):
         for row in sorted(rows, key=lambda r: r.seq):
             if row.kind == "offer":
                 if row.fingerprint != fingerprint:
-                    fingerprint, done, fresh = row.fingerprint, {}, {}
+                    fingerprint, done, changed = row.fingerprint, {}, True
                 yield from (outcome(row, "ask", i) for i in range(row.sections) if i not in done)
             elif row.fingerprint == fingerprint and row.section not in done:
-                done[row.section] = fresh[row.section] = row.answer
+                done[row.section] = row.answer
+                changed = True
                 yield outcome(row, "kept", row.section)
             if fingerprint is not None and row.fingerprint == fingerprint and 0 < row.sections <= len(done) and all(i in done for i in range(row.sections)):
                 yield outcome(row, "complete", None, done)
-                fingerprint, done, fresh = None, {}, {}
-        if fingerprint != stored:
-            self._done.clear()
-            self._text.clear() if fingerprint is None else self._text.update((fingerprint,))
-        for section, answer in fresh.items():
-            self._done.updateValue((section,), (answer,))
+                fingerprint, done, changed = None, {}, True
+        if fingerprint is not None and changed:
+            self._progress.update((fingerprint, list(done.items())))
+        elif fingerprint is None and stored is not None:
+            self._progress.clear()
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from studyspark.sources import named, snapshots
@@ -44,6 +45,36 @@ def test_finished_sections_are_not_asked_again_after_restarts(spark, tmp_path):
     assert asked(resume.advance(events(spark, offer("a", 4, 8, "f", 3)), folder), 4) == [("a", "f", 0), ("a", "f", 1), ("a", "f", 2)]
 
 
+def test_a_document_costs_two_calls_to_the_store():
+    """Reading and writing a document's progress is one round trip each, however many sections it has."""
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, None
+
+    store, sections = Store(), resume.Sections()
+    sections.init(store)
+    row = lambda *r: Row(**dict(zip(NAMES, r, strict=True)))
+    first = [row(*offer("a", 1, 0, "f", 9)), *(row(*reply("a", 1, 1 + i, "f", 9, i)) for i in range(8))]
+    assert len(list(sections.handleInputRows("a", iter(first), None))) == 9 + 8 and store.calls == 2
+    last = list(sections.handleInputRows("a", iter([row(*offer("a", 2, 9, "f", 9)), row(*reply("a", 2, 10, "f", 9, 8))]), None))
+    assert [(r.kind, r.section) for r in last] == [("ask", 8), ("kept", 8), ("complete", None)] and len(last[2].answers) == 9
+    assert store.calls == 4 and store.value is None
+
+
 def test_progress_expires(spark, tmp_path):
     folder = str(tmp_path / "r")
     resume.advance(events(spark, offer("a", 1, 1, "f", 2), reply("a", 1, 2, "f", 2, 0)), folder, expiry_ms=1)
