@@ -12,6 +12,7 @@ from ..functions import html_article as html
 from ..functions import questions as qs
 from ..functions import quotes as quotes_fn
 from ..functions import text as t
+from ..functions.batches import bounded
 from ..functions.chunking import chunk_array, chunks, framing_text, is_framing
 from ..operators import history as h
 from ..operators import inbox as box
@@ -260,6 +261,7 @@ def q23_framing_chunks(spark, d):
 
 
 def _articles(spark, d):
+    bounded(spark)
     return table(spark, d, "pages").select("page_id", "url", html.page_struct("html").alias("p")).select("page_id", "url", "p.*", html.article_text("p.raw").alias("text"))
 
 
